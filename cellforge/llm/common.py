@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import os
+import sys
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 4 << 20
+# Functions for tasks travel with their code: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +80,3 @@ def word_hashes(distinct: pa.Array) -> np.ndarray:
 
 def strings(values) -> pa.Array:
     return pa.array(values, pa.string())
-
-
-def on_path() -> None:
-    """Executors import this package from where the driver has it on its path."""
-    os.environ.setdefault("PYTHONHASHSEED", "0")

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, secret_scan
+from . import language_id, license_scan, media, mixing, packing, secret_scan, topk
 from .common import table
 
 
@@ -19,6 +19,10 @@ OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op1_license_scan": ("documents", license_scan.op1_license_scan),
     "op2_secret_scan": ("documents", secret_scan.op2_secret_scan),
     "op4_source_mix": ("documents", mixing.op4_source_mix),
+    "op5_language_id": ("documents", language_id.op5_language_id),
+    "op6_media": ("documents", media.op6_media),
+    "op8_exact_topk": ("embeddings", topk.op8_exact_topk),
+    "op9_best_fit_packing": ("documents", packing.op9_best_fit_packing),
 }
 
 
@@ -27,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.OP4_SQL}
+    return {"op4_source_mix": mixing.OP4_SQL, "op8_exact_topk": topk.OP8_SQL}
