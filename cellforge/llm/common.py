@@ -56,6 +56,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def ascii_lowered(texts: pa.Array) -> pa.Array:
+    """``texts`` with A-Z as a-z and null as empty; all other bytes stay."""
+    x = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, ends, data = x.buffers()
+    ends = np.frombuffer(ends, np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+    low = LOWER[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data is not None else LOWER[:0]
+    return pa.LargeStringArray.from_buffers(len(x), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(low.tobytes()))
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words between ASCII white space of every text (null: none).
 

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, media, mixing, packing, secret_scan, topk
+from . import language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, topk
 from .common import table
 
 
@@ -18,11 +18,13 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame], spark: SparkSessi
 OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op1_license_scan": ("documents", license_scan.op1_license_scan),
     "op2_secret_scan": ("documents", secret_scan.op2_secret_scan),
+    "op3_ngram_jaccard": ("documents", ngram_jaccard.op3_ngram_jaccard),
     "op4_source_mix": ("documents", mixing.op4_source_mix),
     "op5_language_id": ("documents", language_id.op5_language_id),
     "op6_media": ("documents", media.op6_media),
     "op8_exact_topk": ("embeddings", topk.op8_exact_topk),
     "op9_best_fit_packing": ("documents", packing.op9_best_fit_packing),
+    "op10_lm_score": ("documents", lm_score.op10_lm_score),
 }
 
 
