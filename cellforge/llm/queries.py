@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, topk
+from . import language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, substring_dedup, topk
 from .common import table
 
 
@@ -22,6 +22,7 @@ OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op4_source_mix": ("documents", mixing.op4_source_mix),
     "op5_language_id": ("documents", language_id.op5_language_id),
     "op6_media": ("documents", media.op6_media),
+    "op7_substring_dedup": ("documents", substring_dedup.op7_substring_dedup),
     "op8_exact_topk": ("embeddings", topk.op8_exact_topk),
     "op9_best_fit_packing": ("documents", packing.op9_best_fit_packing),
     "op10_lm_score": ("documents", lm_score.op10_lm_score),
