@@ -123,15 +123,18 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each tuple of a text (list ``s`` of gram, a, b and salt) with the bytes of its block."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row, text, items = batch.column("row")[k].as_py(), (batch.column("text")[k].as_py() or "").encode(), batch.column("s")[k].as_py()
-            cols = [[x[c] for x in items] for c in ("gram", "salt", "a", "b")]
-            body = [text[a : b + LENGTH] for a, b in zip(cols[2], cols[3], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array([row] * len(items), pa.int64()), pa.array(cols[2], pa.int32()), pa.array(body, pa.binary())], ["gram", "salt", "row", "a", "body"]
-            )
+    """Each tuple of a text (list ``s`` of gram, salt, a and b) with the bytes of its block."""
+    for batch in slices(batches):
+        items, texts, rows = batch.column("s"), batch.column("text").to_pylist(), batch.column("row").to_numpy()
+        n = np.diff(items.offsets.to_numpy())
+        gram, salt, a, b = (items.flatten().field(c) for c in ("gram", "salt", "a", "b"))
+        body, at = [], 0
+        starts, ends = a.to_pylist(), b.to_pylist()
+        for text, k in zip(texts, n.tolist(), strict=True):
+            data = text.encode()
+            body += [data[x : y + LENGTH] for x, y in zip(starts[at : at + k], ends[at : at + k], strict=True)]
+            at += k
+        yield pa.RecordBatch.from_arrays([gram, salt, pa.array(np.repeat(rows, n)), a, pa.array(body, pa.binary())], ["gram", "salt", "row", "a", "body"])
 
 
 def _runs(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
