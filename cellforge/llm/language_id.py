@@ -69,11 +69,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def text_logits(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of each text and how many of its words have letters."""
+def text_logits(texts: pa.Array, model: Model, bucket_logits: np.ndarray | None = None, block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of each text and how many of its words have letters; n-grams are held for ``block`` distinct words at a time."""
+    if bucket_logits is None:
+        bucket_logits = model.embeddings @ model.weights
     bounds, codes, words = word_codes(texts)
-    grams, counts, lettered = subwords(words.to_pylist())
-    per_word = _segment_mean(model.embeddings[grams] @ model.weights, counts) if len(grams) else np.zeros((len(words), len(model.labels)))
+    per_word, lettered = np.zeros((len(words), len(model.labels))), np.zeros(len(words), bool)
+    for a in range(0, len(words), block):
+        grams, counts, ok = subwords(words.slice(a, block).to_pylist())
+        lettered[a : a + block] = ok
+        if len(grams):
+            per_word[a : a + block] = _segment_mean(bucket_logits[grams], counts)
     ok = lettered[codes] if len(codes) else np.zeros(0, bool)
     kept = np.concatenate([[0], np.cumsum(ok)])[bounds]
     n = np.diff(kept)
@@ -154,9 +160,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[pa.RecordBatch]:
+    bucket_logits = model.embeddings @ model.weights
     for batch in slices(batches, text):
         known = bool(model.labels)
-        z, n = text_logits(batch.column(text), model) if known else (np.zeros((batch.num_rows, 1)), np.zeros(batch.num_rows, int))
+        z, n = text_logits(batch.column(text), model, bucket_logits) if known else (np.zeros((batch.num_rows, 1)), np.zeros(batch.num_rows, int))
         p = _softmax(z / model.temperature)
         best, ok = p.argmax(1), n > 0
         labels = [model.labels[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)]
