@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 # Functions for tasks travel with their code: executors need not have this package installed.
@@ -43,6 +44,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bitmaps of ids are broadcast up to this size, that of 64 million ids in a row; beyond, ids are joined.
+BITMAP_BYTES = 8 << 20
+
+
+def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame | None:
+    """The rows of ``docs`` whose integer ``key`` is in ``ids``, without a shuffle of ``docs``; None if the ids' bitmaps are too large to be sent to all tasks."""
+    k = F.col(key)
+    maps = stored(ids.where(k.isNotNull()).groupBy(F.bitmap_bucket_number(k).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("__bits")))
+    if maps.count() * 4096 > BITMAP_BYTES:
+        return None
+    at = F.bitmap_bit_position(k)
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, CAST(bitmap_bit_position(`{key}`) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(k) == F.col("__bucket")).where(hit).select(*docs.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches between rows so that each piece holds about ``max_bytes`` of text (or one row)."""
     for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lowered, checkpointed, mix64, slices, word_codes, word_hashes
+from .common import ascii_lowered, checkpointed, having, mix64, slices, word_codes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -214,7 +214,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     few = member.where(F.col("all") <= TILE).agg(F.count(F.lit(1)).alias("n")).first()["n"]
     bags = max(1, few // 2000)
 
-    texts = source.join(
+    few_texts = having(source, member.select("doc_id"))
+    texts = (source if few_texts is None else few_texts).join(
         member.select("doc_id", "rid", "cluster", "copies", "band", F.col("all").alias("m"), F.to_json("cut").alias("cut")), "doc_id"
     ).mapInArrow(_tokens, "rid bigint, cluster bigint, copies bigint, band int, m bigint, cut string, tokens array<bigint>")
     cut = F.from_json("cut", "map<string,int>")
@@ -255,4 +256,5 @@ def op3_ngram_jaccard(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id (of rows that repeat it, all that are linked to nothing smaller)."""
     found = jaccard_classes(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    kept = having(docs, found)
+    return kept if kept is not None else docs.join(found, "doc_id", "left_semi").select(*docs.columns)
