@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from .common import checkpointed, slices, word_codes
 
 CAPACITY = 2048
 SHARD, ISLANDS, POPULATION, GENERATIONS = 8192, 2, 4, 4
-CACHE = 300_000
+CACHE = 600_000
 END = 0
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -33,6 +34,23 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+TAIL = ".,;:!?"
+
+
+def word_parts(word: str) -> tuple[str, str]:
+    """A word as the parts whose ids are its own, one after the other: lower-cased, and marks at its end apart.
+
+    Pieces never span letters and marks, and the tokenizer lower-cases each letter by itself. Words with
+    letters beyond Latin, where lower case could depend on more, or what may be a special token, stay whole.
+    """
+    if max(word) >= "\u0250" or "<|" in word:
+        return word, ""
+    core = word.rstrip(TAIL)
+    if not core or not core[-1].isalpha():
+        return word.lower(), ""
+    return core.lower(), word[len(core) :]
+
+
 class Encoder:
     """Token ids of texts. The tokenizer drops white space and no token spans it, so each distinct word is encoded once."""
 
@@ -42,20 +60,24 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def learn(self, parts: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known = {}
+        fresh = [w for w in parts if w not in self.known]
+        for a in range(0, len(fresh), 10_000):
+            some = fresh[a : a + 10_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the bounds of each text, each text closed by END."""
         bounds, codes, words = word_codes(texts)
-        listed = words.to_pylist()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = [w for w in listed if w not in self.known]
-        for a in range(0, len(fresh), 10_000):
-            part = fresh[a : a + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = e.ids
-        per_word = [self.known[w] for w in listed]
-        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word))
-        pool = np.fromiter((i for ids in per_word for i in ids), np.uint32, int(sizes.sum()))
+        parts = [word_parts(w) for w in words.to_pylist()]
+        self.learn({p for pair in parts for p in pair})
+        known = self.known
+        per_word = [known[a] + known[b] if b else known[a] for a, b in parts]
+        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
+        pool = np.frombuffer(b"".join(per_word), np.uint32)
         first = np.cumsum(sizes) - sizes
         n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(n)])
@@ -66,7 +88,7 @@ class Encoder:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encode = Encoder(path)
-    for batch in slices(batches):
+    for batch in slices(batches, max_bytes=8 << 20):
         ids, bounds = encode(batch.column("text"))
         rows = []
         for doc, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
