@@ -118,3 +118,33 @@ def test_windows_and_stitching(spark):
     assert grid.overlay(x.select("r", "c", "lulc"), top, "lulc").where("lulc = 9").count() == 3
     both = top.selectExpr("*", "1 AS k").unionByName(top.selectExpr("r", "c", "8 AS lulc", "2 AS k"))
     assert {r["lulc"] for r in grid.overlay_ordered(both, "lulc", "k").collect()} == {8}
+
+
+def test_small_kernels(spark):
+    k = kernels.gaussian_kernel_cdf(spark, 5, 2.0).collect()
+    assert len(k) == 25 and abs(sum(r["w"] for r in k) - 1) < 1e-12
+    w = {(r["i"], r["j"]): r["w"] for r in k}
+    assert w[2, 2] == max(w.values()) and abs(w[0, 1] - w[1, 0]) < 1e-15
+    s = {(r["half_life"], r["dr"], r["dc"]): r["w"] for r in kernels.kernel_set(spark, [1, 2]).collect()}
+    assert len(s) == 18**2 + 36**2 and abs(s[2.0, 0, 2] - 0.5) < 1e-12 and (1.0, 9, 0) not in s
+
+
+def test_loss_is_zero_only_for_equal_maps(spark):
+    from cellforge.operators import fit
+
+    rows = [Row(r=r, c=c, baseline=1 + (r + c) % 3, projected=1 + (r * c) % 3, observed=1 + (r * c) % 3) for r in range(14) for c in range(14)]
+    same = spark.createDataFrame(rows)
+    assert fit.fit_loss(same, (1, 2, 3), 1.0, 14, 14).count() == 0
+    other = same.selectExpr("r", "c", "baseline", "baseline AS projected", "observed")
+    assert all(r["loss"] > 0 for r in fit.fit_loss(other, (1, 2, 3), 1.0, 14, 14).collect())
+    assert fit.weighted_score(same, fit.fit_loss(same, (1, 2, 3), 1.0, 14, 14)).first()["loss"] == 0
+
+
+def test_change_matrix_properties(spark):
+    x = spark.createDataFrame([Row(cr=0, cc=0, a=1 + i % 4, b=1 + (i * i) % 4) for i in range(40)])
+    m = coarse.change_matrix(x, "a", "b", (1, 2, 3, 4))
+    rows = {r["from_class"]: r["n"] for r in m.groupBy("from_class").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert rows == {r["a"]: r["count"] for r in x.groupBy("a").count().collect()}
+    assert coarse.dense_change_matrix(m, (1, 2, 3, 4)).count() == 16
+    back = coarse.from_mosaic(coarse.mosaic(m, 4), 4)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, m.collect()))
