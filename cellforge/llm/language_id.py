@@ -55,7 +55,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owners.append(owner[: len(h)][ok])
     grams, owners = np.concatenate(grams).astype(np.int64), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return grams[order], np.bincount(owners, minlength=len(words)), sizes > 0
+    return grams[order].astype(np.int32), np.bincount(owners, minlength=len(words)), sizes > 0
 
 
 def _segment_mean(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -101,7 +101,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
         middle.append(" ".join(w[a : a + TRAIN_WORDS]))
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 10 else np.zeros(len(y), bool)
     bounds, codes, words = word_codes(pa.array(middle, pa.string()))
-    grams, counts, lettered = subwords(words.to_pylist())
+    parts = [subwords(words.slice(a, 10_000).to_pylist()) for a in range(0, len(words), 10_000)] or [subwords([])]
+    grams, counts, lettered = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     first = np.cumsum(counts) - counts
     rows = np.flatnonzero(~held)
     g_e, g_w = np.full(BUCKETS, 1e-6), np.full((DIMS, len(labels)), 1e-6)
@@ -116,17 +118,17 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
             flat = np.concatenate(ws)
             k = counts[flat]
             g = grams[np.repeat(first[flat] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-            weight = np.repeat(1.0 / (k * np.repeat(n, n)), k)
+            weight = np.repeat(1.0 / (k * np.repeat(n, n)), k).astype(np.float32)
             doc = np.repeat(np.repeat(np.arange(len(docs)), n), k)
-            x = np.zeros((len(docs), DIMS))
+            x = np.zeros((len(docs), DIMS), np.float32)
             np.add.at(x, doc, model.embeddings[g] * weight[:, None])
             p = _softmax(x @ model.weights + model.bias)
             p[np.arange(len(docs)), y[docs]] -= 1
             d_x = p @ model.weights.T
             d_w = x.T @ p
             g_w += d_w * d_w
-            d_e = np.zeros((BUCKETS, DIMS))
-            np.add.at(d_e, g, d_x[doc] * weight[:, None])
+            d_e = np.zeros((BUCKETS, DIMS), np.float32)
+            np.add.at(d_e, g, d_x.astype(np.float32)[doc] * weight[:, None])
             hit = np.unique(g)
             g_e[hit] += (d_e[hit] ** 2).mean(1)
             model.embeddings[hit] -= RATE * d_e[hit] / np.sqrt(g_e[hit])[:, None]
