@@ -265,11 +265,12 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(row, first, last): runs of starts, in bytes, of windows of LENGTH bytes that also start elsewhere; ``docs`` has (row, doc_id, text), row being unique."""
     tuples = docs.select("row", "text").mapInArrow(_sample, "gram bigint, block bigint, row bigint, a int, b int")
-    grams = tuples.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("least"), F.max("block").alias("most")).where("n > 1").drop("n")
+    # Sums are stored before they are joined back: a join that also ends a sum could not be split where a key is hot.
+    grams = stored(tuples.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("least"), F.max("block").alias("most")).where("n > 1").drop("n"))
     left = stored(tuples.join(grams, "gram").select("gram", "block", "row", "a", "b", (F.col("least") == F.col("most")).alias("alone")))
     several = left.where("NOT alone")
-    pairs = several.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a")).alias("own"))
-    blocks = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("blocks"))
+    pairs = stored(several.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a")).alias("own")))
+    blocks = stored(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("blocks")))
     known = several.join(pairs, ["gram", "block"])
     span = ("row", F.col("a").cast("long").alias("first"), F.col("b").cast("long").alias("last"))
     whole = left.where("alone").select(*span).unionByName(known.where("n > 1").select(*span))
