@@ -9,6 +9,8 @@ parent whole, removes the receiver's bins that hold their pieces twice, and best
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -52,18 +54,35 @@ def word_parts(word: str) -> tuple[str, str]:
 
 
 class Encoder:
-    """Token ids of texts. The tokenizer drops white space and no token spans it, so each distinct word is encoded once."""
+    """Token ids of texts. The tokenizer drops white space and no token spans it, so each distinct word is encoded once.
+
+    Ids are kept in two generations of CACHE / 2 words each, so frequent words stay.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+
+    @staticmethod
+    def of_worker(path: str) -> Encoder:
+        """The one that this Python worker used in its tasks before, if any."""
+        kept = sys.modules.setdefault("cellforge_worker", types.ModuleType("cellforge_worker")).__dict__
+        if kept.get("encoder_path") != path:
+            kept |= {"encoder": Encoder(path), "encoder_path": path}
+        return kept["encoder"]
 
     def learn(self, parts: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known = {}
-        fresh = [w for w in parts if w not in self.known]
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {}, self.known
+        fresh = []
+        for w in parts:
+            if w not in self.known:
+                if (ids := self.older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    self.known[w] = ids
         for a in range(0, len(fresh), 10_000):
             some = fresh[a : a + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -87,7 +106,7 @@ class Encoder:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode = Encoder(path)
+    encode = Encoder.of_worker(path)
     for batch in slices(batches, max_bytes=8 << 20):
         ids, bounds = encode(batch.column("text"))
         rows = []
