@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SEED = 17
 #: A target weight goes as this power of the source's size; 1 keeps the mix, 0 makes all sources equal.
 TEMPERATURE = 0.5
@@ -68,9 +70,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     """``docs`` repeated and shuffled, with ``copy`` (from 1) and ``shuffle_key`` (long) added; columns of those names are replaced.
 
     Rows with equal keys are repeated alike. A null key counts as a key of its own. The table of rates has one row per
-    source; its join is left to Spark, which broadcasts it only while its measured size allows.
+    source; it is stored first, so Spark knows its size and broadcasts it only while that allows.
     """
-    r = rates(docs, weights, epochs, temperature, source).select(F.col("source").alias("__source"), "rate")
+    r = stored(rates(docs, weights, epochs, temperature, source).select(F.col("source").alias("__source"), "rate"))
     id_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     x = docs.drop("copy", "shuffle_key").join(r, F.col(source).eqNullSafe(F.col("__source")), "inner")
     x = x.withColumn("__n", _poisson(F.col("rate"), id_text, seed)).where("__n > 0")
