@@ -64,6 +64,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a piece
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def of_worker(path: str) -> Encoder:
@@ -83,9 +86,17 @@ class Encoder:
                     fresh.append(w)
                 else:
                     self.known[w] = ids
+        # Words of letters alone are one piece each, so many go as one text, and their last ids tell them apart.
         for a in range(0, len(fresh), 10_000):
-            some = fresh[a : a + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            some = [w for w in fresh[a : a + 10_000] if w.isalpha()]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(some):
+                flat, at = ids.tobytes(), 0
+                for w, end in zip(some, cuts.tolist(), strict=True):
+                    self.known[w], at = flat[at:end], end
+            rest = [w for w in fresh[a : a + 10_000] if w not in self.known]
+            for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.known[w] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
