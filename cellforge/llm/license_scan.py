@@ -1,9 +1,9 @@
 """Licence scan by ordered signature rules, with DataFrame functions alone.
 
-A document is only looked at closely when one of the root words occurs in it. Its text is then
-normalised once (lower case, single blanks), the rules whose keyword occurs are matched, and a
-detection that lies inside one of at least its priority is suppressed. All of it happens within the
-document's row, so the plan has no shuffle and a hot source or group of copies cannot skew it.
+Each text is normalised once (lower case, single blanks), the rules whose keyword occurs are matched
+(keywords come from the rules themselves, so no gate can miss one), and a detection that lies inside
+one of at least its priority is suppressed. All of it happens within the document's row, so the plan
+has no shuffle and a hot source or group of copies cannot skew it.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases that always count, with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Roots without which no rule and no phrase can match ("cc by" takes any separators).
-ROOTS = ("licen", "spdx", "copyright", "public domain", "rights reserved", "warranty", "proprietary", "hereby", "permission", "redistribution", "creative")
-SPLIT_ROOTS = ("cc by", "public domain", "rights reserved")
 
 
 def n_words(text: Column) -> Column:
@@ -35,14 +32,12 @@ def _normal(text: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
-def _worth_a_look(text: Column, low: Column) -> Column:
-    found = F.lit(False)
-    for root in ROOTS:
-        found = found | F.contains(low, F.lit(root))
-    for phrase in SPLIT_ROOTS:
-        first, second = phrase.split(" ")
-        found = found | (F.contains(low, F.lit(first)) & F.contains(low, F.lit(second)) & F.rlike(text, F.lit(f"(?i){first}[^{WORD}]+{second}")))
-    return found
+def roots(keywords: list[str]) -> dict[str, list[str]]:
+    """``keywords`` by a text that each of them holds: the shortest of the others within it, or "licen", or itself."""
+    out: dict[str, list[str]] = {}
+    for k in keywords:
+        out.setdefault(min((r for r in (*keywords, "licen") if r in k), key=lambda r: (len(r), r)), []).append(k)
+    return out
 
 
 def _blanks(text: Column) -> Column:
@@ -59,8 +54,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") ->
     are scanned each for itself.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("__body", body).withColumn("__low", F.lower("__body"))
-    df = df.withColumn("__norm", F.when(_worth_a_look(F.col("__body"), F.col("__low")), _normal(F.col("__body")))).drop("__low")
+    df = docs.withColumn("__body", body).withColumn("__norm", _normal(F.col("__body")))
     norm = F.col("__norm")
 
     places = []
@@ -82,10 +76,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") ->
     by_keyword: dict[str, list[dict]] = {}
     for k, (label, keyword, pattern, priority) in enumerate(rules()):
         by_keyword.setdefault(keyword, []).append({"label": label, "pattern": f" {pattern}(?= )", "priority": priority, "rule": k})
-    listed = [{"keyword": k, "rules": v} for k, v in by_keyword.items()]
-    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<keyword:string,rules:array<struct<label:string,pattern:string,priority:int,rule:int>>>>")  # folded to one literal
-    tried = F.flatten(F.transform(F.filter(table, lambda g: F.contains(norm, g["keyword"])), lambda g: g["rules"]))
-    df = df.withColumn("__rules", F.when(norm.isNotNull(), F.filter(tried, lambda r: F.rlike(norm, r["pattern"]))))
+    listed = [{"root": root, "words": [{"keyword": k, "rules": by_keyword[k]} for k in own]} for root, own in roots(list(by_keyword)).items()]
+    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<root:string,words:array<struct<keyword:string,rules:array<struct<label:string,pattern:string,priority:int,rule:int>>>>>>")  # folded to one literal
+    words = F.flatten(F.transform(F.filter(table, lambda g: F.contains(norm, g["root"])), lambda g: g["words"]))
+    tried = F.flatten(F.transform(F.filter(words, lambda g: F.contains(norm, g["keyword"])), lambda g: g["rules"]))
+    df = df.withColumn("__rules", F.filter(tried, lambda r: F.rlike(norm, r["pattern"])))
 
     # A match is cut out between the pieces of a split, which gives its place.
     found = F.expr(

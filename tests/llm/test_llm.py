@@ -58,6 +58,41 @@ def test_license_places_and_suppression(spark):
     assert len(license_scan.rules()) > 300
 
 
+def made_of(tree, most):
+    """A text that a parsed pattern matches, with all of its optional parts or with none."""
+    out = ""
+    for op, x in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            out += chr(x[0][1] if str(x[0][0]) == "LITERAL" else x[0][1][0])
+        elif op == "BRANCH":
+            out += made_of(x[1][0], most)
+        elif op == "SUBPATTERN":
+            out += made_of(x[3], most)
+        else:  # repeats
+            out += made_of(x[2], most) * (max(1, x[0]) if most else x[0])
+    return out
+
+
+def test_license_each_rule_fires_alone(spark):
+    rules = license_scan.rules()
+    texts = [made_of(re._parser.parse(p), most) for _, _, p, _ in rules for most in (True, False)]
+    texts += ["distributed under the terms of the GPL version 3", "released under Apache 2.0", "covered by the MPL 2.0", "available under CC0 1.0", "same terms as Perl itself", "FreeBSD", "ODbL 1.0", "SSPL v1"]
+    got = {r["doc_id"]: r for r in license_scan.op1_license_scan(base(spark, texts)).collect()}
+    assert all(got[i]["score"] >= (rules[i // 2][3] + 1) / 6 for i in range(2 * len(rules)))
+    for i, t in enumerate(texts):
+        norm = " " + re.sub("[^0-9a-z]+", " ", t.lower()).strip() + " "
+        found = sorted((m.start(), -m.end(), -p, k, label) for k, (label, _, rule, p) in enumerate(rules) for m in re.finditer(f" {rule}(?= )", norm))
+        kept = []
+        for a, b, p, _, label in found:
+            if not any(-b <= e and -p <= q for e, q, _ in kept):
+                kept.append((-b, -p, label))
+        base_labels = {label for phrase, label in license_scan.PHRASES if f" {phrase} " in norm}
+        assert kept and got[i]["labels"] == ",".join(sorted(base_labels | {label for *_, label in kept})), t
+
+
 def test_license_clashing_columns(spark):
     x = base(spark, ["under the mit license"]).withColumn("license", F.lit(1)).withColumn("n_words", F.lit(5))
     r = license_scan.scan_licenses(x).first()
