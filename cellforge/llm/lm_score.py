@@ -4,12 +4,14 @@ The vocabulary comes from word counts over the whole corpus: the most frequent w
 their own, the others share hashed ones. The network sees the embeddings of the words around a masked
 place, weighted by their distance and side, and predicts the word in two steps, its class and then
 the word within the class, so a prediction costs a few hundred multiplications. Tasks train by SGD in
-numpy on their own documents from common starting weights, and the weights are averaged, ROUNDS times.
+numpy on their own documents from common starting weights, and the weights are averaged, ROUNDS times;
+every document is trained on in one of the rounds.
 A document's score is the sum of the log-probabilities of all its words, each given both sides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -25,8 +27,8 @@ from .common import checkpointed, mix64, slices, word_codes, word_hashes
 CLASSES = 48
 WORDS, SHARED = CLASSES * CLASSES - 256, 256
 DIMS, WINDOW, RATE, BATCH = 16, 3, 0.08, 2048
-#: Rounds of training; each takes one of so many parts of the documents, by a hash of the text.
-ROUNDS, PARTS = 2, 8
+#: Rounds of training; each takes its part of the documents, by a hash of the text, and together they take all.
+ROUNDS = 2
 GROUPS = 16
 
 
@@ -90,11 +92,6 @@ def surroundings(entries: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1)[:, None]
-    return z - np.log(np.exp(z).sum(1))[:, None]
-
-
 def _log_chance(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of entry y in each row."""
     z -= z.max(1)[:, None]
@@ -105,7 +102,7 @@ def _log_chance(z: np.ndarray, y: np.ndarray) -> np.ndarray:
 def hidden(m: Model, around: np.ndarray) -> np.ndarray:
     x = np.zeros((len(around), DIMS), np.float32)
     for k in range(2 * WINDOW):
-        x += m.inputs[around[:, k]] * m.sides[k]
+        x += m.inputs.take(around[:, k], axis=0) * m.sides[k]
     return np.concatenate([np.tanh(x), np.ones((len(x), 1), np.float32)], axis=1)
 
 
@@ -131,32 +128,50 @@ def log_probabilities(m: Model, entries: np.ndarray, bounds: np.ndarray, block:
     return out
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1)[:, None]
+    np.exp(z, out=z)
+    z /= z.sum(1)[:, None]
+    return z
+
+
 def train_on(m: Model, entries: np.ndarray, bounds: np.ndarray) -> None:
     """One pass of SGD over all words, in place."""
     around = surroundings(entries, bounds)
+    small = np.uint16 if CLASSES * CLASSES < 1 << 16 else np.int64  # small integers are sorted by their digits
     for a in range(0, len(entries), BATCH):
         near = around[a : a + BATCH]
+        c = entries[a : a + BATCH] % CLASSES
+        order = np.argsort(c.astype(small), kind="stable")  # by class
+        c, p, near = c[order], entries[a : a + BATCH][order] // CLASSES, near[order]
+        cuts = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+        at = np.arange(len(c))
         h = hidden(m, near)
-        c, p = entries[a : a + BATCH] % CLASSES, entries[a : a + BATCH] // CLASSES
-        g = np.exp(_log_softmax(h @ m.classes))
-        g[np.arange(len(c)), c] -= 1
+        g = _softmax(h @ m.classes)
+        g[at, c] -= 1
         d_h = g @ m.classes.T
         d_classes = h.T @ g
-        for k, rows in _by_class(c):
-            g = np.exp(_log_softmax(h[rows] @ m.within[k]))
-            g[np.arange(len(rows)), p[rows]] -= 1
-            d_h[rows] += g @ m.within[k].T
-            m.within[k] -= RATE * (h[rows].T @ g) / np.sqrt(len(rows) * 8)
-        m.classes -= RATE * d_classes / np.sqrt(len(c) * 8)
+        g = np.empty((len(c), CLASSES), np.float32)
+        own = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+        for k, rows in own:
+            np.matmul(h[rows], m.within[k], out=g[rows])
+        g = _softmax(g)
+        g[at, p] -= 1
+        for k, rows in own:
+            d_h[rows] += g[rows] @ m.within[k].T
+            m.within[k] -= (h[rows].T @ g[rows]) * (RATE / math.sqrt((rows.stop - rows.start) * 8))
+        m.classes -= d_classes * (RATE / math.sqrt(len(c) * 8))
         d_x = (d_h * (1 - h * h))[:, :DIMS]
         for k in range(2 * WINDOW):
             # gather the gradients of equal entries before they are taken off
-            order = np.argsort(near[:, k], kind="stable")
-            e, first = np.unique(near[order, k], return_index=True)
-            own = np.add.reduceat(d_x[order], first, axis=0)
-            d_side = (m.inputs[near[:, k]] * d_x).sum(0)
-            m.inputs[e] -= RATE * own * m.sides[k] / np.sqrt(np.diff(np.append(first, len(order))))[:, None]
-            m.sides[k] -= 0.1 * RATE * d_side / np.sqrt(len(c) * 8)
+            order = np.argsort(near[:, k].astype(small), kind="stable")
+            e = near[order, k]
+            first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
+            by_entry = d_x.take(order, axis=0)
+            own_x = np.add.reduceat(by_entry.view(np.complex64), first, axis=0).view(np.float32)  # two at a time
+            d_side = np.einsum("ij,ij->j", m.inputs.take(e, axis=0), by_entry)
+            m.inputs[e[first]] -= own_x * m.sides[k] * (RATE / np.sqrt(np.diff(np.append(first, len(order))))).astype(np.float32)[:, None]
+            m.sides[k] -= d_side * (0.1 * RATE / math.sqrt(len(c) * 8))
 
 
 ARRAYS = ("inputs", "sides", "classes", "within")
@@ -175,8 +190,8 @@ def _unflat(m: Model, flat: np.ndarray) -> Model:
     return Model(m.words, **made)
 
 
-def _round(docs: DataFrame, m: Model, part: int, text: str) -> Model:
-    """Weights after training on the ``part``-th documents, averaged over the tasks by their words."""
+def _round(docs: DataFrame, m: Model, part: int, parts: int, text: str) -> Model:
+    """Weights after training on the ``part``-th of ``parts`` of the documents, averaged over the tasks by their words."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**{k: v.copy() for k, v in asdict(m).items()})
@@ -194,7 +209,7 @@ def _round(docs: DataFrame, m: Model, part: int, text: str) -> Model:
         total = sum(w * (k / n) for w, k in zip(rows["weights"], rows["n"], strict=True))
         return pd.DataFrame({"n": [n], "weights": [np.asarray(total, np.float32)]})
 
-    some = docs.where(F.pmod(F.xxhash64(text), F.lit(PARTS)) == part).select(text)
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(parts)) == part).select(text)
     each = some.mapInArrow(local, "n bigint, weights array<float>").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
     rows = each.groupBy("g").applyInPandas(lambda x: averaged(x.drop(columns="g")), "n bigint, weights array<float>").collect()  # GROUPS rows at most
     if not rows:
@@ -205,13 +220,13 @@ def _round(docs: DataFrame, m: Model, part: int, text: str) -> Model:
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """A model of ``docs``: vocabulary and biases from counts over all words, weights from ``rounds`` parts of 1 / PARTS of the documents each."""
+    """A model of ``docs``: vocabulary and biases from counts over all words, weights from all documents, dealt over the ``rounds``."""
     counts = checkpointed(word_counts(docs, text))
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     rows = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()  # WORDS rows at most
     m = start([(r["word"], r["n"]) for r in rows], total)
     for k in range(rounds):
-        m = _round(docs.where(F.col(text).isNotNull()), m, k, text)
+        m = _round(docs.where(F.col(text).isNotNull()), m, k, rounds, text)
     return m
 
 

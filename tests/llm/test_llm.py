@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -317,6 +318,18 @@ def test_lm_scores_learn_and_sum(spark):
     assert all((r["n_tokens"], r["log_prob"], r["mean_log_prob"]) == (0, 0.0, None) for r in none)
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch, tmp_path):
+    """Each task notes how many words it is given; over the rounds these are all words, copies included."""
+
+    def noted(m, entries, bounds):
+        (tmp_path / uuid.uuid4().hex).write_text(str(len(entries)))
+
+    monkeypatch.setattr(lm_score, "train_on", noted)
+    texts = [prose(k, 5 + k % 7) for k in range(200)] + ["hot text"] * 50 + [None, ""]
+    lm_score.fit(base(spark, texts).select("doc_id", "text"))
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == sum(len((t or "").split()) for t in texts)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
