@@ -23,7 +23,7 @@ STRONG = (
 WEAK = (
     ("client", 3, "identifier", r"(?i)(?:client_?id|access_?key_?id|user(?:name)?|login|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]+)", 1, 3, ("client", "access", "user", "login", "account")),
     ("endpoint", 4, "endpoint", r"(?i)(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>]+|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._:/-]+", 0, 8, ("://", "host", "endpoint", "server")),
-    ("value", 5, "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/=_-])", 0, 20, None),
+    ("value", 5, "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])", 0, 20, None),
 )
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,role:string>>"
 #: Which roles complete which.
@@ -87,7 +87,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     df = df.withColumn("__base", column("__base", STRONG, F.lit(True)))
     # Weak parts need a partner, so there must be a word that a secret or an endpoint needs.
     hint = F.size("__base") > 0
-    for w in ("://", "host", "endpoint", "client", "user", "login", "account", "access"):
+    for w in sorted({w for *_, words in WEAK for w in words or ()}):
         hint = hint | F.contains("__l", F.lit(w))
     df = df.withColumn("__weak", column("__weak", WEAK, hint)).drop("__l")
     inside = "exists(__base, b -> b.start < x.stop AND x.start < b.stop)"

@@ -128,6 +128,20 @@ def test_secrets(spark):
     assert clean == "[access] and [hex]"
 
 
+def test_secrets_each_gate_word_and_long_values(spark):
+    key = "Zx8Kq2Lm9Pw4Rt6Yv1Nb3"
+    partners = {"client": "client_id=app7", "access": "access_key_id=app7", "user": "user=bob", "login": "login=bob", "account": "account=bob", "://": "ftp://10.0.0.5/x", "host": "host=10.0.0.5:8080", "endpoint": "endpoint=10.0.0.5:8080", "server": "server=10.0.0.5:8080"}
+    kinds = {w: kind for kind, *_, words in secret_scan.WEAK for w in words or ()}
+    assert set(kinds) == set(partners)
+    long = ("aB3" * 29)[:86] + "=="
+    texts = [f"{t} key {k}" for k in (key, long) for t in partners.values()] + ["no partner " + long]
+    got = {r["doc_id"]: r for r in secret_scan.op2_secret_scan(base(spark, texts)).collect()}
+    for i, (w, t) in enumerate([*partners.items()] * 2):
+        assert got[i]["spans"] == f"{kinds[w]}:0:{len(t)},value:{len(t) + 5}:{len(texts[i])}"
+    assert got[len(texts) - 1]["spans"] == ""
+    assert secret_scan.redact(base(spark, texts)).where("doc_id = 17").first()["text"] == "[endpoint] key [value]"
+
+
 def sets(texts):
     out = []
     for t in texts:
