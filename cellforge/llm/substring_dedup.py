@@ -293,7 +293,8 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     A null text is empty; texts of less than LENGTH bytes keep all. Repeated rows are documents of
     their own, so they remove one another. Matches never cross documents.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Stored, as ids made anew by each job would change with the way in which files are split.
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")))
     runs = repeated_runs(rows)
     merged = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     x = rows.join(merged, "row", "left").select("doc_id", "text", "runs")

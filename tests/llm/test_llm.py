@@ -269,6 +269,28 @@ def test_repeats(spark, split, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_while_file_splits_change(spark, monkeypatch, tmp_path):
+    """Files are split otherwise from one job to the next, as when an executor is lost; runs stay with their documents."""
+    shared = prose(8, 90)
+    texts = [prose(300 + k, 80) + (shared if k % 3 == 0 else "") + prose(400 + k, 5 + k) for k in range(48)]
+    want = {r["doc_id"]: r for r in substring_dedup.op7_substring_dedup(base(spark, texts)).collect()}
+    base(spark, texts).repartition(12, "doc_id").write.parquet(f"{tmp_path}/docs")
+    size = "spark.sql.files.maxPartitionBytes"
+    before, find = spark.conf.get(size), substring_dedup.repeated_runs
+
+    def then_split(docs):
+        runs = substring_dedup.stored(find(docs))
+        spark.conf.set(size, "4m")  # a file each; three together before
+        return runs
+
+    monkeypatch.setattr(substring_dedup, "repeated_runs", then_split)
+    try:
+        got = {r["doc_id"]: r for r in substring_dedup.op7_substring_dedup(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == want and any(r["n_removed"] for r in want.values())
+
+
 def test_topk_with_odd_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in rng.normal(size=8).round(1)], 0) for i in range(150)]
