@@ -1 +1,8 @@
 """Operators of a training-data pipeline; nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for tasks travel with their code: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

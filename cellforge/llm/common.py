@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import sys
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,13 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
-# Functions for tasks travel with their code: executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a fresh local folder."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a fresh local folder if Spark runs in one process, else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,20 +45,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bitmaps of ids are broadcast up to this size, that of 64 million ids in a row; beyond, ids are joined.
-BITMAP_BYTES = 8 << 20
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame | None:
-    """The rows of ``docs`` whose integer ``key`` is in ``ids``, without a shuffle of ``docs``; None if the ids' bitmaps are too large to be sent to all tasks."""
-    k = F.col(key)
-    maps = stored(ids.where(k.isNotNull()).groupBy(F.bitmap_bucket_number(k).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("__bits")))
-    if maps.count() * 4096 > BITMAP_BYTES:
-        return None
-    at = F.bitmap_bit_position(k)
-    byte = F.conv(F.hex(F.expr(f"substring(__bits, CAST(bitmap_bit_position(`{key}`) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
-    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(k) == F.col("__bucket")).where(hit).select(*docs.columns)
+def released() -> None:
+    """Gives memory that Arrow and the allocator keep for later back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -70,6 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    released()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

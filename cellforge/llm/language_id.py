@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, word_codes
+from .common import free_name, mix64, slices, word_codes
 
-#: Rows that the classifier is fitted on at most (by a hash of the id), and words taken from the middle of each.
-TRAIN_ROWS, TRAIN_WORDS = 4000, 150
-BUCKETS, DIMS, EPOCHS, BATCH, RATE = 1 << 15, 16, 4, 32, 0.3
-#: Rejection starts at this part of the least score of a validation text that is classified right.
-MARGIN = 0.9
+#: Rows that the classifier is fitted on at most, taken by a hash of the id; their whole texts are used.
+TRAIN_ROWS = 1000
+BUCKETS, DIMS, EPOCHS, RATE = 1 << 15, 16, 6, 0.2
+#: Rejection starts at this part of the score that all but this share of the validation texts reach that are classified right.
+MARGIN, LOW = 0.9, 0.01
 UNKNOWN = "und"
 
 
@@ -86,82 +86,77 @@ def text_logits(texts: pa.Array, model: Model, bucket_logits: np.ndarray | None
     return _segment_mean(per_word[codes[ok]], n) + model.bias, n
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
-    """A model of up to TRAIN_WORDS words of each text; a fifth of the texts sets the temperature and the rejection threshold."""
+def bag(bounds: np.ndarray, codes: np.ndarray, words: pa.Array, block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text, the words ``codes[bounds[0]:bounds[1]]`` of ``words``, and their weights: the mean over its words of the means over their n-grams."""
+    seen, n = np.unique(codes[bounds[0] : bounds[1]], return_counts=True)
+    total, lettered = np.zeros(BUCKETS), 0
+    for a in range(0, len(seen), block):
+        grams, counts, ok = subwords(words.take(pa.array(seen[a : a + block])).to_pylist())
+        lettered += n[a : a + block][ok].sum()
+        total += np.bincount(grams, np.repeat(n[a : a + block] / np.maximum(counts, 1), counts), BUCKETS)
+    at = np.flatnonzero(total)
+    return at.astype(np.uint16), (total[at] / max(lettered, 1)).astype(np.float32)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 5) -> Model:
+    """A model of texts as ``bag`` gives them; a fifth of them, held back, sets the temperature and the rejection threshold."""
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
     model = Model(labels, rng.normal(0, 0.05, (BUCKETS, DIMS)).astype(np.float32), np.zeros((DIMS, len(labels))), np.zeros(len(labels)))
     if not labels:
         return model
     y = np.array([labels.index(x) for x in langs])
-    middle = []
-    for t in texts:
-        w = t.split()
-        a = max(0, (len(w) - TRAIN_WORDS) // 2)
-        middle.append(" ".join(w[a : a + TRAIN_WORDS]))
-    held = np.arange(len(y)) % 5 == 4 if len(y) >= 10 else np.zeros(len(y), bool)
-    bounds, codes, words = word_codes(pa.array(middle, pa.string()))
-    parts = [subwords(words.slice(a, 10_000).to_pylist()) for a in range(0, len(words), 10_000)] or [subwords([])]
-    grams, counts, lettered = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    first = np.cumsum(counts) - counts
-    rows = np.flatnonzero(~held)
-    g_e, g_w = np.full(BUCKETS, 1e-6), np.full((DIMS, len(labels)), 1e-6)
+    full = np.array([len(b) > 0 for b, _ in bags])
+    held = (np.arange(len(y)) % 5 == 4) & (len(y) >= 10)
+    rows = np.flatnonzero(~held & full)
+    g_e, g_w = np.full(BUCKETS, 1e-6, np.float32), np.full((DIMS, len(labels)), 1e-6)
     for _ in range(EPOCHS):
         rng.shuffle(rows)
-        for at in range(0, len(rows), BATCH):
-            docs = rows[at : at + BATCH]
-            ws = [c[lettered[c]] for c in (codes[bounds[i] : bounds[i + 1]] for i in docs)]
-            n = np.array([len(c) for c in ws])
-            if not n.sum():
-                continue
-            flat = np.concatenate(ws)
-            k = counts[flat]
-            g = grams[np.repeat(first[flat] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-            weight = np.repeat(1.0 / (k * np.repeat(n, n)), k).astype(np.float32)
-            doc = np.repeat(np.repeat(np.arange(len(docs)), n), k)
-            x = np.zeros((len(docs), DIMS), np.float32)
-            np.add.at(x, doc, model.embeddings[g] * weight[:, None])
-            p = _softmax(x @ model.weights + model.bias)
-            p[np.arange(len(docs)), y[docs]] -= 1
-            d_x = p @ model.weights.T
-            d_w = x.T @ p
+        for i in rows:
+            at, w = bags[i]
+            x = w @ model.embeddings[at]
+            p = _softmax((x @ model.weights + model.bias)[None])[0]
+            p[y[i]] -= 1
+            d_x, d_w = model.weights @ p, np.outer(x, p)
+            g_e[at] += w * w * np.float32((d_x * d_x).mean())
             g_w += d_w * d_w
-            d_e = np.zeros((BUCKETS, DIMS), np.float32)
-            np.add.at(d_e, g, d_x.astype(np.float32)[doc] * weight[:, None])
-            hit = np.unique(g)
-            g_e[hit] += (d_e[hit] ** 2).mean(1)
-            model.embeddings[hit] -= RATE * d_e[hit] / np.sqrt(g_e[hit])[:, None]
+            model.embeddings[at] -= (w / np.sqrt(g_e[at]))[:, None] * (RATE * d_x).astype(np.float32)
             model.weights -= RATE * d_w / np.sqrt(g_w)
-            model.bias -= 0.05 * p.mean(0)
-    test = np.flatnonzero(held)
+            model.bias -= 0.01 * p
+    test = np.flatnonzero(held & full)
     if len(test):
-        z, n = text_logits(pa.array([middle[i] for i in test], pa.string()), model)
-        z, truth = z[n > 0], y[test][n > 0]
-        if len(z):
-            loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), truth] + 1e-300).mean()
-            model.temperature = float(min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=loss))
-            p = _softmax(z / model.temperature)
-            right = p.argmax(1) == truth
-            # Never above the chance of a coin: a text that the model is surer of than that is not rejected.
-            model.threshold = float(min(0.5, MARGIN * p[right].max(1).min())) if right.any() else 0.0
+        z = np.stack([bags[i][1] @ model.embeddings[bags[i][0]] for i in test]) @ model.weights + model.bias
+        loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), y[test]] + 1e-300).mean()
+        model.temperature = float(min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0, 6.0), key=loss))
+        p = _softmax(z / model.temperature)
+        right = p.argmax(1) == y[test]
+        # Never above the chance of a coin: a text that the model is surer of than that is not rejected.
+        model.threshold = float(min(0.5, MARGIN * np.quantile(p[right].max(1), LOW))) if right.any() else 0.0
     return model
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "t", 1 << 20):
+        bounds, codes, words = word_codes(batch.column("t"))
+        made = [bag(bounds[i : i + 2], codes, words) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary())], ["k", "l", "at", "w"])
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits on at most TRAIN_ROWS rows of ``docs`` with a text and a language, taken by a hash of the id. Only ids of that many rows and their texts come to the driver."""
+    """Fits on at most TRAIN_ROWS rows of ``docs`` with an id, a text and a language, taken by a hash of the id, and on their whole texts.
+
+    Tasks turn each text into its bag, of BUCKETS entries at most however long the text is; only bags come to the driver.
+    """
     good = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     key = F.md5(F.col(doc_id).cast("string"))
     ids = good.select(F.col(doc_id).alias("id")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(TRAIN_ROWS)
     few = F.broadcast(ids.distinct())  # TRAIN_ROWS ids at most
-    words = F.split(F.col(text), r"\s+")
-    start = F.greatest(F.lit(1), F.floor((F.size(words) - TRAIN_WORDS) / 2).cast("int"))
-    some = good.join(few, F.col(doc_id) == F.col("id"), "left_semi").select(key.alias("k"), F.array_join(F.slice(words, start, F.lit(TRAIN_WORDS + 2)), " ").alias("t"), F.col(lang).alias("l"))
-    rows = some.orderBy("k", "t").limit(TRAIN_ROWS).collect()
-    return fit([r["t"] for r in rows], [r["l"] for r in rows])
+    some = good.join(few, F.col(doc_id) == F.col("id"), "left_semi").select(key.alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    rows = some.mapInArrow(_bags, "k string, l string, at binary, w binary").orderBy("k", "at", "w", "l").limit(TRAIN_ROWS).collect()
+    return fit([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["w"], np.float32)) for r in rows], [r["l"] for r in rows])
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], model: Model, text: str, out: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     bucket_logits = model.embeddings @ model.weights
     for batch in slices(batches, text):
         known = bool(model.labels)
@@ -170,19 +165,18 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> It
         best, ok = p.argmax(1), n > 0
         labels = [model.labels[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)]
         score = np.where(ok, p.max(1), 0.0)
-        keep = [(i, c) for i, c in enumerate(batch.schema.names) if c not in ("lang_pred", "score", "rejected")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, _ in keep), pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array(~ok | (score < model.threshold))], [*(c for _, c in keep), "lang_pred", "score", "rejected"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array(~ok | (score < model.threshold))], [*batch.schema.names, *out])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``; columns of those names are replaced.
+def predict(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with the columns ``out``: the language, its score (0 to 1) and whether the model rejects the text; columns of those names are replaced.
 
     A null text, or one without a letter, is ``und`` with the score 0 and rejected. Only ``text``
-    decides. Without any labelled row all is ``und``.
+    decides, so repeated rows get equal values. Without any labelled row all is ``und``.
     """
-    x = docs.drop("lang_pred", "score", "rejected")
+    x = docs.drop(*out)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in x.schema)
-    return x.mapInArrow(lambda b: _predicted(b, model, text), fields + "lang_pred string, score double, rejected boolean")
+    return x.mapInArrow(lambda b: _predicted(b, model, text, out), fields + "{} string, {} double, {} boolean".format(*out))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -190,13 +184,18 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op5_language_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rejected) of each row of ``docs``.
+
+    A null or letterless text is ``und`` with the score 0; a null id or language keeps a row from the
+    fitting, not from a prediction; an empty table gives no rows; other columns are not read.
+    """
     model = train(docs.where(~held_out()))
     x = predict(docs.select("doc_id", "text", held_out().alias("held_out")), model)
     return x.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def keep_recognised(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language the model rejects."""
+    """The rows of ``docs`` whose language the model does not reject, with their columns as they are, whatever their names."""
     model = train(docs.where(~held_out()))
-    names = docs.columns
-    return predict(docs, model).where(~F.col("rejected")).select(*names)
+    out = tuple(free_name(docs, n) for n in ("lang_pred", "score", "rejected"))
+    return predict(docs, model, out=out).where(~F.col(out[2])).drop(*out)
