@@ -1,19 +1,22 @@
 """Exact Jaccard join of word n-gram sets: size-banded tiles with bitmap signatures.
 
 1. Every text becomes a sorted array of 64-bit hashes of its shingles; texts with equal arrays are one
-   class and go on as one.
+   class, named by a hash of the array, and go on as one.
 2. Candidates. Only shingles whose hash is in the lowest SHARE of the range are looked at. A partner
    lacks at most a quarter of a set's shingles, so it shares at least ``need`` = (shingles in the
    range) - (a quarter of all) of them; a set whose ``need`` is below 1 looks at all its shingles.
    Shingles of a single class cannot be shared. Of the shared ones a set may leave out its ``need`` - 1
    most frequent: the least frequent shared one always stays on both sides. Sets with fewer than
-   ``need`` shared shingles have no partner, so common passages fall away without any cap.
+   ``need`` shared shingles have no partner, so common passages fall away without any cap. A task sends
+   the shingles of a class once, not for each copy that it meets.
 3. Classes that remain and share a shingle are joined into clusters, and clusters are cut into tiles
    by bands of set size. Two tiles are compared only if their bands touch. Within a pair of tiles,
    bit counts of hashed bitmaps bound the overlap from above, and pairs that pass are intersected
    exactly. A task returns, per class, its number of links and one link of a spanning forest, never
    pairs.
 4. The forest's components are named by their smallest document.
+
+Sums are stored before they are joined back, so that Spark can split a join where a key is hot.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lowered, checkpointed, having, mix64, slices, word_codes, word_hashes
+from .common import ascii_lowered, checkpointed, mix64, slices, stored, word_codes, word_hashes
 from .components import components
 
 WORDS = 5
 SIMILARITY = 75  # of 100
 SHARE = 1 / 3
-TILE = 256
+TILE, TILE_SHINGLES = 256, 2_000_000
+#: Classes that a task remembers having sent.
+MET = 200_000
+KEPT = "__kept_id"
 BITS = 2048
 #: Groups up to this are told apart by size when the most frequent shingles are left out.
 FREQUENT = 1 << 16
@@ -72,40 +78,57 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat))
 
 
-def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    edge = np.uint64(int(SHARE * 2**64))
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sets = shingle_sets(batch.column("text"))
-        rids, need, low = [], [], []
-        for s in sets:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "rid"])
+
+
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, rid, need): the shingles in the low range of each class that the task has not just met."""
+    edge, met = np.uint64(int(SHARE * 2**64)), set()
+    for batch in slices(batches):
+        need, rids, low = [], [], []
+        for s in shingle_sets(batch.column("text")):
+            rid = class_id(s) if len(s) else None
+            if rid is None or rid in met:
+                continue
+            if len(met) >= MET:
+                met.clear()
+            met.add(rid)
             few = s[: np.searchsorted(s, edge)]
             k = len(few) - len(s) * (100 - SIMILARITY) // 100
-            rids.append(class_id(s) if len(s) else None)
+            rids.append(rid)
             need.append(max(k, 1))
             low.append(few if k >= 1 else s)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(rids, pa.int64()), pa.array(need, pa.int32()), _lists(low)], ["doc_id", "n_shingles", "rid", "need", "low"]
-        )
+        n = [len(x) for x in low]
+        if rids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low).view(np.int64)), pa.array(np.repeat(np.array(rids, np.int64), n)), pa.array(np.repeat(np.array(need, np.int32), n))], ["token", "rid", "need"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token has others, with its frequency (FREQUENT: that or more)."""
+    """Of rows sorted by token and class, once each, those whose token has others, with its frequency (FREQUENT: that or more)."""
 
     def out(token, rid, need, df):
         return pa.RecordBatch.from_arrays([pa.array(token), pa.array(rid), pa.array(need), pa.array(df)], ["token", "rid", "need", "df"])
 
     token, rid, need = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    hot = None  # a token that has shown FREQUENT rows and may go on
+    hot, latest = None, None  # a token that has shown FREQUENT rows and may go on; the row before the batch
     for batch in batches:
         t, r, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "rid", "need"))
-        token, rid, need = np.concatenate([token, t]), np.concatenate([rid, r]), np.concatenate([need, q])
+        if not len(t):
+            continue
+        fresh = np.r_[(t[0], r[0]) != latest, (t[1:] != t[:-1]) | (r[1:] != r[:-1])]
+        latest = (t[-1], r[-1])
+        token, rid, need = np.concatenate([token, t[fresh]]), np.concatenate([rid, r[fresh]]), np.concatenate([need, q[fresh]])
         if not len(token):
             continue
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         last = first[-1]  # the group that may go on
         sizes = np.diff(np.r_[first, len(token)])
-        sizes[0] += FREQUENT * (token[0] == hot)
-        df = np.repeat(np.minimum(sizes, FREQUENT), np.diff(np.r_[first, len(token)])).astype(np.int32)
+        df = sizes.copy()
+        df[0] += FREQUENT * (token[0] == hot)
+        df = np.repeat(np.minimum(df, FREQUENT), sizes).astype(np.int32)
         if len(token) - last >= FREQUENT or token[-1] == hot:
             hot, last = token[-1], len(token)
         ok = np.flatnonzero(df[:last] > 1)
@@ -185,43 +208,41 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, n_links) for each row of ``docs`` (doc_id, text; other columns are not read).
 
     ``n_links`` counts the other documents that a document links with, copies included. A text
     without words (null, empty) is linked with nothing. Rows that repeat an id are documents of their own
-    with the same number.
+    with the same number; rows without an id are linked with nothing but their copies. No rows give no rows.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = checkpointed(source.mapInArrow(_low, "doc_id bigint, n_shingles bigint, rid bigint, need int, low array<bigint>"))
+    sets = stored(source.mapInArrow(_classes, "doc_id bigint, n_shingles bigint, rid bigint"))
     classes = sets.where("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
-    classes = checkpointed(classes)
+    classes = stored(classes)
 
-    # One array for each class: the row of its smallest document.
-    one = sets.alias("s").join(classes.alias("c"), (F.col("s.rid") == F.col("c.rid")) & (F.col("s.doc_id") == F.col("c.rep"))).select("s.rid", "s.need", "s.low")
-    tokens = one.select("rid", "need", F.explode("low").alias("token")).repartition("token").sortWithinPartitions("token", "rid")
+    tokens = source.select("text").mapInArrow(_low, "token bigint, rid bigint, need int").repartition("token").sortWithinPartitions("token", "rid")
     shared = tokens.mapInArrow(_shared, "token bigint, rid bigint, need int, df int")
-    own = shared.groupBy("rid").agg(F.first("need").alias("need"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
+    own = shared.groupBy("rid").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     kept = own.where(F.size("t") >= F.col("need")).select("rid", F.explode(F.expr("slice(t, 1, size(t) - need + 1).token")).alias("token"))
     kept = checkpointed(kept)
-    edges = kept.join(kept.groupBy("token").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1"), "token").select(F.col("rid").alias("u"), "v")
-    cluster = components(edges)
+    least = checkpointed(kept.groupBy("token").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    cluster = components(kept.join(least, "token").select(F.col("rid").alias("u"), "v"))
 
     member = cluster.join(classes, cluster["node"] == classes["rid"]).select("rid", F.col("label").alias("cluster"), F.col("rep").alias("doc_id"), "copies", "n")
-    member = member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / SIMILARITY)) + 1e-9).cast("int"))
-    sizes = member.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("m"))
-    whole = sizes.groupBy("cluster").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct(F.col("band").cast("string"), F.ceil(F.col("m") / TILE).cast("int").alias("k")))).alias("cut"))
-    member = checkpointed(member.join(whole, "cluster"))
-    few = member.where(F.col("all") <= TILE).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    bags = max(1, few // 2000)
-
-    few_texts = having(source, member.select("doc_id"))
-    texts = (source if few_texts is None else few_texts).join(
-        member.select("doc_id", "rid", "cluster", "copies", "band", F.col("all").alias("m"), F.to_json("cut").alias("cut")), "doc_id"
-    ).mapInArrow(_tokens, "rid bigint, cluster bigint, copies bigint, band int, m bigint, cut string, tokens array<bigint>")
+    member = checkpointed(member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / SIMILARITY)) + 1e-9).cast("int")))
+    # A tile holds TILE classes and about TILE_SHINGLES shingles at most, or one class.
+    sizes = member.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"), F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.max("n"))))).cast("int").alias("k"))
+    whole = sizes.groupBy("cluster").agg(((F.sum("m") > TILE) | (F.sum("mass") > TILE_SHINGLES)).alias("big"), F.map_from_entries(F.collect_list(F.struct(F.col("band").cast("string"), "k"))).alias("cut"))
+    member = checkpointed(member.join(checkpointed(whole), "cluster"))
+    few = member.where("NOT big").agg(F.sum("n").alias("n")).first()["n"] or 0
+    bags = max(1, few // TILE_SHINGLES)
+
+    texts = source.join(member.select("doc_id", "rid", "cluster", "copies", "band", "big", F.to_json("cut").alias("cut")), "doc_id").mapInArrow(
+        _tokens, "rid bigint, cluster bigint, copies bigint, band int, big boolean, cut string, tokens array<bigint>"
+    )
     cut = F.from_json("cut", "map<string,int>")
-    small = texts.where(F.col("m") <= TILE).select("rid", "cluster", "copies", "tokens", F.lit(0).alias("side"), F.concat(F.lit("bag:"), F.pmod(F.xxhash64("cluster"), F.lit(bags))).alias("tile"))
+    small = texts.where("NOT big").select("rid", "cluster", "copies", "tokens", F.lit(0).alias("side"), F.concat(F.lit("bag:"), F.pmod(F.xxhash64("cluster"), F.lit(bags))).alias("tile"))
     # A row of tile i of a band meets the tiles j > i of its band, those of the band above, and its own tile.
-    big = texts.where(F.col("m") > TILE).withColumn("cut", cut).withColumn("i", F.pmod(F.xxhash64("rid"), F.expr("cut[CAST(band AS string)]")))
+    big = texts.where("big").withColumn("cut", cut).withColumn("i", F.pmod(F.xxhash64("rid"), F.expr("cut[CAST(band AS string)]")))
     name = lambda lo, i, hi, j: F.concat_ws(":", F.col("cluster").cast("string"), lo, i, hi, j)
     band, up, down, i = F.col("band"), F.col("band") + 1, F.col("band") - 1, F.col("i")
     among = lambda b: F.sequence(F.lit(0), F.coalesce(F.try_element_at("cut", b.cast("string")), F.lit(0)) - 1)
@@ -238,23 +259,26 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     n_links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
-    named = linked.join(classes, linked["node"] == classes["rid"]).select("rid", "label", "rep")
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = checkpointed(linked.join(classes, linked["node"] == classes["rid"]).select("rid", "label", "rep"))
+    smallest = checkpointed(named.groupBy("label").agg(F.min("rep").alias("component_id")))
     extra = named.join(smallest, "label").select("rid", "component_id").join(n_links, "rid", "left")
-    about = classes.select("rid", "rep", "copies").join(extra, "rid", "left")
+    about = stored(classes.select("rid", "rep", "copies").join(extra, "rid", "left"))
     return (
-        sets.select("doc_id", "n_shingles", "rid")
-        .join(about, "rid", "left")
+        sets.join(about, "rid", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
     )
 
 
 def op3_ngram_jaccard(docs: DataFrame) -> DataFrame:
+    """``jaccard_classes``: a null or empty text, a repeated id and an empty table are treated as stated there."""
     return jaccard_classes(docs)
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id (of rows that repeat it, all that are linked to nothing smaller)."""
-    found = jaccard_classes(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = having(docs, found)
-    return kept if kept is not None else docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` with one document of each group: the one with the smallest id. Columns stay as they are, whatever their names.
+
+    Rows that share an id stay or go together: they stay if one of them is its group's smallest. Rows
+    without an id are no document's copy and stay; so do texts without words.
+    """
+    found = jaccard_classes(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(KEPT)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(KEPT), "left_semi").unionByName(docs.where("doc_id IS NULL"))
