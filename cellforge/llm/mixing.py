@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 SEED = 17
 #: A target weight goes as this power of the source's size; 1 keeps the mix, 0 makes all sources equal.
@@ -66,25 +66,33 @@ def _poisson(rate: Column, key: Column, seed: int) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda s, j: s + one(j))).otherwise(0)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, temperature: float = TEMPERATURE, seed: int = SEED, key: str = "doc_id", source: str = "source", partitions: int | None = None) -> DataFrame:
-    """``docs`` repeated and shuffled, with ``copy`` (from 1) and ``shuffle_key`` (long) added; columns of those names are replaced.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, temperature: float = TEMPERATURE, seed: int = SEED, key: str = "doc_id", source: str = "source", partitions: int | None = None, out: tuple[str, str] = ("copy", "shuffle_key")) -> DataFrame:
+    """``docs`` repeated and shuffled, with the columns ``out`` added: the number of the copy (from 1) and the key of the shuffle (long). Columns of those names are replaced, others stay whatever their names.
 
     Rows with equal keys are repeated alike. A null key counts as a key of its own. The table of rates has one row per
-    source; it is stored first, so Spark knows its size and broadcasts it only while that allows.
+    source; it is stored first, so Spark knows its size and broadcasts it only while that allows. No rows give no rows.
     """
-    r = stored(rates(docs, weights, epochs, temperature, source).select(F.col("source").alias("__source"), "rate"))
+    copy, order = out
+    x = docs.drop(*out)
+    own, rate, n = (free_name(x, name) for name in ("__source", "__rate", "__n"))
+    r = stored(rates(docs, weights, epochs, temperature, source).select(F.col("source").alias(own), F.col("rate").alias(rate)))
     id_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    x = docs.drop("copy", "shuffle_key").join(r, F.col(source).eqNullSafe(F.col("__source")), "inner")
-    x = x.withColumn("__n", _poisson(F.col("rate"), id_text, seed)).where("__n > 0")
-    x = x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    x = x.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), id_text, F.col("copy").cast("string"))), 1, 13), 16, 10).cast("long"))
-    x = x.drop("__n", "__source", "rate")
-    x = x.repartition(partitions, "shuffle_key") if partitions else x.repartition("shuffle_key")
-    return x.sortWithinPartitions("shuffle_key", key, "copy")
+    x = x.join(r, F.col(source).eqNullSafe(F.col(own)), "inner")
+    x = x.withColumn(n, _poisson(F.col(rate), id_text, seed)).where(F.col(n) > 0)
+    x = x.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    x = x.withColumn(order, F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), id_text, F.col(copy).cast("string"))), 1, 13), 16, 10).cast("long"))
+    x = x.drop(n, own, rate)
+    x = x.repartition(partitions, order) if partitions else x.repartition(order)
+    return x.sortWithinPartitions(order, key, copy)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` repeated and shuffled as ``mix`` does, with its own columns alone."""
+    return mix(docs, out=(free_name(docs, "copy"), free_name(docs, "shuffle_key"))).select(*docs.columns)
 
 
 def op4_source_mix(docs: DataFrame) -> DataFrame:
-    """Every copy with its place in the shuffle and its whole text."""
+    """Every copy with its place in the shuffle and its whole text. A null id, source or text stays null; repeated rows are repeated alike."""
     x = mix(docs.select("doc_id", "source", "text"))
     return x.select("doc_id", "source", F.col("copy").cast("long").alias("copy"), "shuffle_key", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
