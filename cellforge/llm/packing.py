@@ -12,12 +12,13 @@ import os
 import sys
 import types
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from .common import checkpointed, slices, word_codes
 
 CAPACITY = 2048
 SHARD, ISLANDS, POPULATION, GENERATIONS = 8192, 2, 4, 4
-CACHE = 600_000
+#: Words whose ids a Python worker keeps.
+CACHE = 400_000
 END = 0
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -37,33 +39,41 @@ def vocabulary_path() -> str:
 
 
 TAIL = ".,;:!?"
+#: Words with a letter whose lower case may depend on more than the letter stay whole; so does what may be a special token.
+WHOLE = "[^\x00-\u012f\u0131-\u024f]|<\\|"
 
 
-def word_parts(word: str) -> tuple[str, str]:
-    """A word as the parts whose ids are its own, one after the other: lower-cased, and marks at its end apart.
+def word_parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words as two parts whose ids are their own, one after the other: lower-cased, and the marks at the end (or "").
 
-    Pieces never span letters and marks, and the tokenizer lower-cases each letter by itself. Words with
-    letters beyond Latin, where lower case could depend on more, or what may be a special token, stay whole.
+    Pieces never span letters and marks, and the tokenizer lower-cases each letter by itself.
     """
-    if max(word) >= "\u0250" or "<|" in word:
-        return word, ""
-    core = word.rstrip(TAIL)
-    if not core or not core[-1].isalpha():
-        return word.lower(), ""
-    return core.lower(), word[len(core) :]
+    whole = pc.match_substring_regex(words, WHOLE)
+    core = pc.utf8_rtrim(words, characters=TAIL)
+    apart = pc.and_(pc.match_substring_regex(core, r"\pL$"), pc.invert(whole))
+    heads = pc.if_else(whole, words, pc.utf8_lower(pc.if_else(apart, core, words)))
+    return heads, pc.if_else(apart, pc.replace_substring_regex(words, f"^.*[^{TAIL}]", ""), "")
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 class Encoder:
     """Token ids of texts. The tokenizer drops white space and no token spans it, so each distinct word is encoded once.
 
-    Ids are kept in two generations of CACHE / 2 words each, so frequent words stay.
+    Known words and their ids are kept as flat arrays, of some 20 bytes a word. Beyond CACHE words only
+    those of the slice at hand stay.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.pool, self.bounds = pa.array([""], pa.large_string()), np.zeros(0, np.uint32), np.zeros(2, np.int64)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a piece
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -76,49 +86,60 @@ class Encoder:
             kept |= {"encoder": Encoder(path), "encoder_path": path}
         return kept["encoder"]
 
-    def learn(self, parts: set[str]) -> None:
-        if len(self.known) > CACHE // 2:
-            self.known, self.older = {}, self.known
-        fresh = []
-        for w in parts:
-            if w not in self.known:
-                if (ids := self.older.get(w)) is None:
-                    fresh.append(w)
-                else:
-                    self.known[w] = ids
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+        self.pool = np.concatenate([self.pool, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+
+    def _encode(self, fresh: pa.Array) -> None:
         # Words of letters alone are one piece each, so many go as one text, and their last ids tell them apart.
-        for a in range(0, len(fresh), 10_000):
-            some = [w for w in fresh[a : a + 10_000] if w.isalpha()]
+        alone = pc.utf8_is_alpha(fresh)
+        plain, rest = fresh.filter(alone).to_pylist(), fresh.filter(pc.invert(alone)).to_pylist()
+        for a in range(0, len(plain), 10_000):
+            some = plain[a : a + 10_000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                flat, at = ids.tobytes(), 0
-                for w, end in zip(some, cuts.tolist(), strict=True):
-                    self.known[w], at = flat[at:end], end
-            rest = [w for w in fresh[a : a + 10_000] if w not in self.known]
-            for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
+                self._add(some, ids, np.diff(cuts, prepend=0))
+            else:
+                rest += some
+        for a in range(0, len(rest), 10_000):
+            some = rest[a : a + 10_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """Where each of the distinct ``parts`` is among the known words; those that are not known are learnt."""
+        at = pc.index_in(parts, value_set=self.words)
+        if at.null_count:
+            if len(self.words) > CACHE:
+                hit = np.union1d([0], at.drop_null().to_numpy())
+                sizes = np.diff(self.bounds)[hit]
+                self.words, self.pool = self.words.take(pa.array(hit)), _gather(self.pool, self.bounds[hit], sizes)
+                self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+            self._encode(parts.filter(pc.is_null(at)))
+            at = pc.index_in(parts, value_set=self.words)
+        return at.to_numpy().astype(np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the bounds of each text, each text closed by END."""
         bounds, codes, words = word_codes(texts)
-        parts = [word_parts(w) for w in words.to_pylist()]
-        self.learn({p for pair in parts for p in pair})
-        known = self.known
-        per_word = [known[a] + known[b] if b else known[a] for a, b in parts]
-        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
-        pool = np.frombuffer(b"".join(per_word), np.uint32)
-        first = np.cumsum(sizes) - sizes
-        n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(n)])
-        flat = pool[np.repeat(first[codes] - before[:-1], n) + np.arange(before[-1])] if len(codes) else pool[:0]
-        ends = before[bounds]
+        if not len(codes):
+            return np.zeros(len(bounds) - 1, np.uint32), np.arange(len(bounds))
+        parts = pa.concat_arrays([x.cast(pa.large_string()) for x in word_parts(words)]).dictionary_encode()
+        at = self.places(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1).T.reshape(-1)  # a word's two parts side by side
+        sizes = np.diff(self.bounds)[at]
+        pool = _gather(self.pool, self.bounds[at], sizes)  # ids of the distinct words
+        sizes = sizes.reshape(-1, 2).sum(1)
+        n = sizes[codes]
+        flat = _gather(pool, (np.cumsum(sizes) - sizes)[codes], n)
+        ends = np.concatenate([[0], np.cumsum(n)])[bounds]
         return np.insert(flat, ends[1:], END), ends + np.arange(len(ends))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encode = Encoder.of_worker(path)
-    for batch in slices(batches, max_bytes=8 << 20):
+    for batch in slices(batches):
         ids, bounds = encode(batch.column("text"))
         rows = []
         for doc, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -268,4 +289,5 @@ def pack(pieces: DataFrame, shard_size: int = SHARD) -> DataFrame:
 
 
 def op9_best_fit_packing(docs: DataFrame) -> DataFrame:
+    """Every piece of every row of ``docs`` with its place. A null or empty text is a piece of one token; repeated rows are packed each for itself; no rows give no pieces; other columns are not read."""
     return pack(cut(docs.select("doc_id", "text")))

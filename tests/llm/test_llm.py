@@ -181,14 +181,6 @@ def test_jaccard(spark, tile, monkeypatch):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["n_links"]) == (len(s[i]), want[i], sum(i in p for p in linked))
 
 
-def test_having(spark):
-    from cellforge.llm.common import having
-
-    docs = spark.createDataFrame([(v, "x") for v in (-70000, -1, 0, 1, 7, 8, 32767, 32768, 99999, None)], "doc_id long, t string")
-    ids = spark.createDataFrame([(v,) for v in (-70000, 0, 8, 8, 32768, 5, None)], "doc_id long")
-    assert sorted(r["doc_id"] for r in having(docs, ids).collect()) == [-70000, 0, 8, 32768]
-
-
 def test_components(spark):
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 460)]
