@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 
 
 def _minima(e: DataFrame) -> DataFrame:
     # Kept before it is joined back: a join that also ends a sum could not be split where a node is a hub.
-    return checkpointed(e.groupBy("u").agg(F.min("v").alias("m")))
+    return stored(e.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,15 +20,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     rounds end when the edges no longer change. A hub's neighbours are never gathered: its minimum is
     a partial sum, and the join back is one that Spark splits. Nulls, loops and repeated edges are dropped.
     """
-    e = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = _minima(both).withColumn("m", F.least("u", "m"))
-        large = checkpointed(both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = stored(both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         m = _minima(large)
         hung = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(hung.unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        e = stored(hung.unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix64, slices, word_codes
+from .common import free_name, mix64, released, slices, word_codes
 
 #: Rows that the classifier is fitted on at most, taken by a hash of the id; their whole texts are used.
 TRAIN_ROWS = 1000
@@ -153,7 +153,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     few = F.broadcast(ids.distinct())  # TRAIN_ROWS ids at most
     some = good.join(few, F.col(doc_id) == F.col("id"), "left_semi").select(key.alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     rows = some.mapInArrow(_bags, "k string, l string, at binary, w binary").orderBy("k", "at", "w", "l").limit(TRAIN_ROWS).collect()
-    return fit([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["w"], np.float32)) for r in rows], [r["l"] for r in rows])
+    model = fit([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["w"], np.float32)) for r in rows], [r["l"] for r in rows])
+    del rows
+    released()
+    return model
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model, text: str, out: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:

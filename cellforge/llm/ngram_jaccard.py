@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lowered, checkpointed, mix64, slices, stored, word_codes, word_hashes
+from .common import ascii_lowered, mix64, slices, stored, word_codes, word_hashes
 from .components import components
 
 WORDS = 5
 SIMILARITY = 75  # of 100
 SHARE = 1 / 3
-TILE, TILE_SHINGLES = 256, 2_000_000
+TILE, TILE_SHINGLES, BAG_SHINGLES = 256, 2_000_000, 250_000
 #: Classes that a task remembers having sent.
 MET = 200_000
 KEPT = "__kept_id"
@@ -223,18 +223,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     shared = tokens.mapInArrow(_shared, "token bigint, rid bigint, need int, df int")
     own = shared.groupBy("rid").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     kept = own.where(F.size("t") >= F.col("need")).select("rid", F.explode(F.expr("slice(t, 1, size(t) - need + 1).token")).alias("token"))
-    kept = checkpointed(kept)
-    least = checkpointed(kept.groupBy("token").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    kept = stored(kept)
+    least = stored(kept.groupBy("token").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1"))
     cluster = components(kept.join(least, "token").select(F.col("rid").alias("u"), "v"))
 
     member = cluster.join(classes, cluster["node"] == classes["rid"]).select("rid", F.col("label").alias("cluster"), F.col("rep").alias("doc_id"), "copies", "n")
-    member = checkpointed(member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / SIMILARITY)) + 1e-9).cast("int")))
+    member = stored(member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / SIMILARITY)) + 1e-9).cast("int")))
     # A tile holds TILE classes and about TILE_SHINGLES shingles at most, or one class.
     sizes = member.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"), F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.max("n"))))).cast("int").alias("k"))
     whole = sizes.groupBy("cluster").agg(((F.sum("m") > TILE) | (F.sum("mass") > TILE_SHINGLES)).alias("big"), F.map_from_entries(F.collect_list(F.struct(F.col("band").cast("string"), "k"))).alias("cut"))
-    member = checkpointed(member.join(checkpointed(whole), "cluster"))
+    member = stored(member.join(stored(whole), "cluster"))
     few = member.where("NOT big").agg(F.sum("n").alias("n")).first()["n"] or 0
-    bags = max(1, few // TILE_SHINGLES)
+    bags = max(1, few // BAG_SHINGLES)
 
     texts = source.join(member.select("doc_id", "rid", "cluster", "copies", "band", "big", F.to_json("cut").alias("cut")), "doc_id").mapInArrow(
         _tokens, "rid bigint, cluster bigint, copies bigint, band int, big boolean, cut string, tokens array<bigint>"
@@ -255,12 +255,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         F.when(has(down), F.transform(among(down), lambda j: pair(name(down, j, band, i), F.lit(1)))).otherwise(none),
     )
     big = big.withColumn("p", F.explode(places)).select("rid", "cluster", "copies", "tokens", "p.side", "p.tile")
-    found = checkpointed(small.unionByName(big).groupBy("tile").applyInPandas(_tile, "rid bigint, links bigint, root bigint"))
+    found = stored(small.unionByName(big).groupBy("tile").applyInPandas(_tile, "rid bigint, links bigint, root bigint"))
 
     n_links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
-    named = checkpointed(linked.join(classes, linked["node"] == classes["rid"]).select("rid", "label", "rep"))
-    smallest = checkpointed(named.groupBy("label").agg(F.min("rep").alias("component_id")))
+    named = stored(linked.join(classes, linked["node"] == classes["rid"]).select("rid", "label", "rep"))
+    smallest = stored(named.groupBy("label").agg(F.min("rep").alias("component_id")))
     extra = named.join(smallest, "label").select("rid", "component_id").join(n_links, "rid", "left")
     about = stored(classes.select("rid", "rep", "copies").join(extra, "rid", "left"))
     return (
