@@ -236,7 +236,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     few = member.where("NOT big").agg(F.sum("n").alias("n")).first()["n"] or 0
     bags = max(1, few // BAG_SHINGLES)
 
-    texts = source.join(member.select("doc_id", "rid", "cluster", "copies", "band", "big", F.to_json("cut").alias("cut")), "doc_id").mapInArrow(
+    wanted = member.select("doc_id", "rid", "cluster", "copies", "band", "big", F.to_json("cut").alias("cut")).hint("merge")  # at every size, as it grows with the documents
+    texts = source.join(wanted, "doc_id").mapInArrow(
         _tokens, "rid bigint, cluster bigint, copies bigint, band int, big boolean, cut string, tokens array<bigint>"
     )
     cut = F.from_json("cut", "map<string,int>")
@@ -281,4 +282,5 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     without an id are no document's copy and stay; so do texts without words.
     """
     found = jaccard_classes(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(KEPT)).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col(KEPT), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    # By a merge at every size: the ids grow with the documents.
+    return docs.join(found.hint("merge"), F.col("doc_id").cast("long") == F.col(KEPT), "left_semi").unionByName(docs.where("doc_id IS NULL"))
