@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.config import CHANGEABLE, CLASSES, RECLASS, RESTORE, STATES
+from cellforge.config import CHANGEABLE, CLASSES, HALF_LIVES, RECLASS, RESTORE, STATES
 from cellforge.functions import curves
 from cellforge.operators import allocate, calibrate, coarse, fit, grid, kernels, remap, vector
-from cellforge.plans import zones
+from cellforge.plans import pipeline, zones
 
 COLS, RATIO = 100, 10
 Query = Callable[[SparkSession, str], DataFrame]
@@ -415,9 +415,9 @@ def normalize_log(spark, sf_dir):
     return x.select("r", "c", F.round("normal", 9).alias("normal"), F.round("logged", 9).alias("logged"))
 
 
-def kernel_sql(h: int) -> str:
+def kernel_sql(h: int, name: str = "k") -> str:
     r = 9 * h
-    return f"""k AS (SELECT CAST(dr AS INTEGER) AS dr, CAST(dc AS INTEGER) AS dc, 1 / (1 + exp(CAST(4 AS DOUBLE) / {h} * (sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) - {h}))) AS w
+    return f"""{name} AS (SELECT CAST(dr AS INTEGER) AS dr, CAST(dc AS INTEGER) AS dc, 1 / (1 + exp(CAST(4 AS DOUBLE) / {h} * (sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) - {h}))) AS w
   FROM (SELECT unnest(range(-{r}, {r})) AS dr), (SELECT unnest(range(-{r}, {r})) AS dc))"""
 
 
@@ -426,16 +426,36 @@ def convolve_h1(spark, sf_dir):
     return kernels.convolve(cells(spark, sf_dir), "x1", kernels.kernel_array(1.0), 9).withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {{G}}, {kernel_sql(1)} SELECT CAST(1 AS DOUBLE) AS half_life, CAST(class_id AS INTEGER) AS class_id, g.r, g.c, round(coalesce(sum(CASE WHEN i.t1 = class_id THEN w END), 0), 6) AS value
-FROM g CROSS JOIN (SELECT unnest([1, 6]) AS class_id) CROSS JOIN k LEFT JOIN g i ON i.r = g.r - dr AND i.c = g.c - dc GROUP BY ALL""")
+def class_convolution_sql(h: int) -> str:
+    return f"""SELECT CAST({h} AS DOUBLE) AS half_life, CAST(class_id AS INTEGER) AS class_id, f.r, f.c, round(coalesce(n.value, 0), 6) AS value FROM (SELECT r, c, class_id FROM g, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS class_id)) f
+LEFT JOIN (SELECT i.r + dr AS r, i.c + dc AS c, i.t1 AS class_id, sum(w) AS value FROM g i, k{h} GROUP BY ALL) n USING (r, c, class_id)"""
+
+
+@query(f"WITH {{G}}, {kernel_sql(1, 'k1')}, {kernel_sql(5, 'k5')} {class_convolution_sql(1)} UNION ALL {class_convolution_sql(5)}")
 def class_convolutions(spark, sf_dir):
-    x = kernels.class_convolutions(cells(spark, sf_dir), [1, 6], [1.0], "t1")
+    x = kernels.class_convolutions(cells(spark, sf_dir), list(CLASSES), (1.0, 5.0), "t1")
     return x.select("half_life", "class_id", "r", "c", F.round("value", 6).alias("value"))
 
 
 @query()
+def class_convolutions_all(spark, sf_dir):
+    """Every class under all ten half-lives; SQL would need half a million products a cell, so a test holds the operator against brute force."""
+    return kernels.class_convolutions(cells(spark, sf_dir), list(CLASSES), HALF_LIVES, "t1")
+
+
+@query(f"WITH {{G}}, {kernel_sql(5)} SELECT g.r, g.c, round(coalesce(n.value, 0), 6) AS value FROM g LEFT JOIN (SELECT i.r + dr AS r, i.c + dc AS c, sum(i.x1 * w) AS value FROM g i, k GROUP BY ALL) n USING (r, c)")
 def convolve_h5_blocks(spark, sf_dir):
-    return kernels.convolve_blocks(cells(spark, sf_dir), "x1", kernels.kernel_array(5.0), 45, block=100).withColumn("value", F.round("value", 6))
+    return kernels.convolve(cells(spark, sf_dir), "x1", kernels.kernel_array(5.0), 45, block=100).withColumn("value", F.round("value", 6))
+
+
+HALF_LIFE = "CASE WHEN r_regionkey = 0 THEN 1 ELSE 2 END"
+
+
+@query(f"WITH h AS (SELECT DISTINCT CAST({HALF_LIFE} AS INTEGER) AS h FROM region), {kernel_sql(1, 'k1')}, {kernel_sql(2, 'k2')} SELECT CAST(h AS DOUBLE) AS half_life, dr, dc, round(w, 9) AS w FROM h, k1 WHERE h = 1 UNION ALL SELECT h, dr, dc, round(w, 9) FROM h, k2 WHERE h = 2")
+def kernel_tables(spark, sf_dir):
+    """Kernels of the half-lives that a table asks for."""
+    wanted = load(spark, sf_dir, "region").select(F.expr(HALF_LIFE).cast("double").alias("half_life")).distinct()
+    return wanted.join(kernels.kernel_set(spark, [1, 2, 3]), "half_life").select("half_life", "dr", "dc", F.round("w", 9).alias("w"))
 
 
 SIGMA = 3
@@ -499,8 +519,8 @@ def weighted_score(spark, sf_dir):
     return s.select("changed", F.round("loss", 5).alias("loss"), F.round("score", 6).alias("score"))
 
 
-def _side(name: str, test: str) -> str:
-    return f"""{name}_near AS (SELECT g.r, g.c, min((g.r - s.r) * (g.r - s.r)) AS g2 FROM g JOIN (SELECT r, c FROM se WHERE {test}) s USING (c) GROUP BY ALL),
+def _side(name: str, test: str, source: str = "se") -> str:
+    return f"""{name}_near AS (SELECT g.r, g.c, min((g.r - s.r) * (g.r - s.r)) AS g2 FROM g JOIN (SELECT r, c FROM {source} WHERE {test}) s USING (c) GROUP BY ALL),
 {name} AS (SELECT g.r, g.c, min(g2 + (g.c - n.c) * (g.c - n.c)) AS d FROM g JOIN {name}_near n ON n.r = g.r GROUP BY ALL)"""
 
 
@@ -512,9 +532,33 @@ def distance_similarity(spark, sf_dir):
     return fit.distance_similarity(x, "o", "p")
 
 
-@query()
+def _fit_sql() -> str:
+    parts, rows = [], []
+    for k in CHANGEABLE:
+        for side in ("to", "from"):
+            change = {x: f"t1 <> {k} AND {x} = {k}" if side == "to" else f"t1 = {k} AND {x} <> {k}" for x in ("t2", "p")}
+            n = f"{side}{k}"
+            se = f"{n}_se AS (SELECT r, c, {change['t2']} AS a, {change['p']} AS b FROM m)"
+            parts += [se, _side(f"{n}_a", "a AND NOT b", f"{n}_se"), _side(f"{n}_b", "b AND NOT a", f"{n}_se")]
+            rows.append(f"""SELECT {k} AS class_id, '{side}' AS side, coalesce(sum(CASE WHEN b THEN x.d END), 0) + coalesce(sum(CASE WHEN a THEN y.d END), 0) + CAST(0 AS DOUBLE) AS metric,
+count(*) FILTER (WHERE b AND x.d <> 0) + count(*) FILTER (WHERE a AND y.d <> 0) AS predicted FROM {n}_se LEFT JOIN {n}_a x USING (r, c) LEFT JOIN {n}_b y USING (r, c) WHERE a OR b HAVING count(*) > 0""")
+    return f"WITH {{G}}, m AS (SELECT r, c, t1, t2, {PROJECTED} AS p FROM g), {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query(_fit_sql())
 def fit_distance(spark, sf_dir):
-    return fit.fit_distance(maps_of(spark, sf_dir), [1, 2])
+    return fit.fit_distance(maps_of(spark, sf_dir), CHANGEABLE)
+
+
+@query(f"SELECT sum(metric) / sum(predicted) AS distance FROM ({_fit_sql()})")
+def overall_distance(spark, sf_dir):
+    return fit.overall_distance(fit.fit_distance(maps_of(spark, sf_dir), CHANGEABLE))
+
+
+@query(f"WITH {{G}}, {MAPS} SELECT CAST(sum(abs(o - p)) FILTER (WHERE o = 3 OR p = 3) AS DOUBLE) / count(*) FILTER (WHERE p = 3 AND b <> 3) AS similarity FROM mp")
+def class_similarity(spark, sf_dir):
+    m = maps_of(spark, sf_dir)
+    return fit.class_similarity(m.where("observed = 3 OR projected = 3").select(F.abs(F.col("observed") - F.col("projected")).alias("d")), m, 3)
 
 
 # ---- calibration
@@ -543,9 +587,9 @@ def candidate_tries(spark, sf_dir):
 
 @query()
 def greedy_calibration(spark, sf_dir):
+    """The whole search over all classes and layers; a test holds it against a plain search."""
     x = layered(spark, sf_dir)
-    start = {k: [r for r in rows if r[0] != "x2"] for k, rows in COEFFICIENTS.items() if k <= 2}
-    log = calibrate.greedy(x, start, goals_of(spark, sf_dir).where("class_id <= 2"), "t2", SIGMA, n_rows(x), COLS, "t1", most=1)
+    log = calibrate.greedy(x, COEFFICIENTS, goals_of(spark, sf_dir), "t2", SIGMA, n_rows(x), COLS, "t1")
     return spark.createDataFrame([(e["step"], e["layer"], e["class_id"], e["delta"], round(e["score"], 6)) for e in log], "step int, layer string, class_id int, delta double, score double")
 
 
@@ -563,6 +607,49 @@ def prune_unchanged(spark, sf_dir):
     return zones.prune_unchanged(x.select("cr", "cc").distinct(), change, ["cr", "cc"])
 
 
+@query("WITH {G} SELECT cr, cc, bool_or(t1 <> t2 AND ha = 4 AND x1 > CAST(1.5 AS DOUBLE)) AS any_change FROM g GROUP BY cr, cc")
+def any_change(spark, sf_dir):
+    change = cells(spark, sf_dir).select("cr", "cc", F.expr("CAST(t1 <> t2 AND ha = 4 AND x1 > CAST(1.5 AS DOUBLE) AS DOUBLE)").alias("change"))
+    return zones.any_change(change, ["cr", "cc"])
+
+
+@query(f"WITH {{G}}, z AS (SELECT DISTINCT CAST(cr // 3 AS INTEGER) AS zone FROM g), k(class_id, b1, b2) AS (VALUES {', '.join(f'({k}, CAST({ADD1[k]} AS DOUBLE), CAST({ADD2[k]} AS DOUBLE))' for k in CHANGEABLE)}) SELECT zone, CAST(class_id AS INTEGER) AS class_id, l AS layer, CASE WHEN l = 'x1' THEN b1 ELSE b2 END + zone % 3 AS beta FROM z, k, (SELECT unnest(['x1', 'x2']) AS l)")
+def zone_coefficients(spark, sf_dir):
+    """Each zone with the coefficients trained for its kind."""
+    z = cells(spark, sf_dir).select(F.floor(F.col("cr") / 3).cast("int").alias("zone")).distinct().withColumn("kind", F.col("zone") % 3)
+    table = spark.createDataFrame([(t, k, n, b[k] + t) for t in range(3) for k in CHANGEABLE for n, b in (("x1", ADD1), ("x2", ADD2))], "kind int, class_id int, layer string, beta double")
+    return zones.coefficients_for(z, table, ["kind"]).drop("kind")
+
+
+END_GOALS = f"""h AS (SELECT year, cr, cc, class, total * (cr % 4 + 1) AS value FROM cls), names(class, class_id) AS (VALUES {', '.join(f"('{CLASSES[k]}', {k})" for k in CHANGEABLE)}),
+go AS (SELECT a.cr, a.cc, class_id, b.value - a.value AS goal FROM h a JOIN h b USING (cr, cc, class) JOIN names USING (class) WHERE a.year = 1995 AND b.year = 1996)"""
+
+
+def end_goals(spark, sf_dir):
+    s = states(spark, sf_dir)
+    return pipeline.class_goals(s, coarse_area(s), 1995, 1996, {CLASSES[k]: k for k in CHANGEABLE})
+
+
+@query(f"WITH {{G}}, {ST}, {SC}, {CLS}, {END_GOALS}, {CO}, {SU}, {CL}, {WI} {DONE}")
+def end_to_end(spark, sf_dir):
+    """From coarse states to the projected map in one plan."""
+    return pipeline.project(layered(spark, sf_dir), COEFFICIENTS, end_goals(spark, sf_dir), "t1")
+
+
+@query(f"""WITH {{G}}, {ST}, {SC}, {CLS}, {END_GOALS}, {CO}, {SU}, {CL}, {WI}, {RS}, n AS (SELECT g.r, g.c, t1, ci, coalesce(new, t1) AS k FROM g LEFT JOIN wi USING (r, c)), f AS (SELECT r, c, CASE WHEN k = t1 THEN {{CODE}}[ci + 1] ELSE k END AS k FROM n)
+SELECT r, c, coalesce(rs.code, f.k) AS code FROM f LEFT JOIN rs USING (k)""")
+def restored_map(spark, sf_dir):
+    """The projected map over the base map, in detailed codes."""
+    new = pipeline.project(layered(spark, sf_dir), COEFFICIENTS, end_goals(spark, sf_dir), "t1")
+    return pipeline.restored_map(detailed(spark, sf_dir).withColumnRenamed("t1", "lulc"), new)
+
+
+@query(f"WITH {{G}}, {CO}, {SU}, {GO}, {CL} SELECT r, c, CAST(class_id AS INTEGER) AS class_id FROM cl")
+def allocated_cells(spark, sf_dir):
+    """Each class's cells, one of the diagnostics of an allocation."""
+    return allocate.diagnostics(layered(spark, sf_dir), COEFFICIENTS, goals_of(spark, sf_dir), "t1", level=5)["allocation"]
+
+
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 45)")
 def skip_completed(spark, sf_dir):
     done = load(spark, sf_dir, "lineitem").where("l_linestatus = 'F' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cellforge.storage import stored
+
 from .remap import CELL
 
 COARSE = ["cr", "cc"]
@@ -78,8 +80,8 @@ def rank_output(scored: DataFrame, by: Sequence[str] = (*COARSE, "class_id")) ->
 
 def live_goals(goals: DataFrame, by: Sequence[str] = COARSE) -> DataFrame:
     """Goals above 0 of coarse cells in which no goal is NaN."""
-    bad = goals.where(F.isnan(F.col("goal").cast("double"))).select(*by).distinct()
-    return goals.join(bad, list(by), "left_anti").where("goal > 0")
+    bad = goals.where(F.isnan(F.col("goal").cast("double"))).select(*by, F.lit(1).alias("__bad")).distinct()
+    return (goals.join(bad, list(by), "left_anti") if by else goals.join(bad, F.lit(True), "left_anti")).where("goal > 0")
 
 
 def claims(scored: DataFrame, goals: DataFrame, by: Sequence[str] = COARSE) -> DataFrame:
@@ -104,11 +106,28 @@ def allocate_gridded(cells: DataFrame, coefficients, goals: DataFrame, lulc: str
     return apply(cells, winners(claims(suitability(cells, coefficients, lulc), goals)), lulc)
 
 
+def claims_by_range(scored: DataFrame, goals: DataFrame) -> DataFrame:
+    """As ``claims`` for one zone, (class_id, goal) over all cells, of any size.
+
+    Cells are dealt out by ranges of (class, suitability) and stored; the hectares and cells of each range are summed, and
+    a range's running sums begin where those before it end. Ranges beyond the goal are left out before any window.
+    """
+    x = scored.join(live_goals(goals, []), "class_id")
+    x = stored(x.repartitionByRange("class_id", F.desc("s"), *CELL).withColumn("part", F.spark_partition_id()))
+    sums = x.groupBy("class_id", "part").agg(F.sum("ha").alias("ha"), F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("class_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range of a class
+    before = sums.select("class_id", "part", F.coalesce(F.sum("ha").over(w), F.lit(0)).alias("ha0"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"))
+    live = x.join(stored(before), ["class_id", "part"]).where("ha0 < goal")
+    w = W.partitionBy("class_id", "part").orderBy(F.desc("s"), *CELL)
+    live = live.withColumn("rn", F.col("n0") + F.row_number().over(w)).withColumn("prior", F.col("ha0") + F.coalesce(F.sum("ha").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return live.where("prior < goal").drop("prior", "goal", "part", "ha0", "n0")
+
+
 def allocate_vector(cells: DataFrame, coefficients, goal_of: Mapping[int, float], lulc: str = "lulc") -> DataFrame:
-    """One goal for each class over all of ``cells``, which is one zone: its ranking is a global sort."""
+    """One goal for each class over all of ``cells``, which is one zone: the ranking is by ranges, see ``claims_by_range``."""
     whole = cells.withColumns({"cr": F.lit(0), "cc": F.lit(0)})
-    goals = cells.sparkSession.createDataFrame([(0, 0, k, float(v)) for k, v in goal_of.items()], "cr int, cc int, class_id int, goal double")
-    return allocate_gridded(whole, coefficients, goals, lulc)
+    goals = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in goal_of.items()], "class_id int, goal double")
+    return apply(cells, winners(claims_by_range(suitability(whole, coefficients, lulc), goals)), lulc)
 
 
 def allocate_exclusive(cells: DataFrame, coefficients, goals: DataFrame, lulc: str = "lulc", presence: str | None = None) -> DataFrame:
@@ -129,7 +148,7 @@ def allocate_from_matrix(cells: DataFrame, coefficients, matrix: DataFrame, lulc
 
 
 def diagnostics(cells: DataFrame, coefficients, goals: DataFrame, lulc: str = "lulc", level: int = 0) -> dict[str, DataFrame]:
-    """Extra outputs of the same plan: the map from 4, suitability and each class's cells from 5, ranks from 10."""
+    """Extra outputs of the same plan: the map from 4, suitability and each class's cells from 5, ranks from 11."""
     scored = suitability(cells, coefficients, lulc)
     out: dict[str, DataFrame] = {}
     if level >= 4:
@@ -137,6 +156,6 @@ def diagnostics(cells: DataFrame, coefficients, goals: DataFrame, lulc: str = "l
     if level >= 5:
         out["suitability"] = scored
         out["allocation"] = claims(scored, goals).select(*CELL, "class_id")
-    if level >= 10:
+    if level >= 11:
         out["rank"] = rank_output(scored)
     return out

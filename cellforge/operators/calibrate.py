@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .allocate import ADDITIVE, COARSE, MULTIPLICATIVE, apply, claims, suitability, winners
+from .allocate import ADDITIVE, COARSE, MULTIPLICATIVE, allocatable, claims, winners
 from .fit import fit_loss, weighted_score
+from .remap import CELL
 
-#: Steps by which a coefficient that helped is tried further.
-SCALES = (0.00001, 0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0)
-
+# Steps by which a coefficient that helped is tried further, down and up.
+SCALES = (0.00001, 0.0001, 0.001, 0.01, 0.1, 0.5, 0.75, 1.5, 2.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0)
+#: Tries of a merge that are scored in one job.
+TOGETHER = 8
 
 #: Fixed value: what one class's presence nearby adds for another, where it is neither 1 nor, for the class itself, 10.
 ADJACENCY = {(1, 2): 5.0}
@@ -51,55 +53,73 @@ def candidate_tries(coefficients: DataFrame, step: float = 1.0) -> DataFrame:
 
 
 Coefficients = dict[int, list[tuple[str, str, float]]]
+Move = tuple[str, int, float]  # layer, class, what is added to its coefficient
 
 
 def changed(c: Coefficients, layer: str, class_id: int, delta: float) -> Coefficients:
     return {k: [(n, kind, b + delta) if (n, k) == (layer, class_id) else (n, kind, b) for n, kind, b in rows] for k, rows in c.items()}
 
 
-def evaluate(cells: DataFrame, tries: Mapping[int, Coefficients], goals: DataFrame, observed: str, sigma: float, n_rows: int, n_cols: int, lulc: str = "lulc") -> DataFrame:
-    """(try_id, changed, loss, score) of all ``tries`` in one job: each cell is scored under each of them, and ranks, goals and losses are kept apart by try_id."""
-    scored = None
-    for t, c in tries.items():
-        s = suitability(cells, c, lulc).withColumn("try_id", F.lit(t))
-        scored = s if scored is None else scored.unionByName(s)
-    ids = F.array(*(F.lit(t) for t in tries))
+def scored_tries(cells: DataFrame, start: Coefficients, moves: Sequence[Move | None], lulc: str = "lulc") -> DataFrame:
+    """(try_id, r, c, cr, cc, lulc, ha, class_id, s): suitability under ``start`` with each of ``moves`` (None: none) on its own, from one scan.
+
+    A cell carries its layers as arrays; tries and classes are exploded, and coefficients of 0 (additive) or 1 (multiplicative) take no part.
+    """
+    adds = sorted({n for rows in start.values() for n, kind, _ in rows if kind != MULTIPLICATIVE})
+    times = sorted({n for rows in start.values() for n, kind, _ in rows if kind == MULTIPLICATIVE})
+    listed = lambda names: F.array(*(F.col(n).cast("double") for n in names)) if names else F.array().cast("array<double>")
+    numbers = lambda values: F.array(*(F.lit(float(v)) for v in values)) if values else F.array().cast("array<double>")
+    tries = F.array(*(F.struct(F.lit(t).alias("try_id"), F.lit(adds.index(m[0]) if m else -1).alias("layer"), F.lit(m[1] if m else -1).alias("class_id"), F.lit(float(m[2]) if m else 0.0).alias("delta")) for t, m in enumerate(moves)))
+    own = {k: {n: b for n, _, b in rows} for k, rows in start.items()}
+    classes = F.array(*(F.struct(F.lit(k).alias("class_id"), numbers([own[k].get(n, 0.0) for n in adds]).alias("b"), numbers([own[k].get(n, 1.0) for n in times]).alias("m")) for k in start))
+    x = cells.select(*CELL, *COARSE, lulc, "ha", listed(adds).alias("xa"), listed(times).alias("xm"), F.explode(tries).alias("t"))
+    x = x.withColumn("k", F.explode(classes)).where(F.col(lulc) != F.col("k.class_id"))
+    beta = F.transform("k.b", lambda b, i: F.when((F.col("t.class_id") == F.col("k.class_id")) & (F.col("t.layer") == i), b + F.col("t.delta")).otherwise(b))
+    total = F.aggregate(F.zip_with(beta, "xa", lambda b, v: F.when(b == 0, 0.0).otherwise(b * v)), F.lit(0.0), lambda s, v: s + v)
+    factor = F.aggregate(F.zip_with("k.m", "xm", lambda b, v: F.when(b == 1, 1.0).otherwise(1 - (1 - b) * v)), F.lit(1.0), lambda s, v: s * v)
+    x = x.select(F.col("t.try_id").alias("try_id"), *CELL, *COARSE, lulc, "ha", F.col("k.class_id").alias("class_id"), (total * factor).alias("s"))
+    return x.where(allocatable(F.col("s")))
+
+
+def evaluate(cells: DataFrame, start: Coefficients, moves: Sequence[Move | None], goals: DataFrame, observed: str, sigma: float, n_rows: int, n_cols: int, lulc: str = "lulc") -> DataFrame:
+    """(try_id, changed, loss, score) of all ``moves``, numbered from 0, in one job: ranks, goals and losses are kept apart by try_id."""
+    ids = F.array(*(F.lit(t) for t in range(len(moves))))
     g = goals.withColumn("try_id", F.explode(ids))
-    won = winners(claims(scored, g, by=["try_id", *COARSE]), keep=["try_id"])
-    grid = cells.withColumn("try_id", F.explode(ids))
-    projected = apply(grid, won, lulc, keep=["try_id"]).withColumnRenamed("lulc", "projected")
-    maps = grid.select("try_id", "r", "c", F.col(lulc).alias("baseline"), F.col(observed).alias("observed")).join(projected, ["try_id", "r", "c"])
-    loss = fit_loss(maps, list(next(iter(tries.values()))), sigma, n_rows, n_cols, by=["try_id"])
+    won = winners(claims(scored_tries(cells, start, moves, lulc), g, by=["try_id", *COARSE]), keep=["try_id"])
+    grid = cells.select(*CELL, lulc, F.col(observed).alias("observed")).withColumn("try_id", F.explode(ids))
+    maps = grid.join(won, ["try_id", *CELL], "left").select("try_id", *CELL, F.col(lulc).alias("baseline"), F.coalesce("new", lulc).alias("projected"), "observed")
+    loss = fit_loss(maps, list(start), sigma, n_rows, n_cols, by=["try_id"])
     return weighted_score(maps, loss, by=["try_id"])
 
 
-def greedy(cells: DataFrame, start: Coefficients, goals: DataFrame, observed: str, sigma: float, n_rows: int, n_cols: int, lulc: str = "lulc", generations: int = 1, step: float = 1.0, scales: Sequence[float] = (), most: int | None = None) -> list[dict]:
+def greedy(cells: DataFrame, start: Coefficients, goals: DataFrame, observed: str, sigma: float, n_rows: int, n_cols: int, lulc: str = "lulc", generations: int = 1, step: float = 1.0, scales: Sequence[float] = SCALES, together: int = TOGETHER) -> list[dict]:
     """The kept changes, best first: [{step, layer, class_id, delta, score}], starting with the score before any.
 
-    All first tries run as one job; then, in order of their scores, each is put on top of what was
-    kept and stays if the score rises; after a rise the ``scales`` are tried together, up and down.
-    ``most`` limits how many tries the merge looks at (None: all). Scores alone come to the driver.
+    All first tries of a generation are one job; then, in order of their scores, each is put on top of what was
+    kept and stays if the score rises; after a rise the ``scales`` are tried in one job, down and up, and the best
+    of them is put on top if it helps. ``together`` tries of the merge share a job; of those, the first that helps is
+    taken and the ones after it are tried anew, so the result is that of one try at a time. Scores alone come to the driver.
     """
     best, log = start, []
-    run = lambda tries: {r["try_id"]: r["score"] for r in evaluate(cells, tries, goals, observed, sigma, n_rows, n_cols, lulc).collect()}
+    run = lambda c, moves: [r["score"] for r in evaluate(cells, c, moves, goals, observed, sigma, n_rows, n_cols, lulc).orderBy("try_id").collect()]
     for _ in range(generations):
         moves = [(n, k, d) for k, rows in best.items() for n, kind, _ in rows if kind != MULTIPLICATIVE for d in (-step, step)]
-        scores = run({0: best} | {i + 1: changed(best, *m) for i, m in enumerate(moves)})
-        top = scores[0]
+        top, *scores = run(best, [None, *moves])
         if not log:
             log.append({"step": 0, "layer": None, "class_id": None, "delta": 0.0, "score": top})
-        ranked = sorted(range(len(moves)), key=lambda i: (-scores[i + 1], i))[:most]
-        for i in ranked:
-            layer, k, _ = moves[i]
-            trial = changed(best, *moves[i])
-            value = run({0: trial})[0]
-            if value <= top:
+        left = [moves[i] for i in sorted(range(len(moves)), key=lambda i: (-scores[i], i))]
+        while left:
+            found = run(best, left[:together])
+            at = next((j for j, v in enumerate(found) if v > top), None)
+            if at is None:
+                left = left[together:]
                 continue
-            best, top, total = trial, value, moves[i][2]
+            layer, k, total = left[at]
+            best, top, left = changed(best, layer, k, total), found[at], left[at + 1 :]
             if scales:
                 more = [s * sign for s in scales for sign in (-1, 1)]
-                extra = run({j: changed(best, layer, k, d) for j, d in enumerate(more)})
-                j = max(extra, key=lambda j: (extra[j], -j))
+                extra = run(best, [(layer, k, d) for d in more])
+                j = max(range(len(more)), key=lambda j: (extra[j], -j))
                 if extra[j] > top:
                     best, top, total = changed(best, layer, k, more[j]), extra[j], total + more[j]
             log.append({"step": len(log), "layer": layer, "class_id": k, "delta": total, "score": top})

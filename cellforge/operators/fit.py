@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import distance_transform_sq, gaussian_blur
+from .kernels import distances_sq, gaussian_blur
 from .remap import CELL
 
 
@@ -42,27 +42,35 @@ def weighted_score(maps: DataFrame, loss: DataFrame, by: Sequence[str] = ()) ->
     return x.select(*by, "changed", F.coalesce("loss", F.lit(0.0)).alias("loss"), (F.col("changed") / (F.coalesce("loss", F.lit(0.0)) + 1)).alias("score"))
 
 
-def distance_similarity(cells: DataFrame, a: str, b: str) -> DataFrame:
-    """(metric, predicted): squared distances of the second set's cells to the nearest cell of the first alone, and of the first's to the second alone; and how many of them are not 0.
+def distance_similarity(cells: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., metric, predicted): squared distances of the second set's cells to the nearest cell of the first alone, and of the first's to the second alone; and how many of them are not 0.
 
     Where no cell is in one set alone, that part is 0.
     """
-    x = cells.select(*CELL, F.coalesce(F.col(a).cast("boolean"), F.lit(False)).alias("__a"), F.coalesce(F.col(b).cast("boolean"), F.lit(False)).alias("__b"))
+    x = cells.select(*by, *CELL, F.coalesce(F.col(a).cast("boolean"), F.lit(False)).alias("__a"), F.coalesce(F.col(b).cast("boolean"), F.lit(False)).alias("__b"))
     x = x.withColumn("__ao", F.col("__a") & ~F.col("__b")).withColumn("__bo", F.col("__b") & ~F.col("__a"))
-    d = distance_transform_sq(x, "__ao", out="da").join(distance_transform_sq(x, "__bo", out="db"), CELL).join(x, CELL)
+    d = distances_sq(x, {"da": "__ao", "db": "__bo"}, by).join(x.where("__a OR __b"), [*by, *CELL])
     to_a, to_b = F.when(F.col("__b"), F.col("da")), F.when(F.col("__a"), F.col("db"))
-    return d.agg((F.coalesce(F.sum(to_a), F.lit(0.0)) + F.coalesce(F.sum(to_b), F.lit(0.0))).alias("metric"), (F.count_if(to_a != 0) + F.count_if(to_b != 0)).alias("predicted"))
+    return d.groupBy(*by).agg((F.coalesce(F.sum(to_a), F.lit(0.0)) + F.coalesce(F.sum(to_b), F.lit(0.0))).alias("metric"), (F.count_if(to_a != 0) + F.count_if(to_b != 0)).alias("predicted"))
 
 
-def fit_distance(maps: DataFrame, classes: Sequence[int]) -> DataFrame:
-    """(class_id, side, metric, predicted): ``distance_similarity`` of observed and projected changes to and from each class; divide the sums for the overall figure."""
-    out = None
-    for k in classes:
-        for side, test in {"to": f"baseline <> {k} AND {{x}} = {k}", "from": f"baseline = {k} AND {{x}} <> {k}"}.items():
-            m = maps.select(*CELL, F.expr(test.format(x="observed")).alias("o"), F.expr(test.format(x="projected")).alias("p"))
-            row = distance_similarity(m, "o", "p").select(F.lit(k).alias("class_id"), F.lit(side).alias("side"), "metric", "predicted")
-            out = row if out is None else out.unionByName(row)
-    return out
+def fit_distance(maps: DataFrame, classes: Sequence[int] | None = None) -> DataFrame:
+    """(class_id, side, metric, predicted): ``distance_similarity`` of observed and projected changes to and from each class, in one pass.
+
+    ``classes`` is by default every class of the three maps. A class and side without any change has no row. See ``overall_distance`` for the quotient.
+    """
+    if classes is None:
+        ids = maps.select(F.explode(F.array("baseline", "projected", "observed")).alias("k")).where("k IS NOT NULL").distinct()
+        classes = sorted(r["k"] for r in ids.collect())  # a row for each class of the maps
+    each = maps.withColumn("class_id", F.explode(F.array(*(F.lit(k) for k in classes)))).withColumn("side", F.explode(F.array(F.lit("to"), F.lit("from"))))
+    was, k = F.col("baseline") == F.col("class_id"), F.col("class_id")
+    changed = lambda x: F.when(F.col("side") == "to", ~was & (F.col(x) == k)).otherwise(was & (F.col(x) != k))
+    return distance_similarity(each.select("class_id", "side", *CELL, changed("observed").alias("o"), changed("projected").alias("p")), "o", "p", ["class_id", "side"])
+
+
+def overall_distance(fits: DataFrame) -> DataFrame:
+    """(distance): the sum of ``fit_distance``'s metrics over that of its counts; NULL without any."""
+    return fits.agg(F.try_divide(F.sum("metric"), F.sum("predicted")).alias("distance"))
 
 
 def class_similarity(differences: DataFrame, maps: DataFrame, k: int) -> DataFrame:

@@ -1,13 +1,13 @@
 """Neighbourhood operators: kernels, convolution, blur and distance transform.
 
-Small footprints are scattered: each cell that is not 0 sends its weighted value to the cells around
-it, and partial sums meet in one shuffle. Large ones are computed block by block with a halo and FFT.
+Cells are sent to square blocks with a halo as wide as the operator reaches, one shuffle of about
+(1 + 2 * reach / block) squared times the cells, and numpy works on a block at a time within tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from cellforge.functions.curves import at_distance, kernel_weight
 from .remap import CELL
 
 REACH = 9  # a kernel's radius in half-lives
+#: Side of a block, rows of a band, and steps that the row pass of a distance transform takes before it goes by parabolas.
+BLOCK, BAND, STEPS = 256, 32, 64
 
 
 def sigmoid_kernel(spark: SparkSession, half_life: float, radius: int | None = None, start: float = 1.0) -> DataFrame:
@@ -46,32 +48,23 @@ def kernel_array(half_life: float, radius: int | None = None) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(4.0 / half_life * (np.hypot(d[:, None], d[None]) - half_life)))
 
 
-def _offsets(weights: np.ndarray, radius: int) -> Column:
-    """The kernel as one array literal of (dr, dc, w)."""
-    import json
-
-    listed = [{"dr": i - radius, "dc": j - radius, "w": float(weights[i, j])} for i in range(weights.shape[0]) for j in range(weights.shape[1])]
-    return F.from_json(F.lit(json.dumps(listed)), "array<struct<dr:int,dc:int,w:double>>")
+def in_blocks(cells: DataFrame, values: Sequence[str], reach: int, block: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., br, bc, r, c, values...): each cell once for its own block and once for each whose halo it lies in."""
+    at = lambda x, d: F.floor((F.col(x) + d) / block).cast("int")
+    x = cells.select(*by, *CELL, *values)
+    return x.withColumn("br", F.explode(F.sequence(at("r", -reach), at("r", reach)))).withColumn("bc", F.explode(F.sequence(at("c", -reach), at("c", reach))))
 
 
-def convolve(cells: DataFrame, value: str, weights: np.ndarray, radius: int, by: Sequence[str] = (), out: str = "value") -> DataFrame:
-    """(by..., r, c, out): sum over offsets of weight * value at (r - dr, c - dc), 0 outside, for the grid's cells.
+def _kinds(df: DataFrame, names: Sequence[str]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*names).schema)
 
-    Only cells that are not 0 are scattered; all cells of ``cells`` are in the result.
-    """
-    some = cells.where(F.coalesce(F.col(value), F.lit(0)) != 0)
-    sent = some.select(*by, *CELL, F.col(value).cast("double").alias("__v"), F.explode(_offsets(weights, radius)).alias("k"))
-    summed = sent.groupBy(*by, (F.col("r") + F.col("k.dr")).alias("r"), (F.col("c") + F.col("k.dc")).alias("c")).agg(F.sum(F.col("__v") * F.col("k.w")).alias(out))
-    return cells.select(*by, *CELL).join(summed, [*by, *CELL], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
-
-def convolve_blocks(cells: DataFrame, value: str, weights: np.ndarray, radius: int, block: int = 256, by: Sequence[str] = (), out: str = "value") -> DataFrame:
-    """As ``convolve`` for kernels too large to scatter: blocks of ``block`` cells with a halo of ``radius``, by FFT. A task holds one block and its halo."""
-    at = lambda x, d: F.floor((F.col(x) + d) / block).cast("int")
-    x = cells.select(*by, *CELL, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__v"))
-    x = x.withColumn("br", F.explode(F.sequence(at("r", -radius), at("r", radius)))).withColumn("bc", F.explode(F.sequence(at("c", -radius), at("c", radius))))
+def convolve(cells: DataFrame, value: str, weights: np.ndarray, radius: int, by: Sequence[str] = (), out: str = "value", block: int = BLOCK) -> DataFrame:
+    """(by..., r, c, out): sum over offsets of weight * value at (r - dr, c - dc), 0 outside, for all cells of ``cells``. A task holds one block and its halo."""
+    block = max(block, radius)
+    x = in_blocks(cells.withColumn("__v", F.coalesce(F.col(value).cast("double"), F.lit(0.0))), ["__v"], radius, block, by)
     side = block + 2 * radius
-    size = 1 << math.ceil(math.log2(side + weights.shape[0]))
+    size = -(-side // 32) * 32  # what wraps around stays within the halo
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(key[-2]) * block - radius, int(key[-1]) * block - radius
@@ -83,23 +76,45 @@ def convolve_blocks(cells: DataFrame, value: str, weights: np.ndarray, radius: i
         made[out] = full[own["r"].to_numpy() - r0 + radius, own["c"].to_numpy() - c0 + radius]
         return made
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*by, *CELL).schema)
-    return x.groupBy(*by, "br", "bc").applyInPandas(run, f"{kinds}, {out} double")
+    return x.groupBy(*by, "br", "bc").applyInPandas(run, _kinds(x, [*by, *CELL]) + f"{out} double")
 
 
-def class_convolutions(cells: DataFrame, classes: Sequence[int], half_lives: Sequence[float], value: str = "class_id", by: Sequence[str] = ()) -> DataFrame:
-    """(by..., half_life, class_id, r, c, value) of the presence of each class under each kernel."""
-    from .remap import class_binaries_long
+def class_convolutions(cells: DataFrame, classes: Sequence[int], half_lives: Sequence[float], value: str = "class_id", by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """(by..., half_life, class_id, r, c, value) of the presence of each class under each kernel, in one pass over the cells.
 
-    keep = cells.select(*by, *CELL, value)
-    long = class_binaries_long(keep, classes, value) if not by else keep.withColumn("class_id", F.explode(F.array(*(F.lit(k) for k in classes)))).withColumn("present", F.coalesce((F.col(value) == F.col("class_id")).cast("int"), F.lit(0)))
-    out = None
-    for h in half_lives:
-        radius = int(REACH * h)
-        method = convolve if radius <= 18 else convolve_blocks
-        k = method(long, "present", kernel_array(h), radius, by=[*by, "class_id"]).withColumn("half_life", F.lit(float(h)))
-        out = k if out is None else out.unionByName(k)
-    return out
+    Cells carry their class, not a row for each class; a block is transformed once for each class that occurs in it.
+    """
+    radius = max(int(REACH * h) for h in half_lives)
+    block = max(block, radius)
+    side = block + 2 * radius
+    size = -(-side // 32) * 32
+    tables = [np.pad(kernel_array(h), radius - int(REACH * h)) for h in half_lives]  # around a common centre
+    x = in_blocks(cells.withColumn("__k", F.coalesce(F.col(value).cast("int"), F.lit(-1))), ["__k"], radius, block, by)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(key[-2]) * block - radius, int(key[-1]) * block - radius
+        r, c, k = rows["r"].to_numpy() - r0, rows["c"].to_numpy() - c0, rows["__k"].to_numpy()
+        spectra = [np.fft.rfft2(t, (size, size)) for t in tables]
+        here = (rows["r"] // block == key[-2]) & (rows["c"] // block == key[-1])
+        own = rows.loc[here, [*by, *CELL]]
+        at = (own["r"].to_numpy() - r0 + radius, own["c"].to_numpy() - c0 + radius)
+        parts = []
+        for cls in classes:
+            found = np.zeros((len(own), len(tables)))
+            if (k == cls).any():
+                field = np.zeros((side, side))
+                field[r[k == cls], c[k == cls]] = 1.0
+                f = np.fft.rfft2(field, (size, size))
+                for j, s in enumerate(spectra):
+                    found[:, j] = np.fft.irfft2(f * s, (size, size))[at]
+            part = own.copy()
+            part["class_id"], part["found"] = cls, pd.Series(list(found), part.index, object)
+            parts.append(part)
+        return pd.concat(parts, ignore_index=True)
+
+    made = x.groupBy(*by, "br", "bc").applyInPandas(run, _kinds(x, [*by, *CELL]) + "class_id int, found array<double>")
+    listed = F.arrays_zip(F.array(*(F.lit(float(h)) for h in half_lives)).alias("half_life"), F.col("found").alias("value"))
+    return made.withColumn("__x", F.explode(listed)).select(*by, F.col("__x.half_life").alias("half_life"), "class_id", *CELL, F.col("__x.value").alias("value"))
 
 
 def blur_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
@@ -108,56 +123,68 @@ def blur_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
     return w / w.sum()
 
 
-def _pass(cells: DataFrame, axis: str, n: int, weights: np.ndarray, values: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One axis of a blur. A cell reaches its targets directly and by reflection at both edges (edge cell repeated)."""
-    import json
-
-    radius = len(weights) // 2
-    listed = F.from_json(F.lit(json.dumps([{"d": d - radius, "w": float(w)} for d, w in enumerate(weights)])), "array<struct<d:int,w:double>>")
-    x = cells.withColumn("__k", F.explode(listed))
-    d, i = F.col("__k.d"), F.col(axis)
-    image = F.filter(F.array_distinct(F.array(i - d, -i - 1 - d, F.lit(2 * n - 1) - i - d)), lambda t: (t >= 0) & (t < n))
-    other = "c" if axis == "r" else "r"
-    x = x.withColumn("__t", F.explode(image))
-    return x.groupBy(*by, F.col("__t").alias(axis), other).agg(*(F.sum(F.col(v) * F.col("__k.w")).alias(v) for v in values))
-
-
-def gaussian_blur(cells: DataFrame, values: Sequence[str], sigma: float, n_rows: int, n_cols: int, by: Sequence[str] = ()) -> DataFrame:
-    """Blurred columns, sparse: cells that nothing reaches are left out. Edges reflect; sigma's radius must not exceed the grid."""
+def gaussian_blur(cells: DataFrame, values: Sequence[str], sigma: float, n_rows: int, n_cols: int, by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """Blurred columns, sparse: only cells that are not 0 are sent, and only cells in which some result is not 0 come back. Edges reflect (the edge cell is repeated); sigma's radius must not exceed the grid."""
     w = blur_weights(sigma)
-    if len(w) // 2 > min(n_rows, n_cols):
+    radius = len(w) // 2
+    if radius > min(n_rows, n_cols):
         raise ValueError("the blur reaches beyond one reflection")
+    block = max(radius, min(block, max(n_rows, n_cols)))
     some = cells.where(F.greatest(*(F.abs(F.coalesce(F.col(v).cast("double"), F.lit(0.0))) for v in values), F.lit(0.0)) > 0)
-    some = some.select(*by, *CELL, *(F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values))
-    x = _pass(some, "r", n_rows, w, values, by)
-    return _pass(x, "c", n_cols, w, values, by)
-
+    x = in_blocks(some.select(*by, *CELL, *(F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values)), values, radius, block, by)
+    side = block + 2 * radius
 
-def distance_transform_sq(cells: DataFrame, site: str, by: Sequence[str] = (), out: str = "d2") -> DataFrame:
-    """Squared distance of each cell to the nearest cell whose ``site`` is true; NULL where there is none.
+    def source(start: int, n: int) -> np.ndarray:
+        """Which place of the field each place takes its value from."""
+        i = np.arange(start, start + side)
+        i = np.where(i < 0, -1 - i, np.where(i >= n, 2 * n - 1 - i, i)) - start
+        return np.where((i >= 0) & (i < side), i, side)
 
-    First along columns with windows, then along rows by the lower envelope of parabolas, a row of the
-    grid at a time.
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(key[-2]) * block - radius, int(key[-1]) * block - radius
+        at = (rows["r"].to_numpy() - r0, rows["c"].to_numpy() - c0)
+        rs, cs = source(r0, n_rows), source(c0, n_cols)
+        made = []
+        for v in values:
+            field = np.zeros((side + 1, side + 1))  # the last row and column stand for places off the grid
+            field[at] = rows[v].to_numpy()
+            field = field[rs][:, cs]
+            down = sum(w[k] * field[k : k + block] for k in range(len(w)))
+            made.append(sum(w[k] * down[:, k : k + block] for k in range(len(w))))
+        height, width = min(block, n_rows - r0 - radius), min(block, n_cols - c0 - radius)
+        if height <= 0 or width <= 0 or r0 + radius < 0 or c0 + radius < 0:
+            r = c = np.zeros(0, int)
+        else:
+            r, c = np.nonzero(np.any([m[:height, :width] != 0 for m in made], axis=0))
+        head = {b: [key[i]] * len(r) for i, b in enumerate(by)}
+        return pd.DataFrame(head | {"r": r + r0 + radius, "c": c + c0 + radius} | {v: m[r, c] for v, m in zip(values, made, strict=True)})
+
+    return x.groupBy(*by, "br", "bc").applyInPandas(run, _kinds(x, [*by, *CELL]) + ", ".join(f"`{v}` double" for v in values))
+
+
+def _row_pass(g: np.ndarray) -> np.ndarray:
+    """Of column distances (rows x columns, infinite where a column has no site), squared distances within each row.
+
+    A cell's nearest site lies within its column distance, so few steps to both sides settle most cells;
+    rows that are not settled by then go by the lower envelope of parabolas.
     """
-    s = F.when(F.col(site).cast("boolean"), F.col("r"))
-    w = W.partitionBy(*by, "c").orderBy("r")
-    above = F.last(s, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    below = F.first(s, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    g = cells.select(*by, *CELL, F.least(F.col("r") - above, below - F.col("r")).cast("double").alias("g"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("c")
-        x, f = rows["c"].to_numpy(dtype=float), rows["g"].to_numpy() ** 2
-        made = rows[[*by, *CELL]].copy()
-        ok = np.flatnonzero(~np.isnan(f))
-        if not len(ok):
-            made[out] = np.nan
-            return made
+    f = g * g
+    d = f.copy()
+    n = g.shape[1]
+    for step in range(1, min(STEPS, n - 1) + 1):
+        if not (d > step * step).any():
+            return d
+        np.minimum(d[:, step:], f[:, :-step] + step * step, out=d[:, step:])
+        np.minimum(d[:, :-step], f[:, step:] + step * step, out=d[:, :-step])
+    x = np.arange(n, dtype=float)
+    for i in np.flatnonzero((d > STEPS * STEPS).any(axis=1) & np.isfinite(f).any(axis=1)):
+        ok = np.flatnonzero(np.isfinite(f[i])).tolist()
+        height = (f[i] + x * x).tolist()
         hull, edges = [ok[0]], [-np.inf]
         for q in ok[1:]:
             while True:
                 p = hull[-1]
-                cross = ((f[q] + x[q] ** 2) - (f[p] + x[p] ** 2)) / (2 * (x[q] - x[p]))
+                cross = (height[q] - height[p]) / (2 * (q - p))
                 if cross > edges[-1]:
                     break
                 hull.pop()
@@ -165,11 +192,39 @@ def distance_transform_sq(cells: DataFrame, site: str, by: Sequence[str] = (), o
             hull.append(q)
             edges.append(cross)
         near = np.array(hull)[np.searchsorted(edges, x, side="left").clip(1) - 1]
-        made[out] = (x - x[near]) ** 2 + f[near]
+        d[i] = (x - near) ** 2 + f[i][near]
+    return d
+
+
+def distances_sq(cells: DataFrame, sites: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., r, c, sites...): for each name and boolean column of ``sites``, the squared distance of each cell to the nearest cell where it is true; NULL where there is none.
+
+    First along columns with windows, then along rows, a band of rows in a task.
+    """
+    names = list(sites)
+    w = W.partitionBy(*by, "c").rowsBetween(W.unboundedPreceding, 0)
+    x = cells.select(*by, *CELL, *(F.when(F.col(s).cast("boolean"), F.col("r")).alias(n) for n, s in sites.items()))
+    x = x.withColumns({f"__above_{n}": F.last(n, ignorenulls=True).over(w.orderBy("r")) for n in names})
+    x = x.withColumns({f"__below_{n}": F.last(n, ignorenulls=True).over(w.orderBy(F.desc("r"))) for n in names})
+    x = x.select(*by, *CELL, *(F.least(F.col("r") - F.col(f"__above_{n}"), F.col(f"__below_{n}") - F.col("r")).cast("double").alias(n) for n in names), F.floor(F.col("r") / BAND).cast("int").alias("__band"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        made = rows[[*by, *CELL]].copy()
+        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+        r, c = r - r.min(), c - c.min()
+        for n in names:
+            g = np.full((r.max() + 1, c.max() + 1), np.inf)
+            g[r, c] = rows[n].fillna(np.inf).to_numpy()
+            made[n] = _row_pass(g)[r, c]
         return made
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*by, *CELL).schema)
-    return g.groupBy(*by, "r").applyInPandas(run, f"{kinds}, {out} double").withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    d = x.groupBy(*by, "__band").applyInPandas(run, _kinds(x, [*by, *CELL]) + ", ".join(f"{n} double" for n in names))
+    return d.select(*by, *CELL, *(F.when(F.col(n) < float("inf"), F.col(n)).alias(n) for n in names))
+
+
+def distance_transform_sq(cells: DataFrame, site: str, by: Sequence[str] = (), out: str = "d2") -> DataFrame:
+    """``distances_sq`` for one column."""
+    return distances_sq(cells, {out: site}, by)
 
 
 def distance_from_threshold(cells: DataFrame, value: str, sigma: float, threshold: float, decay: float, n_rows: int, n_cols: int) -> DataFrame:
