@@ -43,7 +43,7 @@ LICENSES: list[tuple[str, list[str]]] = [
     ("libpng", ["libpng(?: version)?(?: 2)?"]),
     ("unlicense", ["unlicense"]),
     ("wtfpl", ["wtfpl", "do what the f(?:uck)? you want to public license"]),
-    ("python", [rf"python software foundation license{V('2')}?", "psf(?: license)?(?: 2)?"]),
+    ("python", [rf"python software foundation license(?:{V('2')})?", "psf(?: license)?(?: 2)?"]),
     ("php-3", ["php license(?: version)?(?: 3)?(?: 01)?"]),
     ("ruby", ["ruby license"]),
     ("perl", ["same terms as perl(?: itself)?"]),
@@ -66,13 +66,13 @@ LICENSES: list[tuple[str, list[str]]] = [
     ("ncsa", ["university of illinois ncsa(?: open source)?", "ncsa"]),
     ("afl-3", [rf"academic free license{V('3')}", rf"afl{V('3')}"]),
     ("osl-3", [rf"open software license{V('3')}", rf"osl{V('3')}"]),
-    ("qpl-1", [rf"q public license{V('1')}?", rf"qpl{V('1')}"]),
+    ("qpl-1", [rf"q public license(?:{V('1')})?", rf"qpl{V('1')}"]),
     ("sleepycat", ["sleepycat"]),
     ("vim", ["vim license"]),
     ("x11", ["x11"]),
     ("hpnd", ["historical permission notice and disclaimer", "hpnd"]),
     ("w3c", ["w3c software(?: notice and)?"]),
-    ("sspl-1", [rf"server side public license{V('1')}?", rf"sspl{V('1')}"]),
+    ("sspl-1", [rf"server side public license(?:{V('1')})?", rf"sspl{V('1')}"]),
     ("busl-1", ["business source license(?: 1 1)?", "busl 1 1"]),
     ("elastic-2", [rf"elastic license{V('2')}"]),
     ("commons-clause", ["commons clause"]),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_rules import rules
+from .spans import matches, scan
 
 WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,26 +83,18 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") ->
     tried = F.flatten(F.transform(F.filter(words, lambda g: F.contains(norm, g["keyword"])), lambda g: g["rules"]))
     df = df.withColumn("__rules", F.filter(tried, lambda r: F.rlike(norm, r["pattern"])))
 
-    # A match is cut out between the pieces of a split, which gives its place.
-    found = F.expr(
-        """flatten(transform(__rules, r -> aggregate(
-            zip_with(split(__norm, r.pattern, -1), regexp_extract_all(__norm, r.pattern, 0), (a, b) -> struct(length(a) AS gap, length(b) AS len)),
-            named_struct('pos', 0, 'spans', CAST(array() AS array<struct<start:int,stop:int,priority:int,rule:int,label:string>>)),
-            (s, x) -> IF(x.len IS NULL, s, named_struct(
-                'pos', s.pos + x.gap + x.len,
-                'spans', concat(s.spans, array(named_struct('start', s.pos + x.gap, 'stop', -(s.pos + x.gap + x.len), 'priority', -r.priority, 'rule', r.rule, 'label', r.label))))),
-            s -> s.spans)))"""
-    )
+    spans = f"transform({matches('__norm', 'r.pattern')}, m -> named_struct('start', m.start, 'stop', -m.stop, 'priority', -r.priority, 'rule', r.rule, 'label', r.label))"
+    found = F.expr(f"flatten(transform(__rules, r -> {spans}))")
     df = df.withColumn("__found", F.array_sort(F.coalesce(found, F.expr("CAST(array() AS array<struct<start:int,stop:int,priority:int,rule:int,label:string>>)"))))
-    # In order of start, longest first: ``reach`` holds the furthest end so far of each priority and above.
-    kept = F.expr(
-        """aggregate(__found,
-            named_struct('reach', array_repeat(-1, 6), 'kept', CAST(array() AS array<struct<start:int,stop:int,label:string,priority:int>>)),
-            (s, x) -> named_struct(
-                'reach', transform(s.reach, (v, p) -> IF(p <= -x.priority, greatest(v, -x.stop), v)),
-                'kept', IF(s.reach[-x.priority] >= -x.stop, s.kept, concat(s.kept, array(named_struct('start', x.start, 'stop', -x.stop, 'label', x.label, 'priority', -x.priority))))),
-            s -> s.kept)"""
+    # In order of start, longest first: the state holds the furthest end so far of each priority and above.
+    kept = scan(
+        "__found",
+        "array_repeat(-1, 6)",
+        "transform(s.s, (v, p) -> IF(p <= -x.priority, greatest(v, -x.stop), v))",
+        "IF(s.s[-x.priority] >= -x.stop, NULL, named_struct('start', x.start, 'stop', -x.stop, 'label', x.label, 'priority', -x.priority))",
+        "struct<start:int,stop:int,label:string,priority:int>",
     )
+    kept = F.expr(f"filter({kept}, d -> d IS NOT NULL)")
     df = df.withColumn("__kept", kept)
     base_labels = F.array_sort(F.array_distinct(F.transform("__base", lambda b: b["label"])))
     labels = F.array_sort(F.array_union(base_labels, F.transform("__kept", lambda d: d["label"])))
