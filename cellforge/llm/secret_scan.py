@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import BLOCK, let, matches, scan
+
 REACH = 300
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, rank in the output, role, pattern, group and its least length, words of which one must occur in the lower-cased text
@@ -31,34 +33,22 @@ PARTNER = {"identifier": ("secret",), "endpoint": ("secret",), "secret": ("ident
 
 
 def _spans(text: str, kind: str, rank: int, role: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost matches that do not overlap, placed by the pieces between them, if the group is long enough."""
+    """Leftmost matches that do not overlap, if the group is long enough."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr(
-        f"""filter(aggregate(
-            arrays_zip(slice(split({text}, {p}, -1), 1, size(split({text}, {p}, -1)) - 1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})),
-            named_struct('pos', 0, 'spans', CAST(array() AS array<struct<start:int,rank:int,stop:int,kind:string,role:string,len:int>>)),
-            (s, x) -> named_struct(
-                'pos', s.pos + length(x['0']) + length(x['1']),
-                'spans', concat(s.spans, array(named_struct('start', s.pos + length(x['0']), 'rank', {rank}, 'stop', s.pos + length(x['0']) + length(x['1']), 'kind', '{kind}', 'role', '{role}', 'len', length(x['2']))))),
-            s -> s.spans), x -> x.len >= {least})"""
-    )
-
-
-def _bare(spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["stop"], x["kind"], x["role"]))
+    return F.expr(f"transform(filter({matches(text, p, group)}, m -> m.len >= {least}), m -> named_struct('start', m.start, 'rank', {rank}, 'stop', m.stop, 'kind', '{kind}', 'role', '{role}'))")
 
 
 def _linked(spans: str, forward: bool) -> str:
     """For each span, whether a complementary part that comes before it (after it) is within reach."""
     here, far = ("x.start - {}", "-1000000000") if forward else ("{} - x.stop", "1000000000")
     edge, pick = ("x.stop", "greatest") if forward else ("x.start", "least")
-    near = lambda role: f"{here.format('s.' + role)} <= {REACH}"
+    near = lambda role: f"{here.format('s.s.' + role)} <= {REACH}"
     test = "CASE x.role " + " ".join(f"WHEN '{r}' THEN {' OR '.join(near(o) for o in others)}" for r, others in PARTNER.items()) + " END"
     source = spans if forward else f"reverse({spans})"
-    state = ", ".join(f"'{r}', IF(x.role = '{r}', {pick}(s.{r}, {edge}), s.{r})" for r in PARTNER)
-    scan = f"""aggregate({source}, named_struct('identifier', {far}, 'endpoint', {far}, 'secret', {far}, 'near', CAST(array() AS array<boolean>)),
-        (s, x) -> named_struct({state.replace("'secret'", "'secret'")}, 'near', concat(s.near, array({test}))), s -> s.near)"""
-    return scan if forward else f"reverse({scan})"
+    state = "named_struct(" + ", ".join(f"'{r}', {{}}" for r in PARTNER) + ")"
+    after = state.format(*(f"IF(x.role = '{r}', {pick}(s.s.{r}, {edge}), s.s.{r})" for r in PARTNER))
+    near = scan(source, state.format(*[far] * len(PARTNER)), after, test, "boolean")
+    return near if forward else f"reverse({near})"
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
@@ -81,7 +71,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
                 for w in words[1:]:
                     any_word = any_word | F.contains("__l", F.lit(w))
                 worth = any_word & worth
-            parts.append(F.when(gate & worth, _bare(_spans("__t", kind, rank, role, pattern, group, least))).otherwise(none))
+            parts.append(F.when(gate & worth, _spans("__t", kind, rank, role, pattern, group, least)).otherwise(none))
         return F.array_sort(F.concat(*parts)).alias(name)
 
     df = df.withColumn("__base", column("__base", STRONG, F.lit(True)))
@@ -90,12 +80,17 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     for w in sorted({w for *_, words in WEAK for w in words or ()}):
         hint = hint | F.contains("__l", F.lit(w))
     df = df.withColumn("__weak", column("__weak", WEAK, hint)).drop("__l")
-    inside = "exists(__base, b -> b.start < x.stop AND x.start < b.stop)"
-    df = df.withColumn("__all", F.expr(f"IF(size(__weak) = 0, __base, array_sort(concat(__base, filter(__weak, x -> NOT {inside}))))"))
+    # Weak spans that overlap a strong one before or behind them are part of it.
+    df = df.withColumn("__both", F.expr("array_sort(concat(__base, __weak))"))
+    before = scan("__both", "-1", "IF(x.rank < 3, greatest(s.s, x.stop), s.s)", "x.rank >= 3 AND s.s > x.start", "boolean")
+    behind = scan("reverse(__both)", "2147483647", "IF(x.rank < 3, least(s.s, x.start), s.s)", "x.rank >= 3 AND s.s < x.stop", "boolean")
+    within = f"zip_with({before}, reverse({behind}), (a, b) -> a OR b)"
+    apart = f"transform(filter(zip_with(__both, {within}, (x, i) -> named_struct('x', x, 'i', i)), z -> NOT z.i), z -> z.x)"
+    df = df.withColumn("__all", F.expr(f"IF(size(__weak) = 0, __base, {apart})"))
     near = F.expr(f"IF(size(__weak) = 0, CAST(NULL AS array<boolean>), zip_with({_linked('__all', True)}, {_linked('__all', False)}, (a, b) -> coalesce(a, false) OR coalesce(b, false)))")
     df = df.withColumn("__near", near)
     kept = F.expr("IF(__near IS NULL, __all, transform(filter(zip_with(__all, __near, (x, y) -> named_struct('x', x, 'y', y)), z -> z.y OR z.x.rank < 3), z -> z.x))")
-    return df.withColumn(out, F.struct(F.col("__base").alias("base"), kept.alias("spans"))).drop("__t", "__base", "__weak", "__all", "__near")
+    return df.withColumn(out, F.struct(F.col("__base").alias("base"), kept.alias("spans"))).drop("__t", "__base", "__weak", "__both", "__all", "__near")
 
 
 def _listed(spans: Column) -> Column:
@@ -103,6 +98,7 @@ def _listed(spans: Column) -> Column:
 
 
 def op2_secret_scan(docs: DataFrame) -> DataFrame:
+    """Counts and spans of each row of ``docs``; a null or empty text has none, repeated rows are scanned each for itself, other columns are not read, no rows give no rows."""
     x = scan_secrets(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return x.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("secrets.base")), 256).alias("base_sha256"), _listed(F.col("secrets.spans")).alias("spans"))
@@ -111,12 +107,12 @@ def op2_secret_scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by its kind in brackets; other rows and columns stay."""
     x = scan_secrets(docs, text, "__secrets")
-    spans = F.col("__secrets.spans")
-    # Overlapping spans are cut once: the text goes on at the furthest end so far.
-    cut = F.expr(
-        f"""aggregate(__secrets.spans, named_struct('pos', 0, 'out', ''),
-            (s, x) -> IF(x.start < s.pos, named_struct('pos', greatest(s.pos, x.stop), 'out', s.out),
-                named_struct('pos', x.stop, 'out', concat(s.out, substring({text}, s.pos + 1, x.start - s.pos), '[', x.kind, ']'))),
-            s -> concat(s.out, substring({text}, s.pos + 1)))"""
-    )
-    return x.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(F.col(text))).drop("__secrets")
+    # Overlapping spans are cut once: the text goes on at the furthest end so far. Pieces are taken out of
+    # the part of the text that a block of them covers, as finding a place in a text takes its length.
+    pieces = scan("__spans", "0", "greatest(s.s, x.stop)", "IF(x.start < s.s, NULL, named_struct('a', s.s, 'b', x.start, 'kind', x.kind))", "struct<a:int,b:int,kind:string>")
+    some = f"transform(sequence(0, (size(cuts) - 1) DIV {BLOCK}), b -> slice(cuts, b * {BLOCK} + 1, {BLOCK}))"
+    put = "concat(substring(part, p.a - k[0].a + 1, p.b - p.a), '[', p.kind, ']')"
+    block = let(f"substring(`{text}`, k[0].a + 1, element_at(k, -1).b - k[0].a)", "part", f"array_join(transform(k, p -> {put}), '')")
+    cut = F.expr(let(f"filter({pieces}, p -> p IS NOT NULL)", "cuts", f"concat(array_join(transform({some}, k -> {block}), ''), substring(`{text}`, array_max(transform(__spans, x -> x.stop)) + 1))"))
+    x = x.withColumn("__spans", F.col("__secrets.spans"))
+    return x.withColumn(text, F.when(F.size("__spans") > 0, cut).otherwise(F.col(text))).drop("__secrets", "__spans")
