@@ -251,5 +251,6 @@ def score(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
 
 
 def op10_lm_score(docs: DataFrame) -> DataFrame:
+    """Scores of each row, as ``score`` gives them, under a model of all rows. Repeated rows count and are scored each for itself; other columns are not read; no rows give no rows."""
     few = docs.select("doc_id", "text")
     return score(few, fit(few)).drop("text")

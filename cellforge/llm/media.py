@@ -191,5 +191,6 @@ def media_features(images: DataFrame) -> DataFrame:
 
 
 def op6_media(docs: DataFrame) -> DataFrame:
+    """Digests and hash of each row's image, written and read back. A null or empty text is one row of blanks; repeated rows have equal values; other columns are not read; no rows give no rows."""
     x = media_features(to_media(docs.select("doc_id", "text")).drop("text"))
     return x.select("doc_id", "n_bytes", *(F.col(f.split()[0]) for f in FEATURES.split(", ")))

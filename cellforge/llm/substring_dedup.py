@@ -1,22 +1,22 @@
-"""Removal of repeated 200-byte passages by external induced sorting of sampled suffixes.
+"""Removal of repeated 200-byte passages by sampled windows, in place of an external suffix sort.
 
-A suffix sort of all positions would need many times the text's size on disk. As in induced sorting,
-only a sample is sorted and the rest follows from it:
+A suffix sort of all positions needs many times the text's size on disk, so this is not one: no
+suffixes are ordered and no common-prefix values kept. As in induced sorting only a sample of the
+suffixes is looked at and the rest follows from it, but equal bytes are brought together by 64-bit hashes:
 
 1. Sampled suffixes: in each run of W grams of GRAM bytes the one with the smallest hash (the
    leftmost, if equal) is taken, as a local minimum. A window of LENGTH bytes holds exactly one run,
    so two equal windows sample at the same place, and each window belongs to one sampled suffix.
-2. First level of names: suffix tuples are sorted by their gram, with Spark's external, spilling sort
-   as the disk-backed queue. Grams met once have no long common prefix with any other suffix and end
-   here, with all windows that belong to them.
-3. Second level: of what is left, tuples are named by all bytes that their windows cover. Where such
-   a block is met twice, the common prefix spans it, and all its windows repeat; one of equal
+2. Grams are counted. One met once has no long common prefix with any other suffix, and ends
+   here with all windows that belong to it.
+3. What is left is named by a hash of all bytes that its windows cover. Where such
+   a block is met twice, all its windows repeat; one of equal
    blocks stands for them in the next step. Blocks are counted by partial sums, so a group of copies is
    never gathered.
-4. Third level: the other tuples carry their block's bytes. Within a gram their windows are sorted by
-   a hash of LENGTH bytes at each distance from the sampled place, and the order of the suffixes that
-   start there is induced; windows met twice repeat. A gram with more than SPLIT blocks is dealt out
-   over several tasks, whose distinct windows meet in a last step, dealt by window.
+4. The other blocks carry their bytes. Within a gram, hashes of LENGTH bytes at each distance from the
+   sampled place are compared; windows met twice repeat. A gram with more than SPLIT blocks is dealt out
+   over several tasks, whose distinct windows meet in a last step, dealt by window over as many parts as
+   there are SPLITs of blocks, so that no part grows with the gram.
 5. The runs of repeated windows go back to their documents, are merged there, and cut out.
 """
 
@@ -35,7 +35,6 @@ from .common import SLICE_BYTES, mix64, slices, stored
 LENGTH, GRAM = 200, 32
 W = LENGTH - GRAM + 1
 SPLIT = 256
-SPREAD = 16
 BASE = np.uint64(0x5851F42D4C957F2D | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -123,18 +122,18 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each tuple of a text (list ``s`` of gram, salt, a and b) with the bytes of its block."""
+    """Each tuple of a text (list ``s`` of gram, salt, parts, a and b) with the bytes of its block."""
     for batch in slices(batches):
         items, texts, rows = batch.column("s"), batch.column("text").to_pylist(), batch.column("row").to_numpy()
         n = np.diff(items.offsets.to_numpy())
-        gram, salt, a, b = (items.flatten().field(c) for c in ("gram", "salt", "a", "b"))
+        gram, salt, parts, a, b = (items.flatten().field(c) for c in ("gram", "salt", "parts", "a", "b"))
         body, at = [], 0
         starts, ends = a.to_pylist(), b.to_pylist()
         for text, k in zip(texts, n.tolist(), strict=True):
             data = text.encode()
             body += [data[x : y + LENGTH] for x, y in zip(starts[at : at + k], ends[at : at + k], strict=True)]
             at += k
-        yield pa.RecordBatch.from_arrays([gram, salt, pa.array(np.repeat(rows, n)), a, pa.array(body, pa.binary())], ["gram", "salt", "row", "a", "body"])
+        yield pa.RecordBatch.from_arrays([gram, salt, parts, pa.array(np.repeat(rows, n)), a, pa.array(body, pa.binary())], ["gram", "salt", "parts", "row", "a", "body"])
 
 
 def _runs(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,9 +156,9 @@ def _windows(gram: np.ndarray, row: np.ndarray, a: np.ndarray, body: list[bytes]
 
 
 def _group_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of tuples sorted by gram and salt: runs of windows met twice within the group; of split grams also the distinct windows that may be met in other groups, in lists by SPREAD parts of their hash."""
+    """Of tuples sorted by gram and salt: runs of windows met twice within the group; of split grams also the distinct windows that may be met in other groups, in lists by parts of their hash."""
 
-    def work(gram, salt, row, a, body):
+    def work(gram, salt, parts, row, a, body):
         cut = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
         ends = np.r_[cut[1:], len(gram)]
         at = 0
@@ -181,7 +180,7 @@ def _group_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 one = np.unique(inverse, return_index=True)[1]  # one of each distinct window
                 one = one[split[owner[one]]]
                 plain = h[one] ^ mix64((salt[lo:hi].astype(np.int64) + 1).view(np.uint64))[owner[one]]
-                g, part = gram[lo:hi][owner[one]], (mix64(plain) % np.uint64(SPREAD)).astype(np.int64)
+                g, part = gram[lo:hi][owner[one]], (mix64(plain) % parts[lo:hi][owner[one]].astype(np.uint64)).astype(np.int64)
                 order = np.lexsort((part, g))
                 one, plain, g, part = one[order], plain[order], g[order], part[order]
                 c = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])])
@@ -194,9 +193,9 @@ def _group_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "salt", "row", "a")] + [batch.column("body").to_pylist()]
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "salt", "parts", "row", "a")] + [batch.column("body").to_pylist()]
         if held:
-            now = [np.concatenate([x, y]) for x, y in zip(held[:4], now[:4], strict=True)] + [held[4] + now[4]]
+            now = [np.concatenate([x, y]) for x, y in zip(held[:5], now[:5], strict=True)] + [held[5] + now[5]]
         gram, salt = now[0], now[1]
         last = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])[-1]
         yield from work(*(x[:last] for x in now)) if last else ()
@@ -278,8 +277,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     groups = F.ceil(F.col("blocks") / SPLIT).cast("int")
     salt = F.when(F.col("blocks") > SPLIT, F.pmod(F.xxhash64("own"), groups)).otherwise(-1).cast("int")
     apart = known.where((F.col("own.row") == F.col("row")) & (F.col("own.a") == F.col("a"))).join(blocks, "gram")
-    wanted = apart.groupBy("row").agg(F.collect_list(F.struct("gram", salt.alias("salt"), "a", "b")).alias("s"))
-    carried = docs.join(wanted, "row").mapInArrow(_carry, "gram bigint, salt int, row bigint, a int, body binary")
+    wanted = apart.groupBy("row").agg(F.collect_list(F.struct("gram", salt.alias("salt"), groups.alias("parts"), "a", "b")).alias("s"))
+    carried = docs.join(wanted, "row").mapInArrow(_carry, "gram bigint, salt int, parts int, row bigint, a int, body binary")
     found = carried.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(_group_windows, FOUND)
     found = stored(found)
     split = found.where("gram IS NOT NULL").select("gram", "part", "hashes", "rows", "places").repartition("gram", "part").sortWithinPartitions("gram", "part")
@@ -303,4 +302,5 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
 
 def op7_substring_dedup(docs: DataFrame) -> DataFrame:
+    """``remove_repeats`` of each row, with a digest of the kept bytes; nulls, short texts and repeated rows as stated there, other columns are not read, no rows give no rows."""
     return remove_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), digest=True)
