@@ -99,6 +99,8 @@ def search_blocks(q_rows: np.ndarray, q: np.ndarray, floors: np.ndarray, c_rows:
             if len(score) >= k and b + 1 < len(blocks):
                 low = score - q_rest[cuts[b + 1], i] * c_rest[cuts[b + 1]][alive]
                 floor = max(floor, float(np.partition(low, len(low) - k)[len(low) - k]))
+        reached = score >= floors[i]
+        alive, score = alive[reached], score[reached]
         best = _best(score, c_ids[alive], c_rows[alive], k)
         out.append((i, c_ids[alive][best], score[best]))
     return out
@@ -132,7 +134,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     x = stored(x)  # rows keep their numbers
     n = x.agg(F.count(F.lit(1)).alias("c"), F.count_if("asks").alias("q")).first()
     n_q, n_c = max(1, -(-n["q"] // QUERY_BLOCK)), max(1, -(-n["c"] // CANDIDATE_BLOCK))
-    blocks = stored(x.repartitionByRange(n_c, F.desc("norm"), "row").withColumn("block", F.spark_partition_id()))
+    dealt = stored(x.repartitionByRange(n_c, F.desc("norm"), "row").withColumn("part", F.spark_partition_id()))
+    parts = (dealt.agg(F.max("part").alias("p")).first()["p"] or 0) + 1  # Spark may have taken more than asked for
+    blocks = dealt.withColumn("block", F.floor(F.col("part") * n_c / parts).cast("int")).drop("part")
     asks = blocks.where("asks").select("row", "vec_id", "v", "norm", F.pmod(F.xxhash64("row"), F.lit(n_q)).cast("int").alias("qb"))
     pair = lambda a, b: a.groupBy("qb", "block").cogroup(b.groupBy("c_qb", "c_block")).applyInPandas(_pair(k), FOUND)
     tops = blocks.groupBy("block").agg(F.max("norm").alias("top"))
