@@ -16,13 +16,12 @@ def test_entry_runs(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_blocks_equal_scatter(spark):
-    from pyspark.sql import functions as F
-
+def test_blocks_of_any_size(spark):
     from cellforge.operators import kernels
 
     x = catalog.cells(spark, SMALL)
-    a = kernels.convolve(x, "x1", kernels.kernel_array(1.0), 9)
-    b = kernels.convolve_blocks(x, "x1", kernels.kernel_array(1.0), 9, block=32).withColumnRenamed("value", "other")
-    assert a.join(b, ["r", "c"]).where(F.abs(F.col("value") - F.col("other")) > 1e-9).count() == 0
-    assert b.count() == x.count()
+    a, b = (kernels.convolve(x, "x1", kernels.kernel_array(1.0), 9, block=n).withColumnRenamed("value", f"v{n}") for n in (32, 256))
+    assert a.join(b, ["r", "c"]).where("abs(v32 - v256) > 1e-9").count() == 0 and a.count() == x.count()
+    n = catalog.n_rows(x)
+    a, b = (kernels.gaussian_blur(x, ["x1"], 3, n, catalog.COLS, block=k).withColumnRenamed("x1", f"v{k}") for k in (16, 256))
+    assert a.join(b, ["r", "c"]).where("abs(v16 - v256) > 1e-9").count() == 0 and a.count() == b.count()
