@@ -2,27 +2,33 @@
 
 The vocabulary comes from word counts over the whole corpus: the most frequent words have entries of
 their own, the others share hashed ones. The network sees the embeddings of the words around a masked
-place, weighted by their distance and side, and predicts the word in two steps, its class and then
-the word within the class, so a prediction costs a few hundred multiplications. Tasks train by SGD in
-numpy on their own documents from common starting weights, and the weights are averaged, ROUNDS times;
-every document is trained on in one of the rounds.
+place, weighted by their distance and side, and predicts the word in up to three steps: its class, the
+entry within the class, and for a shared entry the word within the entry, by its share of the entry's
+words in the corpus. So every word of the corpus has a probability of its own, and a prediction costs a
+few hundred multiplications. Tasks train by SGD in numpy on their own documents from common starting
+weights, and the weights are averaged, ROUNDS times; every document is trained on in one of the rounds.
 A document's score is the sum of the log-probabilities of all its words, each given both sides.
+
+The shares are a table as long as the corpus has words. Scoring meets them by joins: a slice of
+documents keeps each word of shared entries once, by its hash, and the documents' places in that list.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, slices, word_codes, word_hashes
+from .common import free_name, slices, stored, word_codes
 
 CLASSES = 48
 WORDS, SHARED = CLASSES * CLASSES - 256, 256
@@ -52,8 +58,20 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def start(vocabulary: list[tuple[str, int]], total: int, seed: int = 3) -> Model:
-    """Weights before training: small random inputs, and biases that give each entry its share of the corpus.
+def word_shares(counts: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(hash, entry, n, log_share) of each of ``counts`` but ``words``: its shared entry, and the log of its part of that entry's words.
+
+    Words of one 64-bit hash would be mistaken for each other.
+    """
+    own = counts.sparkSession.createDataFrame([(w,) for w in words], "word string")  # WORDS rows at most
+    rest = counts.join(F.broadcast(own), "word", "left_anti").select(F.xxhash64("word").alias("hash"), "n")
+    rest = rest.withColumn("entry", WORDS + F.pmod("hash", F.lit(SHARED)).cast("int"))
+    totals = rest.groupBy("entry").agg(F.sum("n").alias("total"))  # SHARED rows at most
+    return rest.join(F.broadcast(totals), "entry").select("hash", "entry", "n", F.log(F.col("n") / F.col("total")).alias("log_share"))
+
+
+def start(vocabulary: list[tuple[str, int]], shared: np.ndarray, seed: int = 3) -> Model:
+    """Weights before training: small random inputs, and biases that give each entry its share of the corpus, of which ``shared`` entries hold so many words.
 
     Entries go to classes by frequency in turn, so all classes carry like shares.
     """
@@ -61,7 +79,7 @@ def start(vocabulary: list[tuple[str, int]], total: int, seed: int = 3) -> Model
     entries = CLASSES * CLASSES
     n = np.full(entries, 1.0)
     n[: len(vocabulary)] += [c for _, c in vocabulary]
-    n[WORDS:] += max(0, total - sum(c for _, c in vocabulary)) / SHARED
+    n[WORDS:] += shared
     table = n.reshape(CLASSES, CLASSES).T  # entry e: class e % CLASSES, place e // CLASSES
     classes, within = np.zeros((DIMS + 1, CLASSES)), np.zeros((CLASSES, DIMS + 1, CLASSES))
     classes[-1] = np.log(table.sum(1) / n.sum())
@@ -70,14 +88,24 @@ def start(vocabulary: list[tuple[str, int]], total: int, seed: int = 3) -> Model
     return Model([w for w, _ in vocabulary], rng.normal(0, 0.1, (entries + 1, DIMS)).astype(np.float32), sides.astype(np.float32), classes.astype(np.float32), within.astype(np.float32))
 
 
-def entries_of(texts: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Flat vocabulary entries and the bounds of each text."""
+@dataclass
+class Coded:
+    """Texts as vocabulary entries, flat, with the bounds of each text."""
+
+    entries: np.ndarray
+    bounds: np.ndarray
+    rare: np.ndarray  # for each word of a shared entry, its place in ``hashes``; else -1
+    hashes: np.ndarray  # of the distinct words of shared entries
+
+
+def coded(texts: pa.Array, known: pa.Array) -> Coded:
     bounds, codes, words = word_codes(pc.utf8_lower(texts))
-    own = np.fromiter((known.get(w, -1) for w in words.to_pylist()), np.int64, len(words))
+    own = pc.fill_null(pc.index_in(words, known.cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     rest = own < 0
-    if rest.any():
-        own[rest] = WORDS + (mix64(word_hashes(words.filter(pa.array(rest)))) % np.uint64(SHARED)).astype(np.int64)
-    return own[codes] if len(codes) else codes, bounds
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.filter(pa.array(rest)).to_pylist()), np.uint64, int(rest.sum())).view(np.int64)  # as Spark hashes
+    own[rest] = WORDS + hashes % SHARED
+    place = np.where(rest, np.cumsum(rest) - 1, -1).astype(np.int32)
+    return Coded(own[codes], bounds, place[codes], hashes)
 
 
 def surroundings(entries: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -195,12 +223,12 @@ def _round(docs: DataFrame, m: Model, part: int, parts: int, text: str) -> Model
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**{k: v.copy() for k, v in asdict(m).items()})
-        known, n = {w: k for k, w in enumerate(own.words)}, 0
+        known, n = pa.array(own.words, pa.string()), 0
         for batch in slices(batches, text, 1 << 20):
-            entries, bounds = entries_of(batch.column(text), known)
-            if len(entries):
-                train_on(own, entries, bounds)
-                n += len(entries)
+            x = coded(batch.column(text), known)
+            if len(x.entries):
+                train_on(own, x.entries, x.bounds)
+                n += len(x.entries)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([_flat(own).astype(np.float32)], pa.list_(pa.float32()))], ["n", "weights"])
 
@@ -219,38 +247,65 @@ def _round(docs: DataFrame, m: Model, part: int, parts: int, text: str) -> Model
     return _unflat(m, sum(np.asarray(r["weights"], np.float64) * (r["n"] / n) for r in rows))
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """A model of ``docs``: vocabulary and biases from counts over all words, weights from all documents, dealt over the ``rounds``."""
-    counts = checkpointed(word_counts(docs, text))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """A model of ``docs`` and its ``word_shares``: vocabulary, biases and shares from counts over all words, weights from all documents, dealt over the ``rounds``."""
+    counts = stored(word_counts(docs, text))
     rows = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()  # WORDS rows at most
-    m = start([(r["word"], r["n"]) for r in rows], total)
+    shares = stored(word_shares(counts, [r["word"] for r in rows]))
+    shared = np.zeros(SHARED)
+    for r in shares.groupBy("entry").agg(F.sum("n").alias("n")).collect():  # SHARED rows at most
+        shared[r["entry"] - WORDS] = r["n"]
+    m = start([(r["word"], r["n"]) for r in rows], shared)
     for k in range(rounds):
         m = _round(docs.where(F.col(text).isNotNull()), m, k, rounds, text)
-    return m
+    return m, shares
 
 
-def score(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``log_prob`` (the sum over all words) and ``mean_log_prob``; columns of those names are replaced.
+def score(docs: DataFrame, m: Model, shares: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all) of ``docs`` with ``n_tokens``, ``log_prob`` (the sum over all words) and ``mean_log_prob``; columns of those names are replaced.
 
-    A text without words (null, empty) has 0 tokens, the sum 0 and no mean.
+    A text without words (null, empty) has 0 tokens, the sum 0 and no mean. A word that the corpus of
+    ``shares`` lacks has its entry's probability.
     """
-    x = docs.drop("n_tokens", "log_prob", "mean_log_prob")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in x.schema)
+    made = ("n_tokens", "log_prob", "mean_log_prob")
+    kept = [c for c in keep or docs.columns if c not in made]
+    x = docs.select(*{text: None, **dict.fromkeys(kept)})
+    piece, rare, hashes = (free_name(x, n) for n in ("piece", "rare", "hashes"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in x.select(*kept).schema)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: k for k, w in enumerate(m.words)}
-        for batch in slices(batches, text):
-            entries, bounds = entries_of(batch.column(text), known)
-            total = np.concatenate([[0.0], np.cumsum(log_probabilities(m, entries, bounds))])
-            n, s = np.diff(bounds), total[bounds[1:]] - total[bounds[:-1]]
-            mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(s, pa.float64()), mean], [*batch.schema.names, "n_tokens", "log_prob", "mean_log_prob"])
-
-    return x.mapInArrow(scored, fields + "n_tokens bigint, log_prob double, mean_log_prob double")
+        known, task = pa.array(m.words, pa.string()), TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(slices(batches, text)):
+            x = coded(batch.column(text), known)
+            total = np.concatenate([[0.0], np.cumsum(log_probabilities(m, x.entries, x.bounds))])
+            n, s = np.diff(x.bounds), total[x.bounds[1:]] - total[x.bounds[:-1]]
+            some = np.concatenate([[0], np.cumsum(x.rare >= 0)])[x.bounds]
+            places = pa.ListArray.from_arrays(pa.array(some, pa.int32()), pa.array(x.rare[x.rare >= 0], pa.int32()))
+            once = np.full(len(n) + 1, len(x.hashes), np.int32)  # the slice's list goes with its first row
+            once[0] = 0
+            lists = pa.ListArray.from_arrays(pa.array(once), pa.array(x.hashes, pa.int64()))
+            own = [pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(np.full(len(n), task + k), pa.int64()), places, lists]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own], [*kept, "n_tokens", "log_prob", piece, rare, hashes])
+
+    def summed(rows: pa.Table, words: pa.Table) -> pa.Table:
+        own = np.zeros(words.num_rows and int(pc.max(words.column("place")).as_py()) + 1)
+        own[words.column("place").to_numpy()] = words.column("log_share").to_numpy()
+        lists, n = rows.column(rare).combine_chunks(), rows.column("n_tokens").to_numpy()
+        places = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        own = np.append(own, np.zeros(max(0, places.max(initial=-1) + 1 - len(own))))
+        at = np.repeat(np.arange(len(n)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        s = rows.column("log_prob").to_numpy() + np.bincount(at, own[places], len(n))
+        mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
+        return rows.select([*kept, "n_tokens"]).append_column("log_prob", pa.array(s)).append_column("mean_log_prob", mean)
+
+    rows = stored(x.mapInArrow(scored, fields + f"n_tokens bigint, log_prob double, `{piece}` bigint, `{rare}` array<int>, `{hashes}` array<bigint>"))
+    words = rows.where(F.size(hashes) > 0).select(F.col(piece).alias("piece"), F.posexplode(hashes).alias("place", "hash"))
+    words = words.join(shares.select("hash", "log_share"), "hash").select("piece", "place", "log_share")
+    pieces = rows.drop(hashes).groupBy(piece).cogroup(words.groupBy("piece"))  # a slice each
+    return pieces.applyInArrow(summed, fields + "n_tokens bigint, log_prob double, mean_log_prob double")
 
 
 def op10_lm_score(docs: DataFrame) -> DataFrame:
     """Scores of each row, as ``score`` gives them, under a model of all rows. Repeated rows count and are scored each for itself; other columns are not read; no rows give no rows."""
     few = docs.select("doc_id", "text")
-    return score(few, fit(few)).drop("text")
+    return score(few, *fit(few), keep=["doc_id"])

@@ -5,10 +5,12 @@ import re
 import time
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cellforge.llm import language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, queries, secret_scan, substring_dedup, topk
@@ -446,37 +448,56 @@ def test_crossovers_save_bins():
     assert made and packing.fitness(w, best) < packing.fitness(w, alone)
 
 
-def test_lm_scores_by_brute_force(spark):
-    texts = [prose(k, 40) + " rare" + str(k) for k in range(30)] + ["one", "", None]
-    docs = base(spark, texts).select("doc_id", "text")
-    m = lm_score.fit(docs)
+def test_lm_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "WORDS", 300)
+    monkeypatch.setattr(lm_score, "SHARED", lm_score.CLASSES**2 - 300)  # a hundred words and more share entries
+    texts = [prose(k, 40) + " rare" + str(k) for k in range(30)] + ["one", "", None, "rare1 rare1 Rare2"]
+    docs = base(spark, texts).selectExpr("doc_id", "text", "doc_id AS piece", "doc_id AS n_tokens")
+    m, shares = lm_score.fit(docs)
     known, C, W = {w: k for k, w in enumerate(m.words)}, lm_score.CLASSES, lm_score.WINDOW
+    hashed = {w: xxhash.xxh64_intdigest(w, 42) for t in texts for w in (t or "").lower().split()}
+    entry = {w: known[w] if w in known else 300 + (h - (1 << 64) * (h >> 63)) % lm_score.SHARED for w, h in hashed.items()}
+    counts = Counter(w for t in texts for w in (t or "").lower().split())
+    full = Counter()
+    for w, n in counts.items():
+        full[entry[w]] += n
     soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
-    for r in lm_score.score(docs, m).collect():
-        words = (r["text"] or "").split()
-        e = [known[w] if w in known else lm_score.WORDS + int(lm_score.mix64(lm_score.word_hashes(pa.array([w])))[0] % np.uint64(lm_score.SHARED)) for w in words]
-        total = 0.0
+    got = lm_score.score(docs, m, shares).collect()
+    assert len(got) == len(texts) and len(known) < len(counts)
+    for r in got:
+        words = (r["text"] or "").lower().split()
+        e = [entry[w] for w in words]
+        total = sum(np.log(counts[w] / full[entry[w]]) for w in words)
         for i, own in enumerate(e):
             x = np.zeros(lm_score.DIMS)
             for k, d in enumerate([*range(-W, 0), *range(1, W + 1)]):
                 x += m.inputs[e[i + d] if 0 <= i + d < len(e) else C * C].astype(float) * m.sides[k]
             h = np.append(np.tanh(x), 1.0)
             total += soft(h @ m.classes.astype(float))[own % C] + soft(h @ m.within[own % C].astype(float))[own // C]
-        assert r["n_tokens"] == len(e) and abs(r["log_prob"] - total) < 1e-3
+        assert r["n_tokens"] == len(e) and abs(r["log_prob"] - total) < 1e-3 and r["piece"] == r["doc_id"]
+
+
+def test_lm_each_word_has_its_probability(spark):
+    """Of words that share the entries, the one that the corpus holds more often is the likelier."""
+    filler = " ".join(f"common{k} " * 3 for k in range(lm_score.WORDS))
+    texts = [filler] + [f"rare{k}" for k in range(2000)] + ["rare7"]
+    got = {r["text"]: r["log_prob"] for r in lm_score.score(*(lambda d: (d, *lm_score.fit(d, rounds=0)))(base(spark, texts).select("doc_id", "text"))).collect()}
+    each = [got[f"rare{k}"] for k in range(2000)]
+    assert max(each) == got["rare7"] and abs(sum(np.exp(v) for v in each) + 3 * lm_score.WORDS / (3 * lm_score.WORDS + 2001) - 1) < 0.3
 
 
 def test_lm_scores_learn_and_sum(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join("red blue green gold".split()[k % 4] for k in range(int(rng.integers(20, 60)))) for _ in range(400)] + [None, ""]
     docs = base(spark, texts).select("doc_id", "text")
-    before, after = lm_score.fit(docs, rounds=0), lm_score.fit(docs, rounds=2)
-    total = lambda m: lm_score.score(docs, m).agg(F.sum("log_prob")).first()[0]
+    (before, shares), (after, _) = lm_score.fit(docs, rounds=0), lm_score.fit(docs, rounds=2)
+    total = lambda m: lm_score.score(docs, m, shares).agg(F.sum("log_prob")).first()[0]
     assert total(before) < total(after) < 0
-    entries, bounds = lm_score.entries_of(pa.array(texts, pa.string()), {w: k for k, w in enumerate(after.words)})
+    x = lm_score.coded(pa.array(texts, pa.string()), pa.array(after.words))
     for _ in range(40):  # both sides tell the word, so its chance nears 1
-        lm_score.train_on(after, entries, bounds)
-    assert lm_score.log_probabilities(after, entries, bounds).mean() > -0.1
-    none = lm_score.score(docs, after).where("doc_id >= 400").collect()
+        lm_score.train_on(after, x.entries, x.bounds)
+    assert lm_score.log_probabilities(after, x.entries, x.bounds).mean() > -0.1
+    none = lm_score.score(docs, after, shares).where("doc_id >= 400").collect()
     assert all((r["n_tokens"], r["log_prob"], r["mean_log_prob"]) == (0, 0.0, None) for r in none)
 
 
