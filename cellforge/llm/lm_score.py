@@ -108,98 +108,112 @@ def coded(texts: pa.Array, known: pa.Array) -> Coded:
     return Coded(own[codes], bounds, place[codes], hashes)
 
 
+def _small(n: int) -> type:
+    """An integer type for numbers below ``n``; the smallest ones are sorted by their digits."""
+    return np.uint16 if n < 1 << 16 else np.int64
+
+
 def surroundings(entries: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Entries at the 2 * WINDOW places around each word; beyond its text, the empty entry."""
-    n = len(entries)
-    low, high = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
-    out = np.full((n, 2 * WINDOW), CLASSES * CLASSES)
-    at = np.arange(n)
-    for k, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-        ok = (at + d >= low) & (at + d < high)
-        out[ok, k] = entries[(at + d)[ok]]
+    """Entries at the 2 * WINDOW places around each word, a row for each place; beyond its text, the empty entry."""
+    n, empty = len(entries), CLASSES * CLASSES
+    own, text = entries.astype(_small(empty + 1)), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    out = np.full((2 * WINDOW, n), empty, own.dtype)
+    for d in range(1, min(WINDOW, n - 1) + 1):
+        same = text[d:] == text[:-d]
+        np.copyto(out[WINDOW - d, d:], own[:-d], where=same)
+        np.copyto(out[WINDOW + d - 1, :-d], own[d:], where=same)
     return out
 
 
 def _log_chance(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of entry y in each row."""
-    z -= z.max(1)[:, None]
-    own = z[np.arange(len(z)), y].astype(np.float64)
-    return own - np.log(np.exp(z, out=z).sum(1))
+    """Of entry y in each column."""
+    z -= z.max(0)
+    own = z[y, np.arange(z.shape[1])].astype(np.float64)
+    return own - np.log(np.exp(z, out=z).sum(0))
 
 
 def hidden(m: Model, around: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(around), DIMS), np.float32)
+    """DIMS + 1 x words."""
+    x = np.zeros((around.shape[1], DIMS), np.float32)
     for k in range(2 * WINDOW):
-        x += m.inputs.take(around[:, k], axis=0) * m.sides[k]
-    return np.concatenate([np.tanh(x), np.ones((len(x), 1), np.float32)], axis=1)
+        x += (m.inputs * m.sides[k]).take(around[k], axis=0)
+    h = np.ones((DIMS + 1, len(x)), np.float32)
+    np.tanh(x.T, out=h[:DIMS])
+    return h
 
 
-def _by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+def _by_class(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """The order by class, classes and places in that order, and where each class lies in it."""
+    c = entries % CLASSES
+    order = np.argsort(c.astype(_small(CLASSES)), kind="stable")
+    c = c[order]
+    cuts = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    return order, c, entries[order] // CLASSES, [(k, slice(i, j)) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
 
 
-def log_probabilities(m: Model, entries: np.ndarray, bounds: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-    """Of each word, masked, given the words on both sides."""
+def _within(m: Model, h: np.ndarray, own: list[tuple[int, slice]]) -> np.ndarray:
+    z = np.empty((CLASSES, h.shape[1]), np.float32)
+    for k, at in own:
+        np.matmul(m.within[k].T, h[:, at], out=z[:, at])
+    return z
+
+
+def log_probabilities(m: Model, entries: np.ndarray, bounds: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """Of each word's entry, masked, given the words on both sides; ``block`` words at a time, which stay in the cache."""
     around = surroundings(entries, bounds)
     out = np.empty(len(entries))
     for a in range(0, len(entries), block):
-        h = hidden(m, around[a : a + block])
-        c, p = entries[a : a + block] % CLASSES, entries[a : a + block] // CLASSES
-        some = _log_chance(h @ m.classes, c)
-        for k, rows in _by_class(c):
-            some[rows] += _log_chance(h[rows] @ m.within[k], p[rows])
-        out[a : a + block] = some
+        order, c, p, own = _by_class(entries[a : a + block])
+        h = hidden(m, around[:, a : a + block][:, order])
+        out[a + order] = _log_chance(m.classes.T @ h, c) + _log_chance(_within(m, h, own), p)
     return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1)[:, None]
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(1)[:, None]
+    z /= z.sum(0)
     return z
 
 
 def train_on(m: Model, entries: np.ndarray, bounds: np.ndarray) -> None:
     """One pass of SGD over all words, in place."""
-    around = surroundings(entries, bounds)
-    small = np.uint16 if CLASSES * CLASSES < 1 << 16 else np.int64  # small integers are sorted by their digits
+    around, places, all_entries = surroundings(entries, bounds), 2 * WINDOW, CLASSES * CLASSES + 1
+    first_keys = (np.arange(places) * all_entries).astype(_small(places * all_entries))[:, None]
     for a in range(0, len(entries), BATCH):
-        near = around[a : a + BATCH]
-        c = entries[a : a + BATCH] % CLASSES
-        order = np.argsort(c.astype(small), kind="stable")  # by class
-        c, p, near = c[order], entries[a : a + BATCH][order] // CLASSES, near[order]
-        cuts = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
-        at = np.arange(len(c))
+        order, c, p, own = _by_class(entries[a : a + BATCH])
+        near, at = around[:, a : a + BATCH][:, order], np.arange(len(c))
         h = hidden(m, near)
-        g = _softmax(h @ m.classes)
-        g[at, c] -= 1
-        d_h = g @ m.classes.T
-        d_classes = h.T @ g
-        g = np.empty((len(c), CLASSES), np.float32)
-        own = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
-        for k, rows in own:
-            np.matmul(h[rows], m.within[k], out=g[rows])
-        g = _softmax(g)
-        g[at, p] -= 1
+        g = _softmax(m.classes.T @ h)
+        g[c, at] -= 1
+        d_h = m.classes @ g
+        d_classes = h @ g.T
+        g = _softmax(_within(m, h, own))
+        g[p, at] -= 1
+        back, d_within = np.empty_like(d_h), np.zeros_like(m.within)
         for k, rows in own:
-            d_h[rows] += g[rows] @ m.within[k].T
-            m.within[k] -= (h[rows].T @ g[rows]) * (RATE / math.sqrt((rows.stop - rows.start) * 8))
+            np.matmul(m.within[k], g[:, rows], out=back[:, rows])
+            np.matmul(h[:, rows], g[:, rows].T, out=d_within[k])
+        d_h += back
+        d_within *= (RATE / np.sqrt(8 * np.maximum(np.bincount(c, minlength=CLASSES), 1))).astype(np.float32)[:, None, None]
+        m.within -= d_within
         m.classes -= d_classes * (RATE / math.sqrt(len(c) * 8))
-        d_x = (d_h * (1 - h * h))[:, :DIMS]
-        for k in range(2 * WINDOW):
-            # gather the gradients of equal entries before they are taken off
-            order = np.argsort(near[:, k].astype(small), kind="stable")
-            e = near[order, k]
-            first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-            by_entry = d_x.take(order, axis=0)
-            own_x = np.add.reduceat(by_entry.view(np.complex64), first, axis=0).view(np.float32)  # two at a time
-            d_side = np.einsum("ij,ij->j", m.inputs.take(e, axis=0), by_entry)
-            m.inputs[e[first]] -= own_x * m.sides[k] * (RATE / np.sqrt(np.diff(np.append(first, len(order))))).astype(np.float32)[:, None]
-            m.sides[k] -= d_side * (0.1 * RATE / math.sqrt(len(c) * 8))
+        d_x = np.ascontiguousarray((d_h * (1 - h * h))[:DIMS].T)
+        # gather the gradients of each place's equal entries before they are taken off
+        keys = (near + first_keys).reshape(-1)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+        place, e = np.divmod(keys[first].astype(np.int64), all_entries)
+        gathered = np.add.reduceat(d_x.take(order % len(c), axis=0).view(np.complex64), first, axis=0).view(np.float32)  # two at a time
+        rate = (RATE / np.sqrt(np.diff(np.append(first, len(keys))))).astype(np.float32)
+        cuts = np.searchsorted(place, np.arange(places + 1))
+        d_sides = np.add.reduceat(m.inputs[e] * gathered, cuts[:-1], axis=0)
+        gathered *= m.sides[place]
+        gathered *= rate[:, None]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            m.inputs[e[i:j]] -= gathered[i:j]
+        m.sides -= d_sides * (0.1 * RATE / math.sqrt(len(c) * 8))
 
 
 ARRAYS = ("inputs", "sides", "classes", "within")
