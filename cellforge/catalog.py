@@ -313,6 +313,15 @@ def map_state_difference(spark, sf_dir):
     return coarse.row_area_difference(s.where("year = 1995"), s.where("year = 1996"), area, ["state", "cr", "cc"])
 
 
+@query(f"WITH {{G}}, {ST}, {SC}, {CLS}, names(class, class_id) AS (VALUES {', '.join(f"('{CLASSES[k]}', {k})" for k in CHANGEABLE)}), o AS (SELECT cr, cc, t1 AS class_id, count(*) / CAST(100 AS DOUBLE) AS share FROM g GROUP BY ALL) SELECT cls.cr, cls.cc, names.class_id, (total - coalesce(o.share, 0)) * (cls.cr % 4 + 1) AS change FROM cls JOIN names USING (class) LEFT JOIN o ON o.cr = cls.cr AND o.cc = cls.cc AND o.class_id = names.class_id WHERE year = 1996")
+def difference_from_observed(spark, sf_dir):
+    """A scenario's states less the observed map's."""
+    s = states(spark, sf_dir).where("year = 1996")
+    x = coarse.states_to_classes(s, STATES).select("cr", "cc", pipeline.remap_class({CLASSES[k]: k for k in CHANGEABLE}).alias("class_id"), F.col("value").alias("share"))
+    area = s.select("cr").distinct().withColumn("ha", F.col("cr") % 4 + 1)
+    return coarse.difference_from_observed(coarse.state_stack(cells(spark, sf_dir), "t1", RATIO), x, area, ["cr", "cc", "class_id"])
+
+
 @query(f"WITH {SC} SELECT class, string_agg(state, ',' ORDER BY state) AS states FROM sc WHERE (SELECT count(*) FROM region) > 0 GROUP BY class")
 def class_members(spark, sf_dir):
     known = states(spark, sf_dir).select("state").distinct()
@@ -577,6 +586,16 @@ def starting_coefficients(spark, sf_dir):
     return calibrate.starting_coefficients(spark, present(spark, sf_dir), CHANGEABLE, (1, 5), ("altitude", "sand", "clay"))
 
 
+@query("""WITH {G}, k AS (SELECT DISTINCT t1 AS s, ['urban', 'cropland', 'grassland', 'forest', 'nonforestnatural', 'water', 'barren_and_other'][t1] AS name FROM g), t AS (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS class_id),
+st AS (SELECT unnest(['altitude', 'sand', 'clay']) AS layer)
+SELECT name || '_presence_constraint' AS layer, 'multiplicative' AS kind, class_id, CASE WHEN s = class_id OR s IN (6, 7) THEN CAST(0 AS DOUBLE) ELSE 1 END AS beta FROM k, t
+UNION ALL SELECT name || '_presence', 'additive', class_id, 0 FROM k, t
+UNION ALL SELECT name || '_gaussian_' || z, 'additive', class_id, CAST(z = 5 AND s = class_id AS DOUBLE) FROM k, t, (SELECT unnest([1, 5]) AS z)
+UNION ALL SELECT layer, 'additive', class_id, CAST(layer = 'sand' AS DOUBLE) FROM st, t""")
+def sparse_starting_coefficients(spark, sf_dir):
+    return calibrate.sparse_starting_coefficients(spark, present(spark, sf_dir), CHANGEABLE, ("altitude", "sand", "clay"), ("sand",))
+
+
 @query("""WITH {G}, k AS (SELECT DISTINCT t1 AS s, ['urban', 'cropland', 'grassland', 'forest', 'nonforestnatural', 'water', 'barren_and_other'][t1] AS name FROM g), t AS (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS class_id),
 l AS (SELECT name || '_presence' AS layer, class_id FROM k, t UNION ALL SELECT name || '_gaussian_1', class_id FROM k, t UNION ALL SELECT 'sand', class_id FROM t),
 x AS (SELECT row_number() OVER (ORDER BY layer, class_id, d) AS try_id, layer, class_id, d AS delta FROM l, (SELECT CAST(unnest([-1, 1]) AS DOUBLE) AS d))
@@ -671,6 +690,13 @@ def coalesce_source(spark, sf_dir):
     return zones.coalesce_source(x.where("ha = 2 AND x1 > 1 AND cc < 6").groupBy("cr", "cc").agg(F.max("t2").alias("m")), x.groupBy("cr", "cc").agg(F.min("t1").alias("m")), ["cr", "cc"], "m")
 
 
+@query("WITH {G}, l AS (SELECT r, c, cr, cc FROM g WHERE c >= 30), e AS (SELECT min(r), min(c), max(r), max(c) FROM g), le AS (SELECT min(r), min(c), max(r), max(c) FROM l) SELECT DISTINCT cr, cc FROM g WHERE (SELECT count(*) FROM (FROM e INTERSECT FROM le)) = 1 UNION SELECT DISTINCT cr, cc FROM l WHERE (SELECT count(*) FROM (FROM e INTERSECT FROM le)) = 0")
+def blocks_for_extent(spark, sf_dir):
+    x = cells(spark, sf_dir)
+    part = x.where("c >= 30")
+    return zones.blocks_for(grid.extent(part), grid.extent(x), x.select("cr", "cc").distinct(), part.select("cr", "cc").distinct())
+
+
 @query("WITH {G}, b AS (SELECT DISTINCT cr // 3 AS zone, cr, cc FROM g) SELECT CAST(zone AS INTEGER) AS zone, cr, cc FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY cr, cc) AS i, count(*) OVER (PARTITION BY zone) AS n FROM b) WHERE i = n // 2 + 1")
 def zone_representative(spark, sf_dir):
     b = cells(spark, sf_dir).select(F.floor(F.col("cr") / 3).cast("int").alias("zone"), "cr", "cc").distinct()

@@ -39,6 +39,14 @@ def starting_coefficients(spark: SparkSession, classes: Mapping[int, str], chang
     return constraint.unionByName(presence).unionByName(convolved).unionByName(rest)
 
 
+def sparse_starting_coefficients(spark: SparkSession, classes: Mapping[int, str], changeable: Sequence[int], static: Sequence[str], given: Sequence[str], frozen: Sequence[int] = (6, 7)) -> DataFrame:
+    """The older start, of the same columns: all 0, but for 1 at a class's own wide convolution (5) and at the static layers ``given``; each layer that is not a constraint is additive."""
+    x = starting_coefficients(spark, classes, changeable, (1, 5), static, frozen, {(a, b): 5.0 if a == b else 0.0 for a in classes for b in changeable})
+    none = (F.col("kind") == "gaussian_1") | F.col("layer").isin(*(set(static) - set(given)))
+    kind = F.when(F.col("kind").startswith("gaussian_"), ADDITIVE).otherwise(F.col("kind"))
+    return x.select(F.regexp_replace("layer", "_constraint$", "_presence_constraint").alias("layer"), kind.alias("kind"), "class_id", F.when(none, 0.0).otherwise(F.col("beta")).alias("beta"))
+
+
 def candidate_tries(coefficients: DataFrame, step: float = 1.0) -> DataFrame:
     """(try_id, layer, class_id, delta): 0 the start, then one step down and one up for each coefficient that is not multiplicative.
 

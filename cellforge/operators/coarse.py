@@ -83,6 +83,12 @@ def row_area_difference(base: DataFrame, scenario: DataFrame, area: DataFrame, k
     return base.join(s, list(key)).join(area, "cr").select(*key, ((F.col("__s") - F.col(value)) * F.col("ha")).alias("change"))
 
 
+def difference_from_observed(observed: DataFrame, scenario: DataFrame, area: DataFrame, key: Sequence[str], value: str = "share") -> DataFrame:
+    """As ``row_area_difference``, from what the observed map implies: where it lacks a class of ``scenario``, from 0."""
+    o = observed.select(*key, F.col(value).alias("__o"))
+    return scenario.join(o, list(key), "left").join(area, "cr").select(*key, ((F.col(value) - F.coalesce("__o", F.lit(0.0))) * F.col("ha")).alias("change"))
+
+
 def value_counts(cells: DataFrame, value: str) -> DataFrame:
     return cells.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
 

@@ -52,6 +52,12 @@ def coalesce_source(preferred: DataFrame, fallback: DataFrame, key: Sequence[str
     return fallback.join(p, list(key), "left").withColumn(value, F.coalesce("__p", value)).drop("__p")
 
 
+def blocks_for(layer: DataFrame, whole: DataFrame, global_blocks: DataFrame, local_blocks: DataFrame) -> DataFrame:
+    """The list of blocks that suits a layer: the global one where its extent is the whole grid's, else its own. Extents are single rows (r0, c0, r1, c1)."""
+    corners = ["r0", "c0", "r1", "c1"]
+    return global_blocks if layer.select(*corners).first() == whole.select(*corners).first() else local_blocks
+
+
 def zone_representative(blocks: DataFrame, zone: str, order: Sequence[str]) -> DataFrame:
     """The block in the middle of each zone's list."""
     w = W.partitionBy(zone)

@@ -161,6 +161,15 @@ def test_windows_and_stitching(spark):
     assert {r["lulc"] for r in grid.overlay_ordered(both, "lulc", "k").collect()} == {8}
 
 
+def test_blocks_by_extent(spark):
+    from cellforge.plans import zones
+
+    one = lambda *v: spark.createDataFrame([v], "r0 int, c0 int, r1 int, c1 int")
+    whole, own = spark.createDataFrame([("all",)], "b string"), spark.createDataFrame([("own",)], "b string")
+    assert zones.blocks_for(one(0, 0, 9, 9), one(0, 0, 9, 9), whole, own).first()["b"] == "all"
+    assert zones.blocks_for(one(0, 0, 9, 8), one(0, 0, 9, 9), whole, own).first()["b"] == "own"
+
+
 def test_small_kernels(spark):
     k = kernels.gaussian_kernel_cdf(spark, 5, 2.0).collect()
     assert len(k) == 25 and abs(sum(r["w"] for r in k) - 1) < 1e-12
