@@ -731,6 +731,18 @@ def polygon_rasterize(spark, sf_dir):
     return vector.rasterize(cells(spark, sf_dir), polygons(spark))
 
 
+def edges(k: int, x: list[float], y: list[float]) -> str:
+    n = len(x)
+    return ", ".join(f"({k}, {x[i]}, {y[i]}, {x[(i + 1) % n]}, {y[(i + 1) % n]})" for i in range(n))
+
+
+@query(f"""WITH {{G}}, {PO}, v(id, a, b, d, e) AS (VALUES {', '.join(edges(*p) for p in POLYGONS)}), ed AS (SELECT id, CAST(a AS DOUBLE) AS xa, CAST(b AS DOUBLE) AS ya, CAST(d AS DOUBLE) AS xb, CAST(e AS DOUBLE) AS yb FROM v)
+SELECT r, c, id FROM po UNION SELECT r, c, id FROM g, ed WHERE least(xa, xb) < c + 1 AND greatest(xa, xb) > c AND least(ya, yb) < r + 1 AND greatest(ya, yb) > r
+AND abs((xb - xa) * (r + 0.5 - ya) - (yb - ya) * (c + 0.5 - xa)) < 0.5 * (abs(xb - xa) + abs(yb - ya))""")
+def polygon_touched(spark, sf_dir):
+    return vector.rasterize(cells(spark, sf_dir), polygons(spark), all_touched=True)
+
+
 @query(f"WITH {{G}}, {PO} SELECT a.id AS id, b.id AS other, count(*) AS n FROM po a JOIN po b USING (r, c) GROUP BY ALL")
 def zone_overlay(spark, sf_dir):
     x = vector.rasterize(cells(spark, sf_dir), polygons(spark))

@@ -152,6 +152,19 @@ def test_polygon_with_a_hole_free_concave_ring(spark):
     assert (0, 2) in got and (5, 2) not in got and (4, 0) in got and (4, 5) in got
 
 
+def test_touched_cells_by_points_along_the_ring(spark):
+    """Cells that hold points of a closely sampled ring, or whose centre is inside."""
+    x, y = [2.3, 17.8, 9.1, 12.4, 4.7], [1.2, 6.9, 7.3, 18.6, 12.1]
+    grid_cells = spark.createDataFrame([Row(r=r, c=c) for r in range(20) for c in range(20)])
+    ring = spark.createDataFrame([(1, x, y)], "id int, x array<double>, y array<double>")
+    got = {(q["r"], q["c"]) for q in vector.rasterize(grid_cells, ring, block=8, all_touched=True).collect()}
+    centres = {(q["r"], q["c"]) for q in vector.rasterize(grid_cells, ring, block=8).collect()}
+    t = np.linspace(0, 1, 20001)[:, None]
+    p, q = np.c_[x, y], np.roll(np.c_[x, y], -1, axis=0)
+    along = np.floor(np.concatenate([a + t * (b - a) for a, b in zip(p, q, strict=True)])).astype(int)
+    assert got == centres | {(int(b), int(a)) for a, b in along}
+
+
 def test_windows_and_stitching(spark):
     x = cells(spark, [1] * 9)
     assert grid.window(x, 1, 1, 5, 5).count() == 4
