@@ -270,7 +270,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     several = left.where("NOT alone")
     pairs = stored(several.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a")).alias("own")))
     blocks = stored(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("blocks")))
-    known = several.join(pairs, ["gram", "block"])
+    known = several.join(pairs.hint("merge"), ["gram", "block"])  # at every size, so that Spark can split it where a block is hot
     span = ("row", F.col("a").cast("long").alias("first"), F.col("b").cast("long").alias("last"))
     whole = left.where("alone").select(*span).unionByName(known.where("n > 1").select(*span))
     # Each distinct block of a gram that has several, at its first place.
