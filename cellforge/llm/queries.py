@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, substring_dedup, topk
+from . import conversation_repair, language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, substring_dedup, topk
 from .common import table
 
 
@@ -26,6 +26,7 @@ OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op8_exact_topk": ("embeddings", topk.op8_exact_topk),
     "op9_best_fit_packing": ("documents", packing.op9_best_fit_packing),
     "op10_lm_score": ("documents", lm_score.op10_lm_score),
+    "op11_conversation_repair": ("conversations", conversation_repair.op11_conversation_repair),
 }
 
 
