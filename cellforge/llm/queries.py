@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, substring_dedup, topk
+from . import collision_search, conversation_repair, language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, substring_dedup, topk
 from .common import table
 
 
@@ -27,6 +27,7 @@ OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op9_best_fit_packing": ("documents", packing.op9_best_fit_packing),
     "op10_lm_score": ("documents", lm_score.op10_lm_score),
     "op11_conversation_repair": ("conversations", conversation_repair.op11_conversation_repair),
+    "op12_collision_search": ("embeddings", collision_search.op12_collision_search),
 }
 
 
