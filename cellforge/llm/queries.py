@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collision_search, conversation_repair, language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, substring_dedup, topk
+from . import collision_search, conversation_repair, hard_negatives, language_id, license_scan, lm_score, media, mixing, ngram_jaccard, packing, secret_scan, substring_dedup, topk
 from .common import table
 
 
@@ -28,6 +28,7 @@ OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op10_lm_score": ("documents", lm_score.op10_lm_score),
     "op11_conversation_repair": ("conversations", conversation_repair.op11_conversation_repair),
     "op12_collision_search": ("embeddings", collision_search.op12_collision_search),
+    "op13_hard_negatives": ("embeddings", hard_negatives.op13_hard_negatives),
 }
 
 
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.OP4_SQL, "op8_exact_topk": topk.OP8_SQL}
+    return {"op4_source_mix": mixing.OP4_SQL, "op8_exact_topk": topk.OP8_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}

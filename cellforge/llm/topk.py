@@ -10,6 +10,8 @@ The best of each pair are merged by a window.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,12 +27,12 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 8192
 FOUND = "row long, query_id long, vec_id long, score long"
 
 
-def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): each component as floor(scale * x), a long. Rows that are null, or hold null or non-finite components, are left out; an empty vector scores 0 with all. Components beyond a long end at its limits."""
+def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE, more: Sequence[Column] = ()) -> DataFrame:
+    """(vec_id, v, more...): each component as floor(scale * x), a long. Rows that are null, or hold null or non-finite components, are left out; an empty vector scores 0 with all. Components beyond a long end at its limits."""
     x = F.col(embedding)
     finite = ~F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     good = vectors.where(x.isNotNull() & F.col(vec_id).isNotNull() & finite)
-    return good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("long")).alias("v"))
+    return good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("long")).alias("v"), *more)
 
 
 def _matrix(values: pd.Series, dims: int) -> np.ndarray:

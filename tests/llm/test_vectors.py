@@ -97,3 +97,56 @@ def test_prefix_search(spark):
     df = spark.range(0, 12).select("id", F.expr("transform(sequence(9, 0), i -> cast(i as double))").alias("tops"))
     got = {r["id"]: r["n"] for r in df.select("id", prefix(F.col("tops"), lambda t: t >= F.col("id")).alias("n")).collect()}
     assert got == {i: max(0, 10 - i) for i in range(12)}
+
+
+def mined(rows, is_anchor, scale=256, positives=5, negatives=10):
+    """The contract of op13 in plain loops."""
+    good = []
+    for i, v, label in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            good.append((i, [math.floor(scale * x) for x in v], (label + 1) % 10 if i % 7 == 0 else label))
+    out = []
+    for a, (i, q, k) in enumerate(good):
+        if is_anchor(i):
+            scored = sorted((-sum(x * y for x, y in zip(q, v)), j, other != k) for b, (j, v, other) in enumerate(good) if a != b)
+            for s, p, _ in [x for x in scored if not x[2]][:positives]:
+                for n, (t, j, _) in enumerate([x for x in scored if x[2] and -30 * s <= -100 * x[0] <= -90 * s][:negatives]):
+                    out.append((i, p, n + 1, j, -s, -t))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_hard_negatives_equal_brute_force(spark, block):
+    from cellforge.llm import hard_negatives as hn
+    from cellforge.llm.topk import quantised
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 12))
+    rows = [(i, (centres[i % 6] * (0.2 + i % 4) + 0.2 * rng.normal(size=12)).tolist(), int(i % 6 if i % 5 else rng.integers(0, 6))) for i in range(240)]
+    rows += [(300 + i, rows[0][1], 0) for i in range(60)]  # a fifth of all rows are copies
+    rows += [(100, rows[3][1], 3), (100, rows[3][1], None), (None, rows[1][1], 1), (501, None, 1), (502, [1.0, None], 1), (503, [float("nan")], 1), (600, [0.0] * 12, 2), (700, [], 1), (900, [5.0, -2.0, 1.0], 4), (901, [4.0], 4), (902, [3e9, 1e9], 9)]
+    df = spark.createDataFrame(rows, VECTORS).withColumn("row", F.lit("x")).withColumn("angles", F.lit(1)).withColumn("low", F.lit(None).cast("int"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    x = quantised(df, scale=256, more=[label.alias("label")])
+    got = sorted(tuple(r) for r in hn.mine(x, F.col("vec_id") % 20 == 0, block=block).collect())
+    assert got == mined(rows, lambda i: i % 20 == 0) and len(got) > 300
+    if block > 1000:
+        assert sorted(tuple(r) for r in hn.op13_hard_negatives(df).collect()) == mined(rows, lambda i: i % 100 == 0)
+        assert hn.op13_hard_negatives(spark.createDataFrame([], VECTORS)).count() == 0
+        assert hn.op13_hard_negatives(df.where("vec_id % 100 > 0")).count() == 0
+
+
+def test_bounds_hold_and_prune():
+    from cellforge.llm import hard_negatives as hn
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(8, 16))
+    x = np.concatenate([np.floor(256 * (centres[rng.integers(0, 8, 2000)] + 0.1 * rng.normal(size=(2000, 16)))), np.floor(256 * centres), -np.floor(256 * centres), np.zeros((1, 16))])
+    norms = np.sqrt((x * x).sum(1))
+    refs = centres / np.sqrt((centres**2).sum(1))[:, None]
+    angles = np.arccos(np.clip(refs @ x.T / np.maximum(norms, 1e-300), -1, 1))
+    for i in range(0, len(x), 50):
+        least, most = hn.bounds(angles[:, i], norms[i], angles, norms)
+        s = x @ x[i]
+        assert (least <= s).all() and (s <= most).all()
+        assert (most < 0.8 * norms[i] ** 2).mean() > 0.5  # most rows are far below
