@@ -66,8 +66,8 @@ class Index:
     """The sorted projections of the directions of vectors (a column each) of like length."""
 
     def __init__(self, c: np.ndarray, lengths: np.ndarray, n: int = PROJECTIONS, success: float = SUCCESS):
-        self.c, self.longest = c, float(lengths.max())
-        projected = (c / lengths).T @ directions(len(c), n)
+        self.rows, self.longest = np.ascontiguousarray(c.T), float(lengths.max())
+        projected = (self.rows / lengths[:, None]) @ directions(len(c), n)
         self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
         self.sorted = np.ascontiguousarray(np.sort(projected, axis=0).T)
         self.least = threshold(n, WIDTH, success)
@@ -76,39 +76,44 @@ class Index:
         """The distance between directions within which all vectors that score so lie."""
         return math.sqrt(max(2 - 2 * score / self.longest / q_length, 0.0)) + 1e-6 if math.isfinite(score) else math.inf
 
-    def search(self, q: np.ndarray, length: float, at: np.ndarray, own: int, scores: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the vectors that are verified for one query: ``at`` are its direction's projections, ``own`` its own place or -1, ``scores`` those it has from elsewhere; what scores below ``floor`` does not matter."""
-        total = self.c.shape[1]
-        waiting = np.ones(total, bool)
-        if own >= 0:
-            waiting[own] = False
-        left = int(waiting.sum())
-        counts = np.zeros(total, np.int64)
-        low = high = np.array([s.searchsorted(v) for s, v in zip(self.sorted, at, strict=True)])
-        places, mine = [], np.zeros(0)
-
-        def goal() -> float:
-            best = np.concatenate([scores, mine])
-            return self.radius(max(floor, np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else floor, length)
-
-        reach = goal()
-        radius = min(reach, max(FIRST, reach / GROWTH**2 if math.isfinite(reach) else 0.0))
-        while left:
-            bounds = np.array([s.searchsorted(v) for s, v in zip(self.sorted, at[:, None] + np.array([-WIDTH, WIDTH]) * radius, strict=True)])
-            fresh = [x for o, a, b, c, d in zip(self.order, bounds[:, 0], low, high, bounds[:, 1], strict=True) for x in (o[a:b], o[c:d])]
-            counts += np.bincount(np.concatenate(fresh), minlength=total)
-            low, high = bounds[:, 0], bounds[:, 1]
-            new = np.flatnonzero(waiting & (counts >= self.least))
-            if len(new):
-                waiting[new] = False
-                left -= len(new)
-                places.append(new)
-                mine = np.concatenate([mine, q @ self.c[:, new]])
-                reach = goal()
-            if radius >= reach:
-                break
-            radius = min(radius * GROWTH, reach)
-        return (np.concatenate(places) if places else np.zeros(0, np.int64)), mine
+    def search(self, q: np.ndarray, lengths: np.ndarray, at: np.ndarray, own: np.ndarray, scores: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, scores) of the vectors that are verified for each query (a row of ``q``): ``at`` are its direction's projections, ``own`` its own place or -1, ``scores`` those it has from elsewhere; what scores below its floor does not matter."""
+        total, n = len(self.rows), len(q)
+        waiting, counts = np.ones((n, total), bool), np.zeros((n, total), np.int64)
+        waiting[np.flatnonzero(own >= 0), own[own >= 0]] = False
+        low = self._places(at)
+        high = low.copy()
+        places: list[list[np.ndarray]] = [[] for _ in range(n)]
+        scores = list(scores)
+        before = [len(s) for s in scores]
+
+        def goal(i: int) -> float:
+            best = scores[i]
+            return self.radius(max(floors[i], np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else floors[i], lengths[i])
+
+        reach = np.array([goal(i) for i in range(n)])
+        radius = np.minimum(reach, np.maximum(FIRST, np.where(np.isfinite(reach), reach / GROWTH**2, 0.0)))
+        active = np.flatnonzero(waiting.any(1))
+        while len(active):
+            a, b = (self._places(at[active] + side * WIDTH * radius[active, None]) for side in (-1, 1))
+            for x, i in enumerate(active):
+                fresh = [o[s:t] for o, *ends in zip(self.order, a[x], low[i], high[i], b[x], strict=True) for s, t in (ends[:2], ends[2:]) if s < t]
+                if fresh:
+                    counts[i] += np.bincount(np.concatenate(fresh), minlength=total)
+                new = np.flatnonzero(waiting[i] & (counts[i] >= self.least))
+                if len(new):
+                    waiting[i, new] = False
+                    places[i].append(new)
+                    scores[i] = np.concatenate([scores[i], self.rows[new] @ q[i]])
+                    reach[i] = min(reach[i], goal(i))
+            low[active], high[active] = a, b
+            active = active[(radius[active] < reach[active]) & waiting[active].any(1)]
+            radius[active] = np.minimum(radius[active] * GROWTH, reach[active])
+        return [(np.concatenate([np.zeros(0, np.int64), *p]), s[m:]) for p, s, m in zip(places, scores, before, strict=True)]
+
+    def _places(self, values: np.ndarray) -> np.ndarray:
+        """Where ``values`` (a column for each projection) fall in the sorted arrays."""
+        return np.stack([s.searchsorted(v) for s, v in zip(self.sorted, values.T, strict=True)], axis=1)
 
 
 class Block:
@@ -116,30 +121,33 @@ class Block:
 
     def __init__(self, c: np.ndarray, n: int = PROJECTIONS, success: float = SUCCESS):
         self.scale = np.abs(c).max(initial=0.0) or 1.0  # keeps squares within doubles
-        self.c = c / self.scale
-        lengths = np.maximum(lengths_of(self.c), 1e-300)
+        c = c / self.scale
+        self.lengths = lengths = np.maximum(lengths_of(c), 1e-300)
         classes = np.round(np.log2(lengths / lengths.max(initial=1e-300)) * CLASSES).astype(int)
-        self.parts = [(own := np.flatnonzero(classes == x), Index(self.c[:, own], lengths[own], n, success)) for x in sorted(set(classes.tolist()), reverse=True)]
+        self.parts = [(own := np.flatnonzero(classes == x), Index(c[:, own], lengths[own], n, success)) for x in sorted(set(classes.tolist()), reverse=True)]
         self.directions = directions(len(c), n)
 
     def search(self, q: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int = K) -> list[tuple[np.ndarray, int]]:
         """(places of the vectors worth an exact score, number of those verified) for each query (a column)."""
+        sizes = np.abs(q).max(axis=0)
+        unit = (q / sizes).T
+        lengths = lengths_of(unit.T)
+        at = unit / lengths[:, None] @ self.directions
+        floors = floors / self.scale / sizes
+        places = [np.zeros(0, np.int64)] * len(unit)
+        scores = [np.zeros(0)] * len(unit)
+        for there, index in self.parts:
+            here = np.full(len(self.lengths) + 1, -1)
+            here[there] = np.arange(len(there))
+            found = index.search(unit, lengths, at, here[own], scores, k, floors)
+            places = [np.concatenate([p, there[x]]) for p, (x, _) in zip(places, found, strict=True)]
+            scores = [np.concatenate([s, x]) for s, (_, x) in zip(scores, found, strict=True)]
         out = []
-        for i in range(q.shape[1]):
-            size = np.abs(q[:, i]).max()
-            unit = q[:, i] / size
-            length = float(lengths_of(unit))
-            at = unit / length @ self.directions
-            floor = floors[i] / self.scale / size
-            places, scores = np.zeros(0, np.int64), np.zeros(0)
-            for there, index in self.parts:
-                here = np.flatnonzero(there == own[i])
-                found, got = index.search(unit, length, at, int(here[0]) if len(here) else -1, scores, k, floor)
-                places, scores = np.concatenate([places, there[found]]), np.concatenate([scores, got])
-            best = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else floor
+        for p, s, floor, length in zip(places, scores, floors, lengths, strict=True):
+            best = max(floor, np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else floor
             # what the order of adding up may change stays until exact scores are there
-            worth = scores >= best - 1e-9 * length * lengths_of(self.c[:, places]) if math.isfinite(best) else np.ones(len(scores), bool)
-            out.append((places[worth], len(scores)))
+            worth = s >= best - 1e-9 * length * self.lengths[p] if math.isfinite(best) else np.ones(len(s), bool)
+            out.append((p[worth], len(s)))
         return out
 
 
