@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellforge.config import CHANGEABLE, CLASSES, HALF_LIVES, RECLASS, RESTORE, STATES
 from cellforge.functions import curves
-from cellforge.operators import allocate, calibrate, coarse, fit, grid, kernels, remap, vector
+from cellforge.operators import allocate, calibrate, coarse, fit, grid, kernels, remap, search, vector
 from cellforge.plans import pipeline, zones
 
 COLS, RATIO = 100, 10
@@ -606,10 +606,28 @@ def candidate_tries(spark, sf_dir):
 
 @query()
 def greedy_calibration(spark, sf_dir):
-    """The whole search over all classes and layers; a test holds it against a plain search."""
-    x = layered(spark, sf_dir)
-    log = calibrate.greedy(x, COEFFICIENTS, goals_of(spark, sf_dir), "t2", SIGMA, n_rows(x), COLS, "t1")
-    return spark.createDataFrame([(e["step"], e["layer"], e["class_id"], e["delta"], round(e["score"], 6)) for e in log], "step int, layer string, class_id int, delta double, score double")
+    """The whole search over all classes and layers, the grid being one zone; a test holds it against a plain search."""
+    x = layered(spark, sf_dir).withColumn("zone", F.lit(0))
+    state = search.calibrate_zones(x, COEFFICIENTS, goals_of(spark, sf_dir), "t2", SIGMA, "t1")
+    return search.best_changes(state).select("step", "layer", "class_id", F.round("beta", 9).alias("beta"), F.round("score", 6).alias("score"))
+
+
+def zoned(spark, sf_dir):
+    return layered(spark, sf_dir).withColumn("zone", F.floor(F.col("cr") / 5).cast("int"))
+
+
+@query()
+def zone_calibration(spark, sf_dir):
+    """What each zone keeps, by quotas from class to class and over two generations: all zones search at once, each for itself."""
+    state = search.calibrate_zones(zoned(spark, sf_dir), COEFFICIENTS, coarse.change_matrix(cells(spark, sf_dir), "t1", "t2", CHANGEABLE), "t2", SIGMA, "t1", generations=2, scales=(0.1, 0.5, 2.0, 10.0))
+    return search.best_changes(state).withColumns({"beta": F.round("beta", 9), "score": F.round("score", 6)})
+
+
+@query()
+def zone_trained_coefficients(spark, sf_dir):
+    """Each zone's whole coefficient table after its search."""
+    state = search.calibrate_zones(zoned(spark, sf_dir), COEFFICIENTS, goals_of(spark, sf_dir), "t2", SIGMA, "t1", scales=())
+    return search.best_coefficients(state, COEFFICIENTS).withColumn("beta", F.round("beta", 9))
 
 
 # ---- plans

@@ -1,4 +1,4 @@
-"""Coefficient tables, the tries of a calibration, and the greedy search."""
+"""Coefficient tables and the tries of a calibration; the search over them is in ``search``."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from .remap import CELL
 
 # Steps by which a coefficient that helped is tried further, down and up.
 SCALES = (0.00001, 0.0001, 0.001, 0.01, 0.1, 0.5, 0.75, 1.5, 2.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0)
-#: Tries of a merge that are scored in one job.
-TOGETHER = 8
 
 #: Fixed value: what one class's presence nearby adds for another, where it is neither 1 nor, for the class itself, 10.
 ADJACENCY = {(1, 2): 5.0}
@@ -64,10 +62,6 @@ Coefficients = dict[int, list[tuple[str, str, float]]]
 Move = tuple[str, int, float]  # layer, class, what is added to its coefficient
 
 
-def changed(c: Coefficients, layer: str, class_id: int, delta: float) -> Coefficients:
-    return {k: [(n, kind, b + delta) if (n, k) == (layer, class_id) else (n, kind, b) for n, kind, b in rows] for k, rows in c.items()}
-
-
 def scored_tries(cells: DataFrame, start: Coefficients, moves: Sequence[Move | None], lulc: str = "lulc") -> DataFrame:
     """(try_id, r, c, cr, cc, lulc, ha, class_id, s): suitability under ``start`` with each of ``moves`` (None: none) on its own, from one scan.
 
@@ -98,37 +92,3 @@ def evaluate(cells: DataFrame, start: Coefficients, moves: Sequence[Move | None]
     maps = grid.join(won, ["try_id", *CELL], "left").select("try_id", *CELL, F.col(lulc).alias("baseline"), F.coalesce("new", lulc).alias("projected"), "observed")
     loss = fit_loss(maps, list(start), sigma, n_rows, n_cols, by=["try_id"])
     return weighted_score(maps, loss, by=["try_id"])
-
-
-def greedy(cells: DataFrame, start: Coefficients, goals: DataFrame, observed: str, sigma: float, n_rows: int, n_cols: int, lulc: str = "lulc", generations: int = 1, step: float = 1.0, scales: Sequence[float] = SCALES, together: int = TOGETHER) -> list[dict]:
-    """The kept changes, best first: [{step, layer, class_id, delta, score}], starting with the score before any.
-
-    All first tries of a generation are one job; then, in order of their scores, each is put on top of what was
-    kept and stays if the score rises; after a rise the ``scales`` are tried in one job, down and up, and the best
-    of them is put on top if it helps. ``together`` tries of the merge share a job; of those, the first that helps is
-    taken and the ones after it are tried anew, so the result is that of one try at a time. Scores alone come to the driver.
-    """
-    best, log = start, []
-    run = lambda c, moves: [r["score"] for r in evaluate(cells, c, moves, goals, observed, sigma, n_rows, n_cols, lulc).orderBy("try_id").collect()]
-    for _ in range(generations):
-        moves = [(n, k, d) for k, rows in best.items() for n, kind, _ in rows if kind != MULTIPLICATIVE for d in (-step, step)]
-        top, *scores = run(best, [None, *moves])
-        if not log:
-            log.append({"step": 0, "layer": None, "class_id": None, "delta": 0.0, "score": top})
-        left = [moves[i] for i in sorted(range(len(moves)), key=lambda i: (-scores[i], i))]
-        while left:
-            found = run(best, left[:together])
-            at = next((j for j, v in enumerate(found) if v > top), None)
-            if at is None:
-                left = left[together:]
-                continue
-            layer, k, total = left[at]
-            best, top, left = changed(best, layer, k, total), found[at], left[at + 1 :]
-            if scales:
-                more = [s * sign for s in scales for sign in (-1, 1)]
-                extra = run(best, [(layer, k, d) for d in more])
-                j = max(range(len(more)), key=lambda j: (extra[j], -j))
-                if extra[j] > top:
-                    best, top, total = changed(best, layer, k, more[j]), extra[j], total + more[j]
-            log.append({"step": len(log), "layer": layer, "class_id": k, "delta": total, "score": top})
-    return log

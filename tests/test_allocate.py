@@ -113,26 +113,6 @@ def test_class_convolutions_by_brute_force(spark):
         assert abs(v - want) < 1e-9
 
 
-def test_search_in_batches_equals_one_at_a_time(spark):
-    from cellforge.operators import calibrate
-
-    rng = np.random.default_rng(8)
-    x = spark.createDataFrame([Row(r=r, c=c, cr=r // 4, cc=c // 4, ha=1, lulc=int(rng.integers(1, 3)), seen=int(rng.integers(1, 3)), a=float(rng.integers(1, 9)), b=float(rng.integers(1, 9))) for r in range(8) for c in range(8)])
-    goals = coarse.goals(x, "lulc", "seen", "ha", (1, 2))
-    start = {k: [("a", "additive", 1.0), ("b", "additive", 0.0)] for k in (1, 2)}
-    run = lambda n: calibrate.greedy(x, start, goals, "seen", 1.0, 8, 8, scales=(0.5, 2.0), together=n)
-    one = run(1)
-    assert one == run(8) and [e["score"] for e in one] == sorted(e["score"] for e in one)
-    # Scores are those of a plain run under the same coefficients.
-    from cellforge.operators import fit
-
-    plain = allocate.allocate_gridded(x, calibrate.changed(start, "b", 2, 1.0), goals)
-    maps = x.select("r", "c", x["lulc"].alias("baseline"), x["seen"].alias("observed")).join(plain.withColumnRenamed("lulc", "projected"), ["r", "c"])
-    want = fit.weighted_score(maps, fit.fit_loss(maps, [1, 2], 1.0, 8, 8)).first()["score"]
-    got = calibrate.evaluate(x, start, [None, ("b", 2, 1.0)], goals, "seen", 1.0, 8, 8).where("try_id = 1").first()["score"]
-    assert abs(got - want) < 1e-9
-
-
 def test_reclassify_and_restore(spark):
     from pyspark.sql import functions as F
 
