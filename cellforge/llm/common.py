@@ -6,12 +6,12 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -53,6 +53,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``__row``, beside which helper columns may have any name."""
+    return F.struct(*(docs[f"`{c.replace('`', '``')}`"] for c in docs.columns)).alias("__row")
+
+
+def from_row(names: Iterable[str], **changed: Column) -> list[Column]:
+    """The columns that ``as_row`` took in, as they were but for those in ``changed``, which replace columns of their name or follow."""
+    names, new = list(names), {k.lower(): v.alias(k) for k, v in changed.items()}
+    kept = [new.pop(n.lower(), F.col("__row").getField(n).alias(n)) for n in names]
+    return [*kept, *new.values()]
+
+
 def released() -> None:
     """Gives memory that Arrow and the allocator keep for later back to the system; Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lowered, mix64, slices, stored, word_codes, word_hashes
+from .common import ascii_lowered, free_name, mix64, slices, stored, word_codes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -281,6 +281,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     Rows that share an id stay or go together: they stay if one of them is its group's smallest. Rows
     without an id are no document's copy and stay; so do texts without words.
     """
-    found = jaccard_classes(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(KEPT)).distinct()
+    kept = free_name(docs, KEPT)
+    found = jaccard_classes(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
     # By a merge at every size: the ids grow with the documents.
-    return docs.join(found.hint("merge"), F.col("doc_id").cast("long") == F.col(KEPT), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    return docs.join(found.hint("merge"), F.col("doc_id").cast("long") == F.col(kept), "left_semi").unionByName(docs.where("doc_id IS NULL"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_row, free_name, from_row
 from .spans import BLOCK, let, matches, scan
 
 REACH = 300
@@ -59,7 +60,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     empty text has none; repeated rows are scanned each for itself; a weak span that overlaps a
     strong one is part of it and is not reported again.
     """
-    df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__l", F.lower("__t"))
+    df = docs.select(as_row(docs), F.coalesce(F.col(text), F.lit("")).alias("__t")).withColumn("__l", F.lower("__t"))
     none = F.expr(f"CAST(array() AS {SPAN})")
 
     def column(name, kinds, gate):
@@ -90,7 +91,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     near = F.expr(f"IF(size(__weak) = 0, CAST(NULL AS array<boolean>), zip_with({_linked('__all', True)}, {_linked('__all', False)}, (a, b) -> coalesce(a, false) OR coalesce(b, false)))")
     df = df.withColumn("__near", near)
     kept = F.expr("IF(__near IS NULL, __all, transform(filter(zip_with(__all, __near, (x, y) -> named_struct('x', x, 'y', y)), z -> z.y OR z.x.rank < 3), z -> z.x))")
-    return df.withColumn(out, F.struct(F.col("__base").alias("base"), kept.alias("spans"))).drop("__t", "__base", "__weak", "__both", "__all", "__near")
+    return df.select(*from_row(docs.columns, **{out: F.struct(F.col("__base").alias("base"), kept.alias("spans"))}))
 
 
 def _listed(spans: Column) -> Column:
@@ -106,13 +107,14 @@ def op2_secret_scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by its kind in brackets; other rows and columns stay."""
-    x = scan_secrets(docs, text, "__secrets")
+    name = free_name(docs, "secrets")
+    x = scan_secrets(docs, text, name)
+    x = x.select(as_row(x), F.col(text).alias("__text"), F.col(f"{name}.spans").alias("__spans"))
     # Overlapping spans are cut once: the text goes on at the furthest end so far. Pieces are taken out of
     # the part of the text that a block of them covers, as finding a place in a text takes its length.
     pieces = scan("__spans", "0", "greatest(s.s, x.stop)", "IF(x.start < s.s, NULL, named_struct('a', s.s, 'b', x.start, 'kind', x.kind))", "struct<a:int,b:int,kind:string>")
     some = f"transform(sequence(0, (size(cuts) - 1) DIV {BLOCK}), b -> slice(cuts, b * {BLOCK} + 1, {BLOCK}))"
     put = "concat(substring(part, p.a - k[0].a + 1, p.b - p.a), '[', p.kind, ']')"
-    block = let(f"substring(`{text}`, k[0].a + 1, element_at(k, -1).b - k[0].a)", "part", f"array_join(transform(k, p -> {put}), '')")
-    cut = F.expr(let(f"filter({pieces}, p -> p IS NOT NULL)", "cuts", f"concat(array_join(transform({some}, k -> {block}), ''), substring(`{text}`, array_max(transform(__spans, x -> x.stop)) + 1))"))
-    x = x.withColumn("__spans", F.col("__secrets.spans"))
-    return x.withColumn(text, F.when(F.size("__spans") > 0, cut).otherwise(F.col(text))).drop("__secrets", "__spans")
+    block = let(f"substring(__text, k[0].a + 1, element_at(k, -1).b - k[0].a)", "part", f"array_join(transform(k, p -> {put}), '')")
+    cut = F.expr(let(f"filter({pieces}, p -> p IS NOT NULL)", "cuts", f"concat(array_join(transform({some}, k -> {block}), ''), substring(__text, array_max(transform(__spans, x -> x.stop)) + 1))"))
+    return x.select(*from_row(docs.columns, **{text: F.when(F.size("__spans") > 0, cut).otherwise(F.col("__text"))}))
