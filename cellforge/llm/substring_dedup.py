@@ -268,16 +268,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     grams = stored(tuples.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("least"), F.max("block").alias("most")).where("n > 1").drop("n"))
     left = stored(tuples.join(grams, "gram").select("gram", "block", "row", "a", "b", (F.col("least") == F.col("most")).alias("alone")))
     several = left.where("NOT alone")
-    pairs = stored(several.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a")).alias("own")))
+    # A row for each distinct block of a gram that has several, with its first place.
+    pairs = stored(several.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a", "b")).alias("own")))
     blocks = stored(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("blocks")))
-    known = several.join(pairs, ["gram", "block"])
+    copied = several.join(pairs.where("n > 1").select("gram", "block"), ["gram", "block"], "left_semi")
     span = ("row", F.col("a").cast("long").alias("first"), F.col("b").cast("long").alias("last"))
-    whole = left.where("alone").select(*span).unionByName(known.where("n > 1").select(*span))
-    # Each distinct block of a gram that has several, at its first place.
+    whole = left.where("alone").select(*span).unionByName(copied.select(*span))
     groups = F.ceil(F.col("blocks") / SPLIT).cast("int")
     salt = F.when(F.col("blocks") > SPLIT, F.pmod(F.xxhash64("own"), groups)).otherwise(-1).cast("int")
-    apart = known.where((F.col("own.row") == F.col("row")) & (F.col("own.a") == F.col("a"))).join(blocks, "gram")
-    wanted = apart.groupBy("row").agg(F.collect_list(F.struct("gram", salt.alias("salt"), groups.alias("parts"), "a", "b")).alias("s"))
+    apart = pairs.join(blocks, "gram")
+    wanted = apart.groupBy(F.col("own.row").alias("row")).agg(F.collect_list(F.struct("gram", salt.alias("salt"), groups.alias("parts"), F.col("own.a").alias("a"), F.col("own.b").alias("b"))).alias("s"))
     carried = docs.join(wanted, "row").mapInArrow(_carry, "gram bigint, salt int, parts int, row bigint, a int, body binary")
     found = carried.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(_group_windows, FOUND)
     found = stored(found)
