@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import stored
+from .vector_blocks import prefix
 
 K = 20
 SCALE = 64
@@ -142,21 +143,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     asks = blocks.where("asks").select("row", "vec_id", "v", "norm", F.pmod(F.xxhash64("row"), F.lit(n_q)).cast("int").alias("qb"))
     pair = lambda a, b: a.groupBy("qb", "block").cogroup(b.groupBy("c_qb", "c_block")).applyInPandas(_pair(k), FOUND)
     tops = blocks.groupBy("block").agg(F.max("norm").alias("top"))
-    # One row with a few bytes for each block of candidates.
-    listed = tops.agg(F.min("block").alias("first"), F.collect_list(F.struct("block", "top")).alias("tops"))
+    # One row with a few bytes for each block of candidates, in falling order of norms.
+    listed = tops.agg(F.array_sort(F.collect_list(F.struct("block", "top"))).alias("t")).select(F.col("t.block").alias("ids"), F.col("t.top").alias("tops"))
     asks = asks.crossJoin(F.broadcast(listed))
 
     candidates = blocks.select(F.col("row").alias("c_row"), F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"), F.col("block").alias("c_block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
-    opening = asks.select("row", "vec_id", "v", F.lit(float("-inf")).alias("least"), "qb", F.col("first").alias("block"))
-    found = stored(pair(opening, candidates.join(F.broadcast(listed.select(F.col("first").alias("w_block"))), F.col("c_block") == F.col("w_block"), "left_semi").withColumn("c_qb", every)))
+    opening = asks.select("row", "vec_id", "v", F.lit(float("-inf")).alias("least"), "qb", F.get("ids", F.lit(0)).alias("block"))
+    found = stored(pair(opening, candidates.join(F.broadcast(listed.select(F.get("ids", F.lit(0)).alias("w_block"))), F.col("c_block") == F.col("w_block"), "left_semi").withColumn("c_qb", every)))
     w = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     if n_c > 1:
         floors = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
         further = asks.join(floors, "row", "left").withColumn("least", F.when(F.col("n") >= k, F.col("s").cast("double")).otherwise(float("-inf")))
-        reach = (F.col("norm") * (1 + 1e-9)) * F.col("t.top") >= F.col("least") - F.abs("least") * 1e-9 - 1
-        further = further.withColumn("t", F.explode("tops")).where((F.col("t.block") != F.col("first")) & ((F.col("least") == float("-inf")) | reach))
-        further = further.select("row", "vec_id", "v", "least", "qb", F.col("t.block").alias("block"))
+        reaches = lambda top: (F.col("least") == float("-inf")) | ((F.col("norm") * (1 + 1e-9)) * top >= F.col("least") - F.abs("least") * 1e-9 - 1)
+        # Blocks fall by norm, so those that may hold something are the first ones, and a query is sent to them alone.
+        last = prefix(F.col("tops"), reaches)
+        further = further.withColumn("block", F.explode(F.slice("ids", F.lit(2), F.greatest(last - 1, F.lit(0)))))
+        further = further.select("row", "vec_id", "v", "least", "qb", "block")
         wanted = further.select(F.col("qb").alias("c_qb"), F.col("block").alias("w_block")).distinct()
         found = found.unionByName(pair(further, candidates.join(wanted, F.col("c_block") == F.col("w_block"))))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
