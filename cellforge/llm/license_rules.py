@@ -2,15 +2,16 @@
 
 Every licence has a label and hand-written patterns; a pattern is tried where its longest plain text
 occurs. Patterns are for normalised text: words in lower case with single blanks between them. Each pattern
-gives four rules, from the most to the least telling: an identifier line, a grant ("licensed under
-..."), the licence called by name, and the bare name.
+gives five rules, from the most to the least telling: an identifier line, a grant ("licensed under
+..."), the licence called by name ("... license") or by a label line ("license: ..."), and the bare name, which names in
+``WORDS`` don't have, as they are words of ordinary language or of other things.
 """
 
 from __future__ import annotations
 
 import re
 
-V = lambda n: rf"(?: version| v| ver)? ?{n}(?: 0)?"
+V = lambda n: rf"(?: ?version| ?ver| ?v)? ?{n}(?: 0)?"
 LICENSES: list[tuple[str, list[str]]] = [
     ("mit", ["mit", "mit x11", "expat"]),
     ("mit-0", ["mit 0", "mit no attribution"]),
@@ -84,9 +85,81 @@ LICENSES: list[tuple[str, list[str]]] = [
     ("ecl-2", [rf"educational community license{V('2')}", rf"ecl{V('2')}"]),
     ("naist", ["naist(?: 2003)?"]),
     ("ipl-1", [rf"ibm public license{V('1')}"]),
+    # families without a version: a longer name of a version that lies around them takes their place
+    ("gpl", ["gnu gpl", "gpl", "gnu general public"]),
+    ("lgpl", ["gnu lgpl", "lgpl", "gnu lesser general public"]),
+    ("agpl", ["gnu agpl", "agpl", "(?:gnu )?affero general public license"]),
+    ("bsd", ["bsd", "bsd style", "berkeley software distribution"]),
+    ("mpl", ["mpl", "mozilla public license", "mozilla"]),
+    ("epl", ["epl", "eclipse public license", "eclipse"]),
+    ("cddl", ["cddl", "common development and distribution license"]),
+    ("artistic", ["artistic license", "artistic"]),
+    ("apache", ["apache software license", "apache"]),
+    ("boost", ["boost software license", "boost"]),
+    ("mit", ["mit style", "mit like"]),
+    ("perl", ["perl 5", "perl"]),
+    ("python", ["python"]),
+    ("aladdin", ["aladdin free public license"]),
+    ("amazon", ["amazon software license"]),
+    ("apsl", [rf"apple public source license(?:{V('[12]')})?", rf"apsl{V('[12]')}"]),
+    ("apl-1", [rf"adaptive public license(?:{V('1')})?"]),
+    ("bitstream-vera", ["bitstream vera"]),
+    ("blue-oak", ["blue oak model license(?: 1 0 0)?", "blueoak 1 0 0"]),
+    ("cecill", ["cecill(?: b| c)?(?: 2 [01])?"]),
+    ("cpal", [rf"common public attribution license(?:{V('1')})?", rf"cpal{V('1')}"]),
+    ("cua", [rf"cua office public license(?:{V('1')})?"]),
+    ("ecos", [rf"ecos license(?:{V('2')})?"]),
+    ("efl", [rf"eiffel forum license(?:{V('[12]')})?"]),
+    ("entessa", ["entessa"]),
+    ("fair", ["fair"]),
+    ("frameworx", ["frameworx"]),
+    ("ftl", ["freetype project license", "freetype license"]),
+    ("gl2ps", ["gl2ps license"]),
+    ("ijg", ["independent jpeg group(?: s)? license"]),
+    ("imagemagick", ["imagemagick"]),
+    ("intel", ["intel open source"]),
+    ("ipa", ["ipa font"]),
+    ("jasper", ["jasper"]),
+    ("lucent", [rf"lucent public license(?:{V('1')})?"]),
+    ("miros", ["miros"]),
+    ("motosoto", ["motosoto"]),
+    ("mulan", ["mulan permissive software license", "mulanpsl(?: 2 0)?"]),
+    ("multics", ["multics"]),
+    ("nasa", ["nasa open source agreement(?: 1 3)?", "nasa"]),
+    ("naumen", ["naumen"]),
+    ("nosl", [rf"netizen open source license(?:{V('1')})?"]),
+    ("npl", [rf"netscape public license(?:{V('1')})?(?: 1)?"]),
+    ("npol", [rf"non profit open software license(?:{V('3')})?"]),
+    ("oclc", [rf"oclc research public license(?:{V('2')})?"]),
+    ("ogl", ["open government licen[cs]e(?: ?v)?(?: ?[123])?(?: 0)?"]),
+    ("oset", ["oset public license"]),
+    ("oldap", ["openldap public license(?: 2 [0-8])?", "openldap"]),
+    ("parity", ["parity public license"]),
+    ("polyform", ["polyform (?:noncommercial|small business|shield|perimeter|strict|free trial|internal use)(?: license)?(?: 1 0 0)?"]),
+    ("rpl", [rf"reciprocal public license(?:{V('1')})?(?: [15])?"]),
+    ("rpsl", [rf"realnetworks public source license(?:{V('1')})?"]),
+    ("rscpl", ["ricoh source code public license"]),
+    ("sgi-b", ["sgi free software license b(?: 2 0)?"]),
+    ("simpl", [rf"simple public license(?:{V('2')})?"]),
+    ("sissl", ["sun industry standards source license"]),
+    ("spl", [rf"sun public license(?:{V('1')})?"]),
+    ("tcl", ["tcl tk license", "tcl"]),
+    ("unicode", ["unicode license agreement", "unicode"]),
+    ("vsl", [rf"vovida software license(?:{V('1')})?"]),
+    ("watcom", ["sybase open watcom public license", "watcom"]),
+    ("wxwindows", ["wxwindows library licen[cs]e", "wxwindows"]),
+    ("xnet", ["xnet"]),
+    ("zend", ["zend engine license", "zend"]),
+    ("zpl", [rf"zope public license(?:{V('2')})?(?: 1)?", "zope"]),
     ("lppl-1", [rf"latex project public license{V('1')}(?: 3[ac]?)?", rf"lppl{V('1')}(?: 3[ac]?)?"]),
 ]
 
+#: Labels of licences whose versions have labels of their own.
+FAMILIES = {"gpl", "lgpl", "agpl", "bsd", "mpl", "epl", "cddl", "artistic", "apache", "boost"}
+
+#: Names that stand for a licence beside the word alone.
+WORDS = {"mit", "expat", "artistic", "ruby", "perl", "vim", "json", "curl", "python", "apache", "boost", "eclipse", "mozilla", "x11", "glide", "intel", "info zip", "nokia", "plexus", "crossword", "docbook", "doc", "dotseqn", "entessa", "frameworx", "imagemagick", "jasper", "latex2e", "mup", "nasa", "net snmp", "nunit", "sendmail", "spencer", "tcl", "xpp", "zend", "zope", "unicode", "fsf all permissive", "intel open source", "ipa font", "bitstream vera", "bittorrent", "borceux", "caldera", "condor", "eurosym", "fair", "motosoto", "multics", "naumen", "watcom", "xnet"}
+
 #: Notices that name no licence by themselves.
 NOTICES: list[tuple[str, str, int]] = [
     ("public-domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 3),
@@ -96,9 +169,8 @@ NOTICES: list[tuple[str, str, int]] = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 4),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", 4),
     ("bsd", "redistribution and use in source and binary forms", 4),
-    ("gpl", "(?:gnu )?general public license", 0),
-    ("lgpl", "(?:gnu )?lesser general public license", 0),
-    ("apache", "apache license", 0),
+    ("gpl", "general public license", 0),
+    ("lgpl", "(?:lesser|library) general public license", 0),
     ("creative-commons", "creative commons(?: license)?", 0),
     ("warranty-disclaimer", "without warranty of any kind", 1),
     ("proprietary", "proprietary and confidential", 3),
@@ -122,7 +194,9 @@ def rules() -> list[tuple[str, str, str, int]]:
         for p in patterns:
             made.append((label, keyword(p), f"spdx license identifier {p}", 5))
             made.append((label, keyword(p), f"{GRANT}{p}(?: licen[cs]e)?", 4))
-            made.append((label, keyword(p), f"(?:the )?{p} licen[cs]e", 3))
-            if len(p) > 5:
-                made.append((label, keyword(p), p, 2))
+            named = 2 if label in FAMILIES else 3  # a versioned name around it is at least as telling
+            made.append((label, keyword(p), f"(?:the )?{p} licen[cs]e", named))
+            made.append((label, keyword(p), f"licen[cs]es? {p}", named))
+            if p not in WORDS:
+                made.append((label, keyword(p), p, named - 1))
     return [*made, *((label, keyword(p), p, priority) for label, p, priority in NOTICES)]

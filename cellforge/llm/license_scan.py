@@ -13,6 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_row, from_row
 from .license_rules import rules
 from .spans import matches, scan
 
@@ -52,10 +53,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") ->
     phrases; ``labels``, of phrases and kept detections; ``detections``, the kept spans over the
     normalised text as (start, end, label, priority); ``score``, 0 without a label, otherwise by the
     strongest detection. A null or empty text has no words, no labels and the score 0; repeated rows
-    are scanned each for itself.
+    are scanned each for itself. A text of any length is scanned whole, in time that grows with it. Of detections over the same words the strongest
+    stays, of equal ones the rule that is listed first.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("__body", body).withColumn("__norm", _normal(F.col("__body")))
+    df = docs.select(as_row(docs), body.alias("__body")).withColumn("__norm", _normal(F.col("__body")))
     norm = F.col("__norm")
 
     places = []
@@ -99,8 +101,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") ->
     base_labels = F.array_sort(F.array_distinct(F.transform("__base", lambda b: b["label"])))
     labels = F.array_sort(F.array_union(base_labels, F.transform("__kept", lambda d: d["label"])))
     strongest = F.coalesce(F.array_max(F.transform("__kept", lambda d: d["priority"])), F.lit(-1))
-    return df.withColumn(
-        out,
+    made = (
         F.struct(
             n_words(F.col("__body")).alias("n_words"),
             F.coalesce(F.aggregate("__base", F.lit(0).cast("long"), lambda s, b: s + b["n"]), F.lit(0).cast("long")).alias("n_base"),
@@ -110,11 +111,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") ->
             F.array_join(labels, ",").alias("labels"),
             F.col("__kept").alias("detections"),
             F.when(F.size("__base") > 0, F.lit(1.0)).otherwise((strongest + 1) / 6.0).cast("double").alias("score"),
-        ),
-    ).drop("__body", "__norm", "__base", "__rules", "__found", "__kept")
+        )
+    )
+    return df.select(*from_row(docs.columns, **{out: made}))
 
 
 def op1_license_scan(docs: DataFrame) -> DataFrame:
-    """One row per document of the contract's columns."""
+    """One row per document of the contract's columns; nulls, empty and very long texts and repeated rows as stated in ``scan_licenses``, no rows give no rows."""
     x = scan_licenses(docs.select("doc_id", "text"))
     return x.select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))

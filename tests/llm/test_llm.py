@@ -85,11 +85,12 @@ def test_license_each_rule_fires_alone(spark):
     rules = license_scan.rules()
     texts = [made_of(re._parser.parse(p), most) for _, _, p, _ in rules for most in (True, False)]
     texts += ["distributed under the terms of the GPL version 3", "released under Apache 2.0", "covered by the MPL 2.0", "available under CC0 1.0", "same terms as Perl itself", "FreeBSD", "ODbL 1.0", "SSPL v1"]
+    compiled = [(re.compile(f" {rule}(?= )"), k, label, p) for k, (label, _, rule, p) in enumerate(rules)]
     got = {r["doc_id"]: r for r in license_scan.op1_license_scan(base(spark, texts)).collect()}
     assert all(got[i]["score"] >= (rules[i // 2][3] + 1) / 6 for i in range(2 * len(rules)))
     for i, t in enumerate(texts):
         norm = " " + re.sub("[^0-9a-z]+", " ", t.lower()).strip() + " "
-        found = sorted((m.start(), -m.end(), -p, k, label) for k, (label, _, rule, p) in enumerate(rules) for m in re.finditer(f" {rule}(?= )", norm))
+        found = sorted((m.start(), -m.end(), -p, k, label) for rule, k, label, p in compiled for m in rule.finditer(norm))
         kept = []
         for a, b, p, _, label in found:
             if not any(-b <= e and -p <= q for e, q, _ in kept):
@@ -98,6 +99,48 @@ def test_license_each_rule_fires_alone(spark):
         assert kept and got[i]["labels"] == ",".join(sorted(base_labels | {label for *_, label in kept})), t
 
 
+SPELLINGS = {
+    "Licensed under GPLv3": "gpl-3", "distributed under the LGPLv2.1 or later": "lgpl-2", "MPLv2": "mpl-2", "License: MIT": "mit", "WTFPL": "wtfpl", "Licensed under the BSD license": "bsd", "AGPLv3": "agpl-3",
+    "GNU LGPL": "lgpl", "GPL": "gpl", "Artistic License": "artistic", "zlib": "zlib", "ISC": "isc", "NCSA": "ncsa", "HPND": "hpnd", "MS-PL": "ms-pl", "Apache License, Version 2.0": "apache-2", "the Apache License": "apache", "GNU General Public License": "gpl",
+    "GNU General Public License, version 2": "gpl-2", "Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License": "cc-by-nc-sa",
+    "BSD 3-Clause License": "bsd-3", "Mozilla Public License 2.0": "mpl-2", "Eclipse Public License - v 1.0": "epl-1", "mit freundlichen Worten": "", "a boost of the eclipse in python": "", "licensed under the EUPL v1.2": "eupl",
+}
+
+
+def test_license_spellings(spark):
+    got = {r["doc_id"]: r["labels"] for r in license_scan.op1_license_scan(base(spark, list(SPELLINGS))).collect()}
+    assert {t: got[i] for i, t in enumerate(SPELLINGS)} == SPELLINGS
+
+
+def test_license_base_columns_on_random_texts(spark):
+    rng = np.random.default_rng(4)
+    words = ["under", "the", "mit", "license", "MIT", "Apache", "version", "2", "cc", "by", "nc", "é", "x", "licenses"]
+    gaps = [" ", "  ", "-", "\n", ", ", "."]
+    texts = ["".join(w + g for w, g in zip(rng.choice(words, n), rng.choice(gaps, n), strict=True)) for n in rng.integers(0, 60, 300)]
+    texts += [f"{w}under the mit license{w}" for w in ("", " ", "a", "é", "\x00", "-")]
+    got = {r["doc_id"]: r for r in license_scan.op1_license_scan(base(spark, texts)).collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        own = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        places = sorted((k, label) for phrase, label in license_scan.PHRASES for k in range(len(own)) if own[k : k + len(phrase.split())] == phrase.split())
+        hits += len(places)
+        want = (len(own), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})))
+        assert (got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"]) == want, t
+    assert hits >= 8
+
+
+def test_helper_names_of_scans_are_free(spark):
+    x = base(spark, ["secret=abcdefgh12 under the mit license", None])
+    names = ["__t", "__l", "__base", "__weak", "__both", "__all", "__near", "__secrets", "__spans", "__text", "__row", "secrets", "__norm", "__body", "__rules", "__kept", "__found", "__kept_id", "odd name.x"]
+    for n in names:
+        x = x.withColumn(n, F.lit(n))
+    for got in (secret_scan.redact(x), secret_scan.scan_secrets(x, out="found"), license_scan.scan_licenses(x), ngram_jaccard.keep_one_each(x)):
+        assert got.columns[: len(x.columns)] == x.columns
+        rows = got.orderBy("doc_id").collect()
+        assert len(rows) == 2 and all(r[n] == n for r in rows for n in names)
+    assert secret_scan.redact(x).orderBy("doc_id").first()["text"] == "[assign] under the mit license"
+
+
 def test_license_clashing_columns(spark):
     x = base(spark, ["under the mit license"]).withColumn("license", F.lit(1)).withColumn("n_words", F.lit(5))
     r = license_scan.scan_licenses(x).first()
