@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellforge.config import CHANGEABLE, CLASSES, HALF_LIVES, RECLASS, RESTORE, STATES
 from cellforge.functions import curves
-from cellforge.operators import allocate, calibrate, coarse, fit, grid, kernels, remap, search, vector
+from cellforge.operators import allocate, calibrate, coarse, fit, geometry, grid, kernels, pyramid, remap, search, vector
 from cellforge.plans import pipeline, zones
 
 COLS, RATIO = 100, 10
@@ -765,3 +765,118 @@ def polygon_touched(spark, sf_dir):
 def zone_overlay(spark, sf_dir):
     x = vector.rasterize(cells(spark, sf_dir), polygons(spark))
     return vector.cell_overlay(x, x.withColumnRenamed("id", "other"), "id", "other")
+
+
+# ---- polygons from tables
+STAR = [(0, 0, i, dx, dy, "o") for i, (dx, dy) in enumerate([(1.0, 0.0), (0.75, 0.75), (0.0, 1.0), (-0.75, 0.75), (-1.0, 0.0), (-0.75, -0.75), (0.0, -1.0), (0.75, -0.75)])]
+STAR += [(part, ring, i, dx, dy, kind) for part, ring, kind in ((0, 1, "h"), (1, 0, "p")) for i, (dx, dy) in enumerate([(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0)])]
+#: A supplier's polygon: a star of eight points with a hole, and for one in four a second part beside it; a nation's star has longer points.
+SHAPES = {"supplier": ("s_suppkey", 37, 7, 6), "nation": ("n_nationkey", 53, 11, 9)}
+
+
+def star_sql(table: str, name: str) -> str:
+    """Edges of the polygons of a table."""
+    key, a, b, reach = SHAPES[table]
+    return f"""{name}_v(part, ring, i, dx, dy, kind) AS (VALUES {', '.join(f"({p}, {q}, {i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE), '{k}')" for p, q, i, x, y, k in STAR)}),
+{name}_p AS (SELECT {key} AS id, part, ring, i, ({key} * {a}) % 100 + CAST(0.25 AS DOUBLE) + CASE kind WHEN 'p' THEN 20 ELSE 0 END + dx * m AS x, ({key} * {b}) % 15 + 15 * ({key} // 10 % 10) + CAST(0.25 AS DOUBLE) + dy * m AS y
+  FROM (SELECT *, CASE kind WHEN 'o' THEN CASE WHEN i % 2 = 0 THEN CAST({reach} + {key} % 3 AS DOUBLE) ELSE CAST(2.5 AS DOUBLE) END WHEN 'h' THEN CAST(1 AS DOUBLE) ELSE CAST(3 AS DOUBLE) END AS m FROM {table}, {name}_v WHERE kind <> 'p' OR {key} % 4 = 0)),
+{name} AS (SELECT p.id, p.part, p.ring, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM {name}_p p JOIN {name}_p q ON p.id = q.id AND p.part = q.part AND p.ring = q.ring AND q.i = (p.i + 1) % CASE WHEN p.part = 0 AND p.ring = 0 THEN 8 ELSE 4 END)"""
+
+
+def stars(spark, sf_dir, table: str = "supplier") -> DataFrame:
+    """(id, wkb) of a table's multipolygons."""
+    name, a, b, reach = SHAPES[table]
+    key = F.col(name)
+
+    def ring(part: int, hole: int):
+        points = []
+        for p, q, i, dx, dy, kind in STAR:
+            if (p, q) == (part, hole):
+                far = (F.lit(reach) + key % 3).cast("double") if kind == "o" and i % 2 == 0 else F.lit({"o": 2.5, "h": 1.0, "p": 3.0}[kind])
+                x = key * a % 100 + F.lit(0.25) + F.lit(20 if kind == "p" else 0) + dx * far
+                y = key * b % 15 + 15 * (F.floor(key / 10) % 10) + F.lit(0.25) + dy * far
+                points.append(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+        return F.array(*points, points[0])
+
+    one, two = F.array(ring(0, 0), ring(0, 1)), F.array(ring(1, 0))
+    polygons = F.when(key % 4 == 0, F.array(one, two)).otherwise(F.array(one))
+    return load(spark, sf_dir, table).select(key.cast("long").alias("id"), geometry.wkb_of(polygons).alias("wkb"))
+
+
+INSIDE = "SELECT g.r, g.c, e.id FROM g JOIN st e ON (e.y0 <= g.r + CAST(0.5 AS DOUBLE)) <> (e.y1 <= g.r + CAST(0.5 AS DOUBLE)) AND e.x0 + (g.r + CAST(0.5 AS DOUBLE) - e.y0) * (e.x1 - e.x0) / (e.y1 - e.y0) <= g.c + CAST(0.5 AS DOUBLE) GROUP BY ALL HAVING count(*) % 2 = 1"
+
+
+@query(f"WITH {{G}}, {star_sql('supplier', 'st')} {INSIDE}")
+def star_rasterize(spark, sf_dir):
+    """Cells of the suppliers' multipolygons, by scanlines."""
+    return geometry.rasterize_scanline(geometry.edges_of_wkb(stars(spark, sf_dir)), n_rows(cells(spark, sf_dir)), COLS, ["id"])
+
+
+@query(f"WITH {{G}}, {star_sql('supplier', 'st')}, i AS ({INSIDE}) SELECT r, c, max(id) AS id FROM i GROUP BY r, c")
+def star_id_raster(spark, sf_dir):
+    """One supplier for each covered cell."""
+    return geometry.id_raster(geometry.edges_of_wkb(stars(spark, sf_dir)), n_rows(cells(spark, sf_dir)), COLS)
+
+
+@query(f"WITH {star_sql('supplier', 'st')}, a AS (SELECT id, part, ring, abs(sum((x0 * y1 - x1 * y0) / 2)) AS a FROM st GROUP BY ALL) SELECT id, round(sum(CASE WHEN ring = 0 THEN a ELSE -a END), 6) AS area FROM a GROUP BY id")
+def star_areas(spark, sf_dir):
+    return geometry.areas(geometry.edges_of_wkb(stars(spark, sf_dir)), ["id"]).select("id", F.round("area", 6).alias("area"))
+
+
+@query()
+def star_intersections(spark, sf_dir):
+    """Areas that suppliers' and nations' multipolygons share; tests hold the operator against signed triangles."""
+    left, right = (geometry.edges_of_wkb(stars(spark, sf_dir, t)).withColumnRenamed("id", n) for t, n in (("supplier", "supplier"), ("nation", "nation")))
+    return geometry.intersection_areas(geometry.intersections(left, right, "supplier", "nation"), ["supplier", "nation"]).withColumn("area", F.round("area", 6))
+
+
+BOXES = "b AS (SELECT c_custkey AS id, c_custkey % 10 AS k, CAST(c_custkey * 37 % 400 AS DOUBLE) AS x, CAST(c_custkey * 91 % 300 AS DOUBLE) / 2 AS y, CAST(3 + c_custkey % 7 AS DOUBLE) AS w, CAST(2 + c_custkey % 5 AS DOUBLE) AS h FROM customer)"
+
+
+@query(f"WITH {BOXES} SELECT p.id AS a, q.id AS b, (least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * (least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) AS area FROM b p JOIN b q ON p.k = 0 AND q.k <> 0 AND p.x < q.x + q.w AND q.x < p.x + p.w AND p.y < q.y + q.h AND q.y < p.y + p.h")
+def box_intersections(spark, sf_dir):
+    """Areas that one customer in ten's rectangle shares with those of the others."""
+    k = F.col("c_custkey")
+    x, y = (k * 37 % 400).cast("double"), (k * 91 % 300).cast("double") / 2
+    w, h = (3 + k % 7).cast("double"), (2 + k % 5).cast("double")
+    rings = load(spark, sf_dir, "customer").select(k.cast("long").alias("id"), F.array(x, x + w, x + w, x).alias("x"), F.array(y, y, y + h, y + h).alias("y"))
+    left, right = (geometry.edges_of_rings(rings.where(test)).withColumnRenamed("id", n) for test, n in (("id % 10 = 0", "a"), ("id % 10 <> 0", "b")))
+    return geometry.intersection_areas(geometry.intersections(left, right, "a", "b", 16.0), ["a", "b"])
+
+
+# ---- all scenarios at once
+KINDS = {"x1": allocate.ADDITIVE, "x2": allocate.ADDITIVE} | {f"is_{j}": allocate.MULTIPLICATIVE for j in CLASSES}
+KEYED_SU = "su AS (SELECT g.r, g.c, g.cr, g.cc, t1, ha, k.scenario, k.policy, k.class_id, (b1 + zone) * x1 + b2 * x2 AS s FROM g JOIN k ON k.zone = g.cr // 3 % 3 WHERE t1 <> k.class_id AND t1 <= 5)"
+
+
+@query(f"""WITH {{G}}, {CO}, {GO.replace('go AS', 'go1 AS')}, k AS (SELECT r_regionkey AS scenario, p AS policy, z AS zone, class_id, b1, b2 + r_regionkey / CAST(4 AS DOUBLE) AS b2 FROM co, region, (SELECT unnest([0, 1]) AS p), (SELECT unnest([0, 1, 2]) AS z)),
+go AS (SELECT scenario, policy, cr, cc, class_id, goal * (1 + policy) AS goal FROM go1, (SELECT DISTINCT scenario, policy FROM k)), {KEYED_SU},
+cl AS (SELECT scenario, policy, r, c, class_id, rn FROM (
+  SELECT scenario, policy, r, c, class_id, goal, row_number() OVER w AS rn, coalesce(sum(ha) OVER (PARTITION BY scenario, policy, cr, cc, class_id ORDER BY s DESC, r, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+  FROM su JOIN go USING (scenario, policy, cr, cc, class_id) WHERE goal > 0 AND s <> 0 WINDOW w AS (PARTITION BY scenario, policy, cr, cc, class_id ORDER BY s DESC, r, c)) WHERE prior < goal),
+wi AS (SELECT scenario, policy, r, c, class_id AS new FROM (SELECT *, row_number() OVER (PARTITION BY scenario, policy, r, c ORDER BY rn DESC, class_id DESC) AS k FROM cl) WHERE k = 1)
+SELECT scenario, policy, r, c, CAST(coalesce(new, t1) AS INTEGER) AS lulc FROM g CROSS JOIN (SELECT DISTINCT scenario, policy FROM k) LEFT JOIN wi USING (scenario, policy, r, c)""")
+def allocate_scenarios(spark, sf_dir):
+    """Maps of every scenario and policy in one plan, each zone with the coefficients trained for it."""
+    x = layered(spark, sf_dir).withColumn("zone", (F.floor(F.col("cr") / 3) % 3).cast("int"))
+    start = spark.createDataFrame([(z, n, k, float(b) + (z if n == "x1" else 0)) for z in range(3) for k, rows in COEFFICIENTS.items() for n, _, b in rows], "zone int, layer string, class_id int, beta double")
+    plans = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("scenario")).withColumn("policy", F.explode(F.array(F.lit(0), F.lit(1))))
+    table = plans.crossJoin(start).withColumn("beta", F.when(F.col("layer") == "x2", F.col("beta") + F.col("scenario") / 4).otherwise(F.col("beta")))  # scenarios are few
+    goals = goals_of(spark, sf_dir).crossJoin(F.broadcast(plans)).withColumn("goal", F.col("goal") * (1 + F.col("policy")))
+    return allocate.allocate_keyed(x, table, goals, ["scenario", "policy"], ["zone"], KINDS, "t1")
+
+
+# ---- all levels of a map
+@query("WITH {G}, l AS (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS level), n AS (SELECT level, r // (1 << level) AS r, c // (1 << level) AS c, t1, count(*) AS n FROM g, l GROUP BY ALL) SELECT level, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, t1 FROM (SELECT *, row_number() OVER (PARTITION BY level, r, c ORDER BY n DESC, t1) AS k FROM n) WHERE k = 1")
+def overview_pyramid(spark, sf_dir):
+    return pyramid.pyramid(cells(spark, sf_dir), "t1", 5).drop("key")
+
+
+@query("WITH {G}, l AS (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS level) SELECT level, CAST(r // (1 << level) AS INTEGER) AS r, CAST(c // (1 << level) AS INTEGER) AS c, t1, count(*) AS n FROM g, l GROUP BY ALL")
+def pyramid_histograms(spark, sf_dir):
+    return pyramid.histograms(cells(spark, sf_dir), "t1", 5)
+
+
+@query("WITH {G} SELECT r, c, CAST(list_sum([((r >> i) & 1) * (1 << (2 * i + 1)) + ((c >> i) & 1) * (1 << (2 * i)) for i in range(12)]) AS BIGINT) AS key FROM g")
+def morton_keys(spark, sf_dir):
+    return cells(spark, sf_dir).select("r", "c", pyramid.morton().alias("key"))

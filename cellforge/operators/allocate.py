@@ -159,3 +159,45 @@ def diagnostics(cells: DataFrame, coefficients, goals: DataFrame, lulc: str = "l
     if level >= 11:
         out["rank"] = rank_output(scored)
     return out
+
+
+def packed_coefficients(table: DataFrame, by: Sequence[str], layers: Mapping[str, str]) -> DataFrame:
+    """(by..., classes) from (by..., layer, class_id, beta): a row for each key with an array of (class_id, b, m), coefficients of the additive and the multiplicative ``layers`` (name: kind) in their order; those that are lacking are 0 and 1."""
+    own = F.map_from_entries(F.collect_list(F.struct("layer", F.col("beta").cast("double"))))
+    listed = lambda names, default: F.array(*(F.coalesce(F.try_element_at("own", F.lit(n)), F.lit(default)) for n in names)) if names else F.array().cast("array<double>")
+    adds, times = _by_kind(layers)
+    each = table.groupBy(*by, "class_id").agg(own.alias("own")).select(*by, F.struct("class_id", listed(adds, 0.0).alias("b"), listed(times, 1.0).alias("m")).alias("k"))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list("k")).alias("classes"))
+
+
+def _by_kind(layers: Mapping[str, str]) -> tuple[list[str], list[str]]:
+    return [n for n, kind in layers.items() if kind != MULTIPLICATIVE], [n for n, kind in layers.items() if kind == MULTIPLICATIVE]
+
+
+def suitability_keyed(cells: DataFrame, table: DataFrame, keys: Sequence[str], match: Sequence[str], layers: Mapping[str, str], lulc: str = "lulc") -> DataFrame:
+    """(keys..., r, c, cr, cc, lulc, ha, class_id, s): ``suitability`` of every cell under each key's own coefficients, in one plan.
+
+    ``table`` has (match..., the ``keys`` that cells don't have, layer, class_id, beta), such as a table trained for each zone, scenario, year and policy. Cells
+    meet it by ``match``, columns of theirs such as the zone. It has a row of arrays for each key, and Spark broadcasts it if it is small.
+    """
+    adds, times = _by_kind(layers)
+    listed = lambda names: F.array(*(F.col(n).cast("double") for n in names)) if names else F.array().cast("array<double>")
+    own = packed_coefficients(table, list(dict.fromkeys([*match, *keys])), layers)
+    x = cells.select(*match, *(k for k in keys if k in cells.columns and k not in match), *CELL, *COARSE, lulc, "ha", listed(adds).alias("xa"), listed(times).alias("xm")).join(own, list(match))
+    x = x.withColumn("k", F.explode("classes")).where(F.col(lulc) != F.col("k.class_id"))
+    total = F.aggregate(F.zip_with("k.b", "xa", lambda b, v: F.when(b == 0, 0.0).otherwise(b * v)), F.lit(0.0), lambda s, v: s + v)
+    factor = F.aggregate(F.zip_with("k.m", "xm", lambda b, v: F.when(b == 1, 1.0).otherwise(1 - (1 - b) * v)), F.lit(1.0), lambda s, v: s * v)
+    x = x.select(*keys, *CELL, *COARSE, lulc, "ha", F.col("k.class_id").alias("class_id"), (total * factor).alias("s"))
+    return x.where(allocatable(F.col("s")))
+
+
+def allocate_keyed(cells: DataFrame, table: DataFrame, goals: DataFrame, keys: Sequence[str], match: Sequence[str], layers: Mapping[str, str], lulc: str = "lulc") -> DataFrame:
+    """(keys..., r, c, lulc): ``allocate_gridded`` for every key of ``goals`` (keys..., cr, cc, class_id, goal) at once, coefficients being joined by key; see ``suitability_keyed``.
+
+    The cells of a key are kept apart from those of others in every join and window, so the result is that of separate runs. A key without goals leaves its map as it is,
+    if ``table`` has it.
+    """
+    won = winners(claims(suitability_keyed(cells, table, keys, match, layers, lulc), goals, by=[*keys, *COARSE]), keep=keys)
+    known = table.select(*dict.fromkeys([*match, *keys])).distinct()
+    each = cells.select(*dict.fromkeys([*match, *(k for k in keys if k in cells.columns)]), *CELL, lulc).join(known, list(match))
+    return apply(each, won, lulc, keep=keys)

@@ -102,7 +102,7 @@ def edges_of_rings(rings: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return e.where("x0 <> x1 OR y0 <> y1")
 
 
-def _wkb(parts: pd.Series) -> pd.Series:
+def _wkb(parts: pa.Array) -> pa.Array:
     def one(polygons) -> bytes | None:
         if polygons is None:
             return None
@@ -114,12 +114,12 @@ def _wkb(parts: pd.Series) -> pd.Series:
                 out.append(struct.pack(f"<I{len(flat)}d", len(ring), *flat))
         return b"".join(out)
 
-    return parts.map(one)
+    return pa.array([one(p) for p in parts.to_pylist()], pa.binary())
 
 
 def wkb_of(polygons: Column) -> Column:
     """Well-known binary of a column of polygons as arrays of rings, rings being arrays of (x, y)."""
-    return F.pandas_udf(_wkb, "binary")(polygons)
+    return F.arrow_udf(_wkb, "binary")(polygons)
 
 
 def scan_runs(edges: DataFrame, n_rows: int, n_cols: int, by: list[str], all_touched: bool = False) -> DataFrame:

@@ -7,9 +7,13 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellforge.operators.pyramid import morton
+from cellforge.storage import stored
+
 
 def read_grid(spark: SparkSession, path: str, nodata: float | None = None, value: str | None = None) -> DataFrame:
     """A cell table; the no-data mark of ``value`` becomes NULL."""
@@ -113,3 +117,58 @@ def write_zone_lookup(df: DataFrame, path: str, zone: str = "zone_id", r: str =
 def grid_metadata(cells: DataFrame) -> Mapping[str, int]:
     x = cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).first()
     return {} if x["r0"] is None else {"n_rows": x["r1"] - x["r0"] + 1, "n_cols": x["c1"] - x["c0"] + 1, "r0": x["r0"], "c0": x["c0"]}
+
+
+def write_clustered(df: DataFrame, path: str, files: int, by: tuple[str, ...] = (), group_bytes: int = 8 << 20, mode: str = "ignore") -> None:
+    """Cells as about ``files`` Parquet files, each a stretch of the Z-shaped curve and sorted along it, in row groups of about ``group_bytes``; partitioned ``by`` further columns, whose cells then share files.
+
+    Row groups hold compact areas, so the bounds of a window on r and c, which Parquet keeps for each group, rule out all groups that lie elsewhere.
+    A partition is in as few files as its stretches need, not in one a task. Rows and columns may not be below 0.
+    """
+    key = free(df, "key")
+    x = df.withColumn(key, morton()).repartitionByRange(files, *by, key).sortWithinPartitions(*by, key).drop(key)
+    w = x.write.mode(mode).option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", 20000)
+    (w.partitionBy(*by) if by else w).parquet(path)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def committed(spark: SparkSession, path: str, by: list[str]) -> DataFrame | None:
+    """(by..., n, checksum): the zones that ``commit_zones`` has finished under ``path``; None before the first."""
+    try:
+        return spark.read.parquet(f"{path}/manifest").select(*by, "n", "checksum")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def commit_zones(df: DataFrame, path: str, by: list[str], together: int | None = None) -> int:
+    """Writes the zones of ``df`` that are not yet in the manifest, and enters them there; gives their number. A run that was killed is run again with the same arguments.
+
+    Zones are written in batches of about ``together`` (all at once by default), each with dynamic partition overwrite: a zone that a killed run has left without an entry is
+    replaced as a whole, never added to. A batch is entered, with each zone's number of rows and a checksum that does not depend on their order, after its files
+    stand, from what was written. Zones that are entered are neither read from ``df`` nor written again, and a zone without rows is none.
+    """
+    spark, done = df.sparkSession, committed(df.sparkSession, path, by)
+    zones = df.select(*by).distinct()
+    todo = zones if done is None else zones.join(done, by, "left_anti")
+    todo = stored(todo)
+    n = todo.count()
+    if not n:
+        return 0
+    batches = 1 if together is None else -(-n // together)
+    for k in range(batches):
+        mine = todo.where(F.pmod(F.xxhash64(*by), F.lit(batches)) == k)
+        rows = df.join(mine, by, "left_semi").repartition(*by)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/cells")
+        there = spark.read.schema(df.schema).parquet(f"{path}/cells").join(mine, by, "left_semi")
+        rest = [c for c in df.columns if c not in by]
+        there.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*rest).cast("decimal(38,0)")).alias("checksum")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return n
