@@ -35,13 +35,6 @@ def year_slice(states: DataFrame, year: int) -> DataFrame:
     return states.where(F.col("year") == year)
 
 
-def time_index(year: int, first: int) -> int:
-    """Place of a year in a series that begins at ``first`` (850 in history, 2015 in projections)."""
-    if year < first:
-        raise ValueError(f"{year} is before {first}")
-    return year - first
-
-
 def _ascii_rows(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in files:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -68,21 +61,6 @@ def read_ascii_grid(spark: SparkSession, path: str, glob: str = "*.asc") -> Data
     return files.mapInArrow(_ascii_rows, "path string, r int, c int, value double")
 
 
-def _npy_rows(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in files:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            x = np.load(io.BytesIO(content), allow_pickle=False)
-            for r, v in enumerate(np.atleast_2d(x)):
-                v = v.astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(v)), pa.array(np.full(len(v), r, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v, from_pandas=True)], ["path", "r", "c", "value"])
-
-
-def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
-    """(path, r, c, value) of saved arrays of one or two dimensions; NaN is NULL."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_npy_rows, "path string, r int, c int, value double")
-
-
 def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """(path, length, modificationTime) by Spark's own listing, so any store works."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).drop("content")

@@ -2,7 +2,7 @@ import numpy as np
 
 from cellforge import catalog
 from cellforge.plans import pipeline, zones
-from cellforge.sources import grids
+from cellforge.sources import grids, ranges
 from cellforge.streaming.changes import stream_cells, stream_change_matrix
 from oracle import SMALL
 
@@ -12,7 +12,7 @@ def test_text_grid_and_array(spark, tmp_path):
     got = {(r["r"], r["c"]): r["value"] for r in grids.read_ascii_grid(spark, str(tmp_path)).collect()}
     assert got == {(0, 0): 1, (0, 1): 2, (0, 2): None, (1, 0): 4, (1, 1): 5, (1, 2): 6}
     np.save(tmp_path / "b.npy", np.array([[1.0, np.nan]]))
-    assert [r["value"] for r in grids.read_npy(spark, str(tmp_path)).orderBy("c").collect()] == [1.0, None]
+    assert [r["value"] for r in ranges.read_npy(spark, str(tmp_path / '*.npy')).orderBy("c").collect()] == [1.0, None]
     assert grids.list_files(spark, str(tmp_path), "*.asc").count() == 1
 
 
