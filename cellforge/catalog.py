@@ -154,8 +154,8 @@ def naive_upsample(spark, sf_dir):
 def fine_to_coarse(spark, sf_dir):
     x = cells(spark, sf_dir)
     totals = x.groupBy("cr", "cc").agg(F.sum("ha").alias("total"))
-    top = n_rows(x) - 1
-    return grid.join_coarse(x.select("r", "c"), totals, RATIO).select("r", "c", "total", (F.lit(top) - F.col("r")).alias("flipped"))
+    joined = grid.join_coarse(x.select("r", "c"), totals, RATIO).withColumn("own", F.col("r"))
+    return grid.flip_vertical(joined, n_rows(x)).select(F.col("own").alias("r"), "c", "total", F.col("r").alias("flipped"))
 
 
 @query("WITH {G} SELECT a.r, a.c, a.t1, b.x1 FROM g a JOIN g b USING (r, c)")

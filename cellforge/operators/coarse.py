@@ -121,7 +121,3 @@ def from_mosaic(picture: DataFrame, n_classes: int) -> DataFrame:
     """Change matrices out of ``mosaic``."""
     coarse = lambda x: F.floor(F.col(x) / n_classes).cast("int")
     return picture.select(coarse("r").alias("cr"), coarse("c").alias("cc"), (F.col("r") % n_classes + 1).cast("int").alias("from_class"), (F.col("c") % n_classes + 1).cast("int").alias("to_class"), "n")
-
-
-def class_lookup(names: Mapping[int, str], value: str):
-    return lookup(F.col(value), dict(names)) if all(isinstance(v, int) for v in names.values()) else F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col(value))

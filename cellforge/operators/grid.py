@@ -26,14 +26,6 @@ def bbox_window(cells: DataFrame, bbox: tuple[float, float, float, float], resol
     return window(cells, r0, c0, r1 - r0, c1 - c0)
 
 
-def aligned_bbox(bbox: tuple[float, float, float, float], resolution: float) -> tuple[float, float, float, float]:
-    """The smallest box on multiples of ``resolution`` that holds ``bbox``."""
-    import math
-
-    x0, y0, x1, y1 = bbox
-    return (math.floor(x0 / resolution) * resolution, math.floor(y0 / resolution) * resolution, math.ceil(x1 / resolution) * resolution, math.ceil(y1 / resolution) * resolution)
-
-
 def aoi(features: DataFrame, name: str, iso: str = "iso3") -> DataFrame:
     """All features for 'global', else those with that ISO3 code."""
     return features if name == "global" else features.where(F.upper(F.col(iso)) == name.upper())

@@ -55,22 +55,31 @@ def in_blocks(cells: DataFrame, values: Sequence[str], reach: int, block: int, b
     return x.withColumn("br", F.explode(F.sequence(at("r", -reach), at("r", reach)))).withColumn("bc", F.explode(F.sequence(at("c", -reach), at("c", reach))))
 
 
+def _wide(block: int, reach: int) -> int:
+    """A side with which each cell is sent about 2.3 times at most: four reaches or ``block``; a caller's smaller block holds down to one reach."""
+    return max(block, 4 * reach) if block >= BLOCK else max(block, reach)
+
+
 def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*names).schema)
 
 
 def convolve(cells: DataFrame, value: str, weights: np.ndarray, radius: int, by: Sequence[str] = (), out: str = "value", block: int = BLOCK) -> DataFrame:
     """(by..., r, c, out): sum over offsets of weight * value at (r - dr, c - dc), 0 outside, for all cells of ``cells``. A task holds one block and its halo."""
-    block = max(block, radius)
+    block = _wide(block, radius)
     x = in_blocks(cells.withColumn("__v", F.coalesce(F.col(value).cast("double"), F.lit(0.0))), ["__v"], radius, block, by)
     side = block + 2 * radius
     size = -(-side // 32) * 32  # what wraps around stays within the halo
 
+    made_once: list[np.ndarray] = []
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if not made_once:  # a task transforms the kernel for its first block
+            made_once.append(np.fft.rfft2(weights, (size, size)))
         r0, c0 = int(key[-2]) * block - radius, int(key[-1]) * block - radius
         field = np.zeros((side, side))
         field[rows["r"].to_numpy() - r0, rows["c"].to_numpy() - c0] = rows["__v"].to_numpy()
-        full = np.fft.irfft2(np.fft.rfft2(field, (size, size)) * np.fft.rfft2(weights, (size, size)), (size, size))
+        full = np.fft.irfft2(np.fft.rfft2(field, (size, size)) * made_once[0], (size, size))
         own = rows[(rows["r"] // block == key[-2]) & (rows["c"] // block == key[-1])]
         made = own[[*by, *CELL]].copy()
         made[out] = full[own["r"].to_numpy() - r0 + radius, own["c"].to_numpy() - c0 + radius]
@@ -85,16 +94,18 @@ def class_convolutions(cells: DataFrame, classes: Sequence[int], half_lives: Seq
     Cells carry their class, not a row for each class; a block is transformed once for each class that occurs in it.
     """
     radius = max(int(REACH * h) for h in half_lives)
-    block = max(block, radius)
+    block = _wide(block, radius)
     side = block + 2 * radius
     size = -(-side // 32) * 32
     tables = [np.pad(kernel_array(h), radius - int(REACH * h)) for h in half_lives]  # around a common centre
     x = in_blocks(cells.withColumn("__k", F.coalesce(F.col(value).cast("int"), F.lit(-1))), ["__k"], radius, block, by)
+    spectra: list[np.ndarray] = []
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(key[-2]) * block - radius, int(key[-1]) * block - radius
         r, c, k = rows["r"].to_numpy() - r0, rows["c"].to_numpy() - c0, rows["__k"].to_numpy()
-        spectra = [np.fft.rfft2(t, (size, size)) for t in tables]
+        if not spectra:  # a task transforms the kernels for its first block
+            spectra.extend(np.fft.rfft2(t, (size, size)) for t in tables)
         here = (rows["r"] // block == key[-2]) & (rows["c"] // block == key[-1])
         own = rows.loc[here, [*by, *CELL]]
         at = (own["r"].to_numpy() - r0 + radius, own["c"].to_numpy() - c0 + radius)

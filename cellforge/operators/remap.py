@@ -36,11 +36,6 @@ def class_binaries_long(cells: DataFrame, classes: Sequence[int], value: str = "
     return x.select(*CELL, F.col("__k").alias("class_id"), F.coalesce((F.col(value) == F.col("__k")).cast("int"), F.lit(0)).alias("present"))
 
 
-def to_null(value: Column, nodata: float) -> Column:
-    """NaN and the no-data mark as NULL."""
-    return F.when((value != nodata) & ~F.isnan(value.cast("double")), value)
-
-
 def valid_mask(value: Column) -> Column:
     return value.isNotNull().cast("int")
 
