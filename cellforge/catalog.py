@@ -541,9 +541,9 @@ def distance_similarity(spark, sf_dir):
     return fit.distance_similarity(x, "o", "p")
 
 
-def _fit_sql() -> str:
+def _fit_sql(classes=CHANGEABLE) -> str:
     parts, rows = [], []
-    for k in CHANGEABLE:
+    for k in classes:
         for side in ("to", "from"):
             change = {x: f"t1 <> {k} AND {x} = {k}" if side == "to" else f"t1 = {k} AND {x} <> {k}" for x in ("t2", "p")}
             n = f"{side}{k}"
@@ -559,6 +559,12 @@ def fit_distance(spark, sf_dir):
     return fit.fit_distance(maps_of(spark, sf_dir), CHANGEABLE)
 
 
+@query(_fit_sql(CLASSES))
+def fit_distance_all_classes(spark, sf_dir):
+    """As ``fit_distance``, over every class that some of the three maps has."""
+    return fit.fit_distance(maps_of(spark, sf_dir))
+
+
 @query(f"SELECT sum(metric) / sum(predicted) AS distance FROM ({_fit_sql()})")
 def overall_distance(spark, sf_dir):
     return fit.overall_distance(fit.fit_distance(maps_of(spark, sf_dir), CHANGEABLE))
@@ -673,6 +679,21 @@ def end_to_end(spark, sf_dir):
     return pipeline.project(layered(spark, sf_dir), COEFFICIENTS, end_goals(spark, sf_dir), "t1")
 
 
+@query(f"WITH {{G}}, {ST}, {SC}, {CLS}, {END_GOALS}, {CO}, {SU.replace('FROM g, co WHERE', 'FROM g, co WHERE NOT EXISTS (SELECT 1 FROM go WHERE go.cr = g.cr AND go.cc = g.cc AND go.class_id = g.t1 AND goal > 0) AND')}, {CL}, {WI} {DONE}")
+def end_to_end_exclusive(spark, sf_dir):
+    """The same, but cells of classes that grow are not taken."""
+    return pipeline.project(layered(spark, sf_dir), COEFFICIENTS, end_goals(spark, sf_dir), "t1", "exclusive")
+
+
+@query(f"""WITH {{G}}, {CO}, {SU}, {MATRIX},
+cl AS (SELECT r, c, class_id, rn FROM (SELECT su.*, n, row_number() OVER (PARTITION BY su.cr, su.cc, t1, class_id ORDER BY s DESC, r, c) AS rn FROM su JOIN m ON m.cr = su.cr AND m.cc = su.cc AND from_class = t1 AND to_class = class_id WHERE from_class <> to_class) WHERE rn <= n), {WI}, {RS},
+n AS (SELECT g.r, g.c, t1, ci, coalesce(new, t1) AS k FROM g LEFT JOIN wi USING (r, c)), f AS (SELECT r, c, CASE WHEN k = t1 THEN {{CODE}}[ci + 1] ELSE k END AS k FROM n) SELECT r, c, coalesce(rs.code, f.k) AS code FROM f LEFT JOIN rs USING (k)""")
+def restored_map_from_matrix(spark, sf_dir):
+    """The map that a change matrix leads to, in detailed codes."""
+    new = pipeline.project(layered(spark, sf_dir), COEFFICIENTS, matrix_of(spark, sf_dir), "t1", "matrix")
+    return pipeline.restored_map(detailed(spark, sf_dir).withColumnRenamed("t1", "lulc"), new)
+
+
 @query(f"""WITH {{G}}, {ST}, {SC}, {CLS}, {END_GOALS}, {CO}, {SU}, {CL}, {WI}, {RS}, n AS (SELECT g.r, g.c, t1, ci, coalesce(new, t1) AS k FROM g LEFT JOIN wi USING (r, c)), f AS (SELECT r, c, CASE WHEN k = t1 THEN {{CODE}}[ci + 1] ELSE k END AS k FROM n)
 SELECT r, c, coalesce(rs.code, f.k) AS code FROM f LEFT JOIN rs USING (k)""")
 def restored_map(spark, sf_dir):
@@ -687,6 +708,14 @@ def allocated_cells(spark, sf_dir):
     return allocate.diagnostics(layered(spark, sf_dir), COEFFICIENTS, goals_of(spark, sf_dir), "t1", level=5)["allocation"]
 
 
+@query(f"WITH {{G}}, {CO}, {SU}, {GO}, {CL}, {WI}, d AS ({DONE}) SELECT 'projected' AS output, lulc AS class_id, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT x, CAST(class_id AS INTEGER), count(*) FROM su, (SELECT unnest(['suitability', 'rank']) AS x) GROUP BY ALL UNION ALL SELECT 'allocation', CAST(class_id AS INTEGER), count(*) FROM cl GROUP BY ALL")
+def diagnostic_outputs(spark, sf_dir):
+    """Rows by class of every output of the most telling level."""
+    found = allocate.diagnostics(layered(spark, sf_dir), COEFFICIENTS, goals_of(spark, sf_dir), "t1", level=11)
+    each = [x.select(F.lit(name).alias("output"), F.col("lulc" if name == "projected" else "class_id").cast("int").alias("class_id")) for name, x in found.items()]
+    return grid.stitch(each).groupBy("output", "class_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 45)")
 def skip_completed(spark, sf_dir):
     done = load(spark, sf_dir, "lineitem").where("l_linestatus = 'F' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .remap import lookup, null_safe_difference
+from .remap import null_safe_difference
 
 COARSE = ["cr", "cc"]
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import distances_sq, gaussian_blur
+from cellforge.storage import stored
+
+from .kernels import gaussian_blur, nearest_sq
 from .remap import CELL
 
 
@@ -48,10 +50,10 @@ def distance_similarity(cells: DataFrame, a: str, b: str, by: Sequence[str] = ()
     Where no cell is in one set alone, that part is 0.
     """
     x = cells.select(*by, *CELL, F.coalesce(F.col(a).cast("boolean"), F.lit(False)).alias("__a"), F.coalesce(F.col(b).cast("boolean"), F.lit(False)).alias("__b"))
-    x = x.withColumn("__ao", F.col("__a") & ~F.col("__b")).withColumn("__bo", F.col("__b") & ~F.col("__a"))
-    d = distances_sq(x, {"da": "__ao", "db": "__bo"}, by).join(x.where("__a OR __b"), [*by, *CELL])
-    to_a, to_b = F.when(F.col("__b"), F.col("da")), F.when(F.col("__a"), F.col("db"))
-    return d.groupBy(*by).agg((F.coalesce(F.sum(to_a), F.lit(0.0)) + F.coalesce(F.sum(to_b), F.lit(0.0))).alias("metric"), (F.count_if(to_a != 0) + F.count_if(to_b != 0)).alias("predicted"))
+    x = stored(x.where("__a OR __b"))  # few cells change
+    both = lambda to_a, to_b: x.where(to_a).select(*by, *CELL, F.lit(0).alias("__to")).unionByName(x.where(to_b).select(*by, *CELL, F.lit(1).alias("__to")))
+    d = nearest_sq(both("__a AND NOT __b", "__b AND NOT __a"), both("__b", "__a"), [*by, "__to"])
+    return d.groupBy(*by).agg(F.coalesce(F.sum("d2"), F.lit(0.0)).alias("metric"), F.count_if(F.col("d2") != 0).alias("predicted"))
 
 
 def fit_distance(maps: DataFrame, classes: Sequence[int] | None = None) -> DataFrame:

@@ -11,11 +11,12 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellforge.functions.curves import at_distance, kernel_weight
+from cellforge.storage import stored
 
 from .remap import CELL
 
@@ -233,6 +234,49 @@ def distances_sq(cells: DataFrame, sites: Mapping[str, str], by: Sequence[str] =
     return d.select(*by, *CELL, *(F.when(F.col(n) < float("inf"), F.col(n)).alias(n) for n in names))
 
 
+def nearest_sq(sites: DataFrame, targets: DataFrame, by: Sequence[str] = (), out: str = "d2") -> DataFrame:
+    """(by..., r, c, out): the squared distance of each of ``targets`` (by..., r, c) to the nearest of ``sites`` (by..., r, c); NULL where there is none.
+
+    As ``distances_sq``, from the cells of interest alone: a band of rows gets its own sites and, for each column that has sites, the last one before
+    the band and the first one behind it, which the sites' own bands tell. So for every 32 cells of a band with targets one row moves, not every cell.
+    """
+    band = F.floor(F.col("r") / BAND).cast("int").alias("band")
+    s, t = sites.select(*by, *CELL, band).distinct(), targets.select(*by, *CELL, band).distinct()
+    ends = stored(s.groupBy(*by, "c", "band").agg(F.min("r").alias("low"), F.max("r").alias("high")))
+    bands = t.select(*by, "band").distinct()
+    columns = ends.select(*by, "c").distinct()
+    none = F.lit(None).cast("int")
+    asked = (columns.join(bands, list(by)) if by else columns.crossJoin(bands)).select(*by, "c", "band", none.alias("low"), none.alias("high"), F.lit(True).alias("asked"))
+    x = asked.unionByName(ends.withColumn("asked", F.lit(False))).groupBy(*by, "c", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("asked").alias("asked"))
+    w = W.partitionBy(*by, "c").orderBy("band")
+    x = x.withColumns({"above": F.last("high", True).over(w.rowsBetween(W.unboundedPreceding, -1)), "below": F.first("low", True).over(w.rowsBetween(1, W.unboundedFollowing))}).where("asked")
+    far = x.select(*by, "band", none.alias("r"), "c", F.lit(False).alias("target"), "above", "below")
+    own = s.join(bands, [*by, "band"], "left_semi").select(*by, "band", *CELL, F.lit(False).alias("target"), none.alias("above"), none.alias("below"))
+    rows = t.select(*by, "band", *CELL, F.lit(True).alias("target"), none.alias("above"), none.alias("below")).unionByName(own).unionByName(far)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(key[-1]) * BAND, int(rows["c"].min())
+        g = np.full((BAND, int(rows["c"].max()) - c0 + 1), np.inf)
+        at = np.arange(r0, r0 + BAND, dtype=float)[:, None]
+        c = rows["c"].to_numpy() - c0
+        for side in ("above", "below"):
+            some = rows[side].notna().to_numpy()
+            g[:, c[some]] = np.minimum(g[:, c[some]], np.abs(at - rows[side].to_numpy(float)[some][None]))
+        mine = rows["r"].notna().to_numpy()
+        here, wanted = mine & ~rows["target"].to_numpy(bool), mine & rows["target"].to_numpy(bool)
+        g[rows["r"].to_numpy(float)[here].astype(int) - r0, c[here]] = 0.0
+        for k in range(1, BAND):  # within the band, down and up
+            g[k] = np.minimum(g[k], g[k - 1] + 1)
+            g[-1 - k] = np.minimum(g[-1 - k], g[-k] + 1)
+        made = rows.loc[wanted, [*by, *CELL]].copy()
+        made["r"] = made["r"].astype(int)
+        made[out] = _row_pass(g)[made["r"].to_numpy() - r0, c[wanted]]
+        return made
+
+    d = rows.groupBy(*by, "band").applyInPandas(run, _kinds(t, [*by, *CELL]) + f"{out} double")
+    return d.withColumn(out, F.when(F.col(out) < float("inf"), F.col(out)))
+
+
 def distance_transform_sq(cells: DataFrame, site: str, by: Sequence[str] = (), out: str = "d2") -> DataFrame:
     """``distances_sq`` for one column."""
     return distances_sq(cells, {out: site}, by)

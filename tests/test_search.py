@@ -147,3 +147,20 @@ def test_odd_grids(spark):
     assert search.calibrate_zones(df.where("r < 0"), START, goals, "seen", SIGMA).count() == 0
     still = search.calibrate_zones(df, START, goals.where("goal > 1000000"), "seen", SIGMA, scales=())
     assert search.best_changes(still).count() == 1  # nothing to allocate, nothing to keep
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_sparse_distances_equal_brute_force(spark, by):
+    from cellforge.operators import kernels
+
+    rng = np.random.default_rng(4)
+    sites = [(int(k), int(r), int(c)) for k, r, c in zip(rng.integers(0, 3, 60), rng.integers(-40, 150, 60), rng.integers(0, 90, 60), strict=True) if k < 2]
+    targets = [(int(k), int(r), int(c)) for k, r, c in zip(rng.integers(0, 3, 200), rng.integers(-90, 300, 200), rng.integers(-20, 130, 200), strict=True)] + sites[:9] * 2
+    one, two = (spark.createDataFrame(x, "k int, r int, c int") for x in (sites, targets))
+    got = {tuple(r)[:-1]: r["d2"] for r in kernels.nearest_sq(one, two, by).select(*by, "r", "c", "d2").collect()}
+    want = {}
+    for k, r, c in targets:
+        near = [(r - i) ** 2 + (c - j) ** 2 for q, i, j in sites if not by or q == k]
+        want[(k, r, c) if by else (r, c)] = float(min(near)) if near else None
+    assert got == want
+    assert kernels.nearest_sq(one, two.where("r > 900"), by).count() == 0
