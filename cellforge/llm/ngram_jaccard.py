@@ -275,6 +275,19 @@ def op3_ngram_jaccard(docs: DataFrame) -> DataFrame:
     return jaccard_classes(docs)
 
 
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < {WORDS} THEN w ELSE w[i + 1:i + {WORDS}] END, ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - {WORDS - 1}, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= {SIMILARITY} * (x.n + y.n - k)),
+r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+c AS (SELECT u, min(v) AS least FROM r GROUP BY u), l AS (SELECT u, count(*) AS links FROM e GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, coalesce(l.links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id LEFT JOIN l ON l.u = d.doc_id
+"""
+
+
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id. Columns stay as they are, whatever their names.
 

@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.OP4_SQL, "op8_exact_topk": topk.OP8_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
+    return {"op3_ngram_jaccard": ngram_jaccard.OP3_SQL, "op4_source_mix": mixing.OP4_SQL, "op8_exact_topk": topk.OP8_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}

@@ -568,3 +568,89 @@ def test_pipeline(spark):
     clean = corpus_pipeline.secrets(spark, kept, SMALL).collect()
     assert all(not strong(r["text"]) and r["n_chars"] == len(r["text"]) for r in clean)
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+LONG_RUN = [n for n, (t, _) in queries.OPERATORS.items() if t == "documents" and n not in ("op1_license_scan", "op2_secret_scan")]
+
+
+@pytest.mark.parametrize("name", LONG_RUN)
+def test_long_texts_and_repeated_ids(spark, name):
+    """A text of 300,000 words, and rows that share an id or everything: each row has its own result, equal texts have equal ones."""
+    long = prose(9, 300_000)
+    texts = [long, prose(10, 80), prose(10, 80), prose(11, 80), None]
+    x = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip([1, 2, 2, 2, 2], texts, strict=True)], DOCS)
+    rows = queries.OPERATORS[name][1](x).collect()
+    if name == "op4_source_mix":
+        assert {r["doc_id"] for r in rows} <= {1, 2}
+        return
+    if name == "op9_best_fit_packing":
+        ids = {d: sum(r["length"] for r in rows if r["doc_id"] == d) for d in (1, 2)}
+        assert ids[1] > 300_000 and [r["piece"] for r in sorted(rows, key=lambda r: r["piece"]) if r["doc_id"] == 1] == list(range(-(-ids[1] // 2048)))
+        assert sum(r["doc_id"] == 2 for r in rows) == 4
+        return
+    assert sorted(r["doc_id"] for r in rows) == [1, 2, 2, 2, 2]
+    own = [r for r in rows if r["doc_id"] == 1][0]
+    if name == "op3_ngram_jaccard":
+        words = long.split()
+        assert own["n_shingles"] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+        assert sorted(r["n_links"] for r in rows) == [0, 0, 0, 1, 1]
+    if name == "op6_media":
+        assert own["n_bytes"] == len(long) and own["payload_sha256"] == hashlib.sha256(long.encode().ljust(-(-len(long) // 192) * 192)).hexdigest()
+    if name == "op7_substring_dedup":
+        assert own["n_bytes"] == len(long) and own["n_removed"] == 0
+        assert sorted(r["n_removed"] for r in rows) == sorted([0, 0, 0, len(texts[1]), len(texts[1])])
+    if name in ("op5_language_id", "op10_lm_score"):
+        scored = Counter(tuple(r)[1:] for r in rows if r["doc_id"] == 2)
+        assert max(scored.values()) >= 2 and own["score" if name == "op5_language_id" else "n_words" if "n_words" in own.__fields__ else own.__fields__[-1]] is not None
+
+
+def test_best_fit_against_the_fewest_bins():
+    def fewest(weights):
+        """By trying every way to put each piece into an open bin or a new one."""
+        best = len(weights)
+
+        def go(i, room):
+            nonlocal best
+            if len(room) >= best:
+                return
+            if i == len(weights):
+                best = len(room)
+                return
+            for k in range(len(room)):
+                if room[k] >= weights[i] and room[k] not in room[:k]:
+                    go(i + 1, room[:k] + [room[k] - weights[i]] + room[k + 1 :])
+            go(i + 1, [*room, packing.CAPACITY - weights[i]])
+
+        go(0, [])
+        return best
+
+    rng = np.random.default_rng(7)
+    equal = 0
+    for n in range(30):
+        weights = sorted(rng.integers(200, 1400, 4 + n % 6).tolist(), reverse=True)
+        start = packing.best_fit(weights, rng.permutation(len(weights)).tolist())
+        more = [start, packing.best_fit(weights, range(len(weights)))]
+        bins = packing.evolve(weights, more, rng, 20)[0]
+        assert sorted(i for b in bins for i in b) == list(range(len(weights))) and all(sum(weights[i] for i in b) <= packing.CAPACITY for b in bins)
+        assert fewest(weights) <= len(bins) <= len(start)
+        equal += len(bins) == fewest(weights)
+    assert equal >= 28
+
+
+def test_media_hash_by_the_plain_cosine_sum():
+    rng = np.random.default_rng(3)
+    for height in (1, 3, 8, 70):
+        samples = rng.integers(0, 256, (height, 192)).astype(np.uint8)
+        grey = samples.reshape(height, 64, 3).sum(2).tolist()
+        side, n = media.SAMPLE_SIDE, media.HASH_SIDE
+
+        def cell(k, size):
+            a = k * size // side
+            return range(a, max((k + 1) * size // side, a + 1))
+
+        small = [[sum(grey[r][c] for r in cell(i, height) for c in cell(j, 64)) / (len(cell(i, height)) * len(cell(j, 64)) * 3) for j in range(side)] for i in range(side)]
+        cos = [[np.cos(np.pi * (2 * i + 1) * k / (2 * side)) * np.sqrt((1 if k == 0 else 2) / side) for i in range(side)] for k in range(n)]
+        low = [round(sum(cos[u][i] * cos[v][j] * small[i][j] for i in range(side) for j in range(side)), 6) for u in range(n) for v in range(n)]
+        middle = sorted(low[1:])[len(low[1:]) // 2]
+        bits = "".join("1" if x > middle else "0" for x in low)
+        assert media.low_frequency_hash(samples) == f"{int(bits, 2):0{n * n // 4}x}"
