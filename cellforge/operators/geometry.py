@@ -17,11 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cellforge.storage import stored
+
 EDGES = "part int, ring int, seq int, x0 double, y0 double, x1 double, y1 double"
 # Kinds of geometries in well-known binary.
 POINT, LINE, POLYGON, MULTI_POINT, MULTI_LINE, MULTI_POLYGON, COLLECTION = 1, 2, 3, 4, 5, 6, 7
 #: Side, in cells or units, of the squares by which polygons meet.
 SQUARE = 64
+#: Edges that one batch of a task holds, or those of one polygon.
+ROWS = 1 << 15
 
 
 class _Reader:
@@ -67,17 +71,18 @@ def _edges(batches: Iterator[pa.RecordBatch], wkb: str) -> Iterator[pa.RecordBat
     for batch in batches:
         at = batch.schema.get_field_index(wkb)
         names = [n for n in batch.schema.names if n != wkb]
-        for i, data in enumerate(batch.column(at).to_pylist()):
-            rows = []
-            for part, rings in enumerate(_Reader(data).polygons() if data else ()):
+        own, rows = [], []
+        for i, data in enumerate(batch.column(at)):
+            for part, rings in enumerate(_Reader(data.as_py()).polygons() if data.is_valid and len(data.as_buffer()) else ()):
                 for ring, points in enumerate(rings):
                     closed = points if len(points) < 2 or points[0] == points[-1] else [*points, points[0]]
                     rows += [(part, ring, k, *a, *b) for k, (a, b) in enumerate(zip(closed, closed[1:], strict=False))]
-            if rows:
-                own = batch.slice(i, 1)
-                kept = [own.column(n).take(pa.array([0] * len(rows))) for n in names]
+            own += [i] * (len(rows) - len(own))
+            if rows and (len(rows) >= ROWS or i + 1 == len(batch)):
+                kept = [batch.column(n).take(pa.array(own)) for n in names]
                 made = [pa.array(c, pa.int32() if k < 3 else pa.float64()) for k, c in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([*kept, *made], [*names, *(x.split()[0] for x in EDGES.split(", "))])
+                own, rows = [], []
 
 
 def edges_of_wkb(geometries: DataFrame, wkb: str = "wkb") -> DataFrame:
@@ -228,14 +233,83 @@ def _common(x: pd.DataFrame) -> list[tuple]:
     return out
 
 
-def intersections(left: DataFrame, right: DataFrame, left_id: str, right_id: str, height: float = SQUARE) -> DataFrame:
-    """(left_id, right_id, y0, y1, left0, right0, left1, right1): the intersection of every two polygons of two tables of edges, as trapezoids between the heights y0 and y1, each reported once.
+#: Pairs of edges, or of slabs and edges, that a task holds at a time; edges of a pair of polygons beyond which it is taken alone.
+AT_ONCE, ALONE = 1 << 20, 1024
 
-    Polygons may be concave, have holes and several parts, and cross themselves; what is inside by an odd number of rings counts. Two
-    polygons meet where they share a square: a polygon covers, in a strip, the squares between its outermost edges, and a pair that
-    shares several is kept in the first of them alone. Polygons that only touch have no piece.
-    """
-    sides = [in_strips(e.withColumnRenamed(i, f"__id{k}"), height) for k, (e, i) in enumerate(((left, left_id), (right, right_id)))]
+
+def _within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, place): each of the ``sizes`` places from each of ``starts`` on."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
+def _chunks(costs: np.ndarray) -> list[slice]:
+    """Stretches whose costs add up to about ``AT_ONCE`` at most."""
+    ends = np.flatnonzero(np.diff((np.cumsum(costs) - costs) // AT_ONCE)) + 1
+    edges = [0, *ends.tolist(), len(costs)]
+    return [slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
+def _common_of_many(x: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, pieces): ``_common`` of every group of rows at once; ``group`` rises."""
+    xa, xb, ya, yb = (x[n].to_numpy(float) for n in ("xa", "xb", "ya", "yb"))
+    order = np.lexsort((ya, group))
+    xa, xb, ya, yb, side, group = (v[order] for v in (xa, xb, ya, yb, x["side"].to_numpy(), group))
+    slope = (xb - xa) / (yb - ya)
+    base = xa - slope * ya
+    first, size = (v[1:] for v in np.unique(np.concatenate([[-1], group]), return_index=True, return_counts=True)[1:])
+    first = first - 1
+    found, pieces = [], []
+    for part in _chunks(size * size):
+        rows = slice(first[part][0], first[part][-1] + size[part][-1])
+        many = np.repeat(size[part], size[part])
+        i, j = _within(np.repeat(first[part], size[part]), many)
+        i = i + rows.start
+        i, j = i[i < j], j[i < j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = (base[i] - base[j]) / (slope[j] - slope[i])
+            hit = (y > np.maximum(ya[i], ya[j])) & (y < np.minimum(yb[i], yb[j]))
+        g, level = np.concatenate([group[rows], group[rows], group[i[hit]]]), np.concatenate([ya[rows], yb[rows], y[hit]])
+        by = np.lexsort((level, g))
+        g, level = g[by], level[by]
+        slab = np.flatnonzero((g[1:] == g[:-1]) & (level[1:] > level[:-1]))
+        g, y0, y1 = g[slab], level[slab], level[slab + 1]
+        at = np.searchsorted(group[first], g)
+        for some in _chunks(size[at]):
+            k, e = _within(first[at[some]], size[at[some]])
+            k = k + some.start
+            on = (ya[e] <= y0[k]) & (yb[e] >= y1[k])
+            k, e = k[on], e[on]
+            by = np.lexsort((xa[e] + ((y0[k] + y1[k]) / 2 - ya[e]) * slope[e], k))
+            k, e = k[by], e[by]
+            start = np.searchsorted(k, k)
+            inside = np.ones(len(k), bool)
+            for s in (0, 1):
+                seen = np.concatenate([[0], np.cumsum(side[e] == s)])
+                inside &= (seen[1:] - seen[start]) % 2 == 1
+            a = np.flatnonzero(inside[:-1] & (k[1:] == k[:-1]))
+            low, high, ea, eb = y0[k[a]], y1[k[a]], e[a], e[a + 1]
+            at_y = lambda v, y: xa[v] + (y - ya[v]) * slope[v]
+            found.append(g[k[a]])
+            pieces.append(np.column_stack([low, high, at_y(ea, low), at_y(eb, low), at_y(ea, high), at_y(eb, high)]))
+    return (np.concatenate(found), np.concatenate(pieces)) if found else (np.zeros(0, int), np.zeros((0, 6)))
+
+
+def classes_of_shapes(edges: DataFrame, by: str) -> DataFrame:
+    """(by, rep): each polygon with the least id of those that have the same edges. Stored."""
+    points = F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).cast("string")
+    shapes = edges.where(F.col(by).isNotNull()).groupBy(by).agg(F.sha2(points, 256).alias("__shape"))
+    return stored(shapes.join(shapes.groupBy("__shape").agg(F.min(by).alias("rep")), "__shape").select(by, "rep"))
+
+
+def _met(left: DataFrame, right: DataFrame, left_id: str, right_id: str, height: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pieces (__id0, __id1, y0...) of the classes of equal polygons, and each side's (id, rep)."""
+    left, right = (stored(e.select(i, "x0", "y0", "x1", "y1")) for e, i in ((left, left_id), (right, right_id)))
+    known = [classes_of_shapes(e, i) for e, i in ((left, left_id), (right, right_id))]
+    sides = []
+    for k, (e, i) in enumerate(((left, left_id), (right, right_id))):
+        reps = known[k].where(F.col(i) == F.col("rep")).select(i)
+        sides.append(stored(in_strips(e.join(reps, i, "left_semi").withColumnRenamed(i, f"__id{k}"), height).select(f"__id{k}", "strip", "xa", "ya", "xb", "yb")))
     kinds = [e.schema[i].dataType.simpleString() for e, i in ((left, left_id), (right, right_id))]
     spans = []
     for k, e in enumerate(sides):
@@ -243,16 +317,71 @@ def intersections(left: DataFrame, right: DataFrame, left_id: str, right_id: str
         first, last = F.floor(F.col("x0") / height).cast("long"), F.floor(F.col("x1") / height).cast("long")
         spans.append(reach.select(f"__id{k}", "strip", first.alias(f"first{k}"), F.col("x0").alias(f"from{k}"), F.col("x1").alias(f"to{k}"), F.explode(F.sequence(first, last)).alias("square")))
     met = spans[0].join(spans[1], ["strip", "square"]).where("square = greatest(first0, first1) AND from0 < to1 AND from1 < to0").select("__id0", "__id1", "strip")
-    parts = [met.join(e.select(f"__id{k}", "strip", "xa", "ya", "xb", "yb"), [f"__id{k}", "strip"]).select("__id0", "__id1", "strip", F.lit(k).alias("side"), "xa", "ya", "xb", "yb") for k, e in enumerate(sides)]
+    n = _tasks(left)
+    met = stored(met.repartition(n, "__id0", "__id1", "strip"))  # few bytes, much work
+    parts = [met.join(e, [f"__id{k}", "strip"]).select("__id0", "__id1", "strip", F.lit(k).alias("side"), "xa", "ya", "xb", "yb") for k, e in enumerate(sides)]
+    key, names = ["__id0", "__id1", "strip"], [x.split()[0] for x in PIECE.split(", ")]
+
+    def cut(x: pd.DataFrame) -> pd.DataFrame:
+        group = (x[key] != x[key].shift()).any(axis=1).to_numpy().cumsum() - 1
+        heads = x[key[:2]].to_numpy(object)[np.flatnonzero(np.diff(group, prepend=-1))]
+        large = np.bincount(group)[group] > ALONE
+        g, made = _common_of_many(x[~large], group[~large])
+        for one in np.unique(group[large]):
+            alone = np.array(_common(x[group == one]), float).reshape(-1, len(names))
+            g, made = np.concatenate([g, np.full(len(alone), one)]), np.concatenate([made, alone])
+        out = pd.DataFrame(made, columns=names)
+        for i in (0, 1):
+            out[key[i]] = pd.Series(heads[g, i] if len(g) else [], dtype=object)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for x in batches:
+            if not len(x):
+                continue
+            last = (x[key] == x[key].iloc[-1]).all(axis=1).to_numpy()
+            begin = len(x) - int(np.argmin(last[::-1])) if not last.all() else 0  # of the last pair, which may go on
+            if begin or (held and not (held[-1][key].iloc[-1] == x[key].iloc[0]).all()):
+                yield cut(pd.concat([*held, x.iloc[:begin]], ignore_index=True))
+                held = []
+            held.append(x.iloc[begin:])
+        if held:
+            yield cut(pd.concat(held, ignore_index=True))
+
+    rows = parts[0].unionByName(parts[1]).repartition(n, *key).sortWithinPartitions(*key)
+    return rows.mapInPandas(run, f"{PIECE}, __id0 {kinds[0]}, __id1 {kinds[1]}"), known
+
+
+def _tasks(df: DataFrame) -> int:
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def _to_all(found: DataFrame, known: list[DataFrame], left_id: str, right_id: str) -> DataFrame:
+    """Rows of classes of equal polygons (__id0, __id1, ...) repeated for all their members."""
+    out = found
+    for k, (e, i) in enumerate(zip(known, (left_id, right_id), strict=True)):
+        out = out.join(e.select(F.col(i).alias(f"__own{k}"), F.col("rep").alias(f"__id{k}")), f"__id{k}").drop(f"__id{k}")
+        if not k:
+            out = out.repartition(_tasks(found), "__own0", "__id1")  # each row may stand for many
+    return out.select(F.col("__own0").alias(left_id), F.col("__own1").alias(right_id), *(n for n in found.columns if n not in ("__id0", "__id1")))
+
+
+def intersections(left: DataFrame, right: DataFrame, left_id: str, right_id: str, height: float = SQUARE) -> DataFrame:
+    """(left_id, right_id, y0, y1, left0, right0, left1, right1): the intersection of every two polygons of two tables of edges, as trapezoids between the heights y0 and y1, each reported once.
+
+    Polygons may be concave, have holes and several parts, and cross themselves; what is inside by an odd number of rings counts. Two
+    polygons meet where they share a square: a polygon covers, in a strip, the squares between its outermost edges, and a pair that
+    shares several is kept in the first of them alone. Polygons that only touch have no piece. Polygons with the same edges are cut once, and the pieces repeated.
+    """
+    found, known = _met(left, right, left_id, right_id, height)
+    return _to_all(found, known, left_id, right_id)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = _common(rows)
-        made = pd.DataFrame(found, columns=[x.split()[0] for x in PIECE.split(", ")], dtype=float)
-        for n, v in ((left_id, key[0]), (right_id, key[1])):
-            made[n] = pd.Series([v] * len(found), dtype=object)
-        return made
 
-    return parts[0].unionByName(parts[1]).groupBy("__id0", "__id1", "strip").applyInPandas(run, f"{PIECE}, `{left_id}` {kinds[0]}, `{right_id}` {kinds[1]}").select(left_id, right_id, *(x.split()[0] for x in PIECE.split(", ")))
+def shared_areas(left: DataFrame, right: DataFrame, left_id: str, right_id: str, height: float = SQUARE) -> DataFrame:
+    """(left_id, right_id, area): ``intersection_areas`` of ``intersections``; areas are added up before they are repeated for equal polygons."""
+    found, known = _met(left, right, left_id, right_id, height)
+    return _to_all(intersection_areas(found, ["__id0", "__id1"]), known, left_id, right_id)
 
 
 def intersection_areas(pieces: DataFrame, by: list[str]) -> DataFrame:

@@ -160,3 +160,26 @@ def test_wkb_round_trip(spark):
     df = spark.createDataFrame([(1, [[[(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)]]]), (2, None)], "id int, p array<array<array<struct<x:double,y:double>>>>")
     e = geometry.edges_of_wkb(df.select("id", geometry.wkb_of(F.col("p")).alias("wkb")))
     assert [tuple(r) for r in e.orderBy("seq").collect()] == [(1, 0, 0, 0, 0.0, 0.0, 4.0, 0.0), (1, 0, 0, 1, 4.0, 0.0, 4.0, 3.0), (1, 0, 0, 2, 4.0, 3.0, 0.0, 0.0)]
+
+
+def test_equal_polygons_are_cut_once_and_large_ones_alone(spark, monkeypatch):
+    left, right = shapes(np.random.default_rng(3), 5), shapes(np.random.default_rng(4), 5)
+    frames = [spark.createDataFrame([(f"{k}-{copy}", wkb(p)) for k, p in x.items() for copy in range(3)], "id string, wkb binary") for x in (left, right)]
+    tables = [geometry.edges_of_wkb(f).withColumnRenamed("id", n) for f, n in zip(frames, "ab", strict=True)]
+    assert geometry.classes_of_shapes(tables[0], "a").select("rep").distinct().count() == len(left)
+    got = {(r["a"], r["b"]): r["area"] for r in geometry.shared_areas(*tables, "a", "b").collect()}
+    for a, p in left.items():
+        for b, q in right.items():
+            want = sum(s * t * area(clip(x, y)) for s, x in fan(p) for t, y in fan(q))
+            assert all(abs(got.get((f"{a}-{i}", f"{b}-{j}"), 0.0) - want) < 1e-6 for i in range(3) for j in range(3))
+    rows = np.random.default_rng(5)
+    x = {n: rows.integers(0, 40, 600).astype(float) for n in ("xa", "xb")} | {"ya": rows.integers(0, 9, 600).astype(float), "side": np.arange(600) % 4 // 2}
+    for n in ("ya", "side"):
+        x[n][1::2] = x[n][::2]
+    frame = geometry.pd.DataFrame(x | {"yb": 10.0})
+    group = np.sort(np.arange(600) // 2 % 10)
+    monkeypatch.setattr(geometry, "AT_ONCE", 5000)
+    g, pieces = geometry._common_of_many(frame, group)
+    for k in range(10):
+        want = geometry._common(frame[group == k])
+        assert abs(sum((p[1] - p[0]) * (p[3] - p[2] + p[5] - p[4]) for p in want) - sum((p[1] - p[0]) * (p[3] - p[2] + p[5] - p[4]) for p in pieces[g == k])) < 1e-6
