@@ -164,3 +164,22 @@ def test_sparse_distances_equal_brute_force(spark, by):
         want[(k, r, c) if by else (r, c)] = float(min(near)) if near else None
     assert got == want
     assert kernels.nearest_sq(one, two.where("r > 900"), by).count() == 0
+
+
+def test_many_coarse_cells_are_ranked_in_few_arrays(spark, monkeypatch):
+    """Tries of many coarse cells at once, whatever is held at a time, and no array as large as all of them together."""
+    df, _ = made(spark)
+    layers = search.Layers.of(START)
+    b, m = layers.rows(START)
+    s = search.Search(layers).first(0, [v for row in b for v in row], [v for row in m for v in row])
+    for quotas in (coarse.change_matrix(df, "lulc", "seen", (1, 2, 3)), coarse.goals(df, "lulc", "seen", "ha", (1, 2, 3))):
+        rows = search.packed(df, quotas, layers, "seen").toPandas()
+        for n in ("b", "m", "try_class", "try_layer", "try_value"):
+            rows[n] = [np.array(s[n])] * len(rows)
+        whole = list(search.changes(iter([rows]), layers))
+        monkeypatch.setattr(search, "HELD", 1000)
+        parts = list(search.changes(iter([rows]), layers))
+        monkeypatch.undo()
+        order = ["zone", "try", "r", "c"]
+        one, two = (search.pd.concat(x).sort_values(order, ignore_index=True) for x in (whole, parts))
+        assert one.equals(two) and len(whole) == 1 and len(parts) > 1 and (one["try"] >= 0).any()
