@@ -113,6 +113,38 @@ def test_class_convolutions_by_brute_force(spark):
         assert abs(v - want) < 1e-9
 
 
+def test_convolution_fields_are_as_large_as_their_cells(spark, monkeypatch):
+    """A long, narrow grid is transformed in long, narrow fields; blocks with cells of the halo alone have no rows."""
+    sizes = []
+    transform = np.fft.rfft2
+    monkeypatch.setattr(np.fft, "rfft2", lambda x, *size: sizes.append((size[0] if size else x.shape)) or transform(x, *size))
+    k = np.random.default_rng(7).integers(1, 4, (700, 3))
+    rows = kernels.pd.DataFrame({"r": np.repeat(np.arange(700), 3), "c": np.tile(np.arange(3), 700), "class_id": k.ravel()})
+    df = spark.createDataFrame(rows)
+    made = []
+
+    class Caught(Exception):
+        pass
+
+    def caught(self, run, schema):
+        made.append(run)
+        raise Caught
+
+    monkeypatch.setattr(type(df.groupBy("r")), "applyInPandas", caught)
+    with pytest.raises(Caught):
+        kernels.class_convolutions(df, [1, 2], (2, 30))
+    rows["__k"] = rows["class_id"]
+    got = made[0]((0, 0), rows)
+    assert len(got) == 2 * 2100 and all(b <= 32 for _, b in sizes)
+    assert not len(made[0]((0, 1), rows))
+    one = got[(got["class_id"] == 2) & (got["r"] == 350) & (got["c"] == 1)]["found"].iloc[0]
+    for h, v in zip((2, 30), one, strict=True):
+        w = kernels.kernel_array(h)
+        n = len(w) // 2
+        want = sum(w[350 - i + n, 1 - j + n] for i in range(700) for j in range(3) if k[i, j] == 2 and -n <= 350 - i < n)
+        assert abs(v - want) < 1e-8
+
+
 def test_reclassify_and_restore(spark):
     from pyspark.sql import functions as F
 
