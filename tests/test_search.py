@@ -183,3 +183,22 @@ def test_many_coarse_cells_are_ranked_in_few_arrays(spark, monkeypatch):
         order = ["zone", "try", "r", "c"]
         one, two = (search.pd.concat(x).sort_values(order, ignore_index=True) for x in (whole, parts))
         assert one.equals(two) and len(whole) == 1 and len(parts) > 1 and (one["try"] >= 0).any()
+
+
+def test_row_pass_takes_far_sites_in_whole_rows(monkeypatch):
+    """Rows of few, far sites: by steps over all rows that are not settled, and by parabolas beyond them, both as brute force."""
+    from cellforge.operators import kernels
+
+    rng = np.random.default_rng(8)
+    g = np.where(rng.random((40, 300)) < 0.01, rng.integers(0, 90, (40, 300)), np.inf)
+    g[3] = np.inf
+    x = np.arange(300)
+    want = np.array([((x[:, None] - x[None]) ** 2 + (row * row)[None]).min(axis=1) for row in g])
+    assert (kernels._row_pass(g) == want).all()
+    monkeypatch.setattr(kernels, "STEPS", 20)
+    assert (kernels._row_pass(g) == want).all()
+    slow = []
+    monkeypatch.setattr(kernels.np, "searchsorted", lambda *a, **k: slow.append(1))
+    monkeypatch.setattr(kernels, "STEPS", 1024)
+    kernels._row_pass(g)
+    assert not slow and kernels.STEPS * kernels.STEPS > 90 * 90
