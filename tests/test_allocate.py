@@ -223,3 +223,14 @@ def test_change_matrix_properties(spark):
     assert coarse.dense_change_matrix(m, (1, 2, 3, 4)).count() == 16
     back = coarse.from_mosaic(coarse.mosaic(m, 4), 4)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, m.collect()))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layers_of_a_cell_move_once_as_sums(spark):
+    layers = spark.range(50).selectExpr("int(id) AS r", "int(id % 7) AS c", "double(id) AS a", "double(1) AS b").unpivot(["r", "c"], ["a", "b"], "layer_id", "x")
+    table = spark.createDataFrame([("a", 1, allocate.ADDITIVE, 2.0), ("b", 1, allocate.MULTIPLICATIVE, 0.5)], "layer_id string, class_id int, kind string, beta double")
+    s = allocate.suitability_long(layers, table)
+    assert "SortMergeJoin" not in plan_of(s) and {(r["r"], r["s"]) for r in s.collect()} == {(i, float(i)) for i in range(50)}
