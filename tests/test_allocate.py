@@ -234,3 +234,16 @@ def test_layers_of_a_cell_move_once_as_sums(spark):
     table = spark.createDataFrame([("a", 1, allocate.ADDITIVE, 2.0), ("b", 1, allocate.MULTIPLICATIVE, 0.5)], "layer_id string, class_id int, kind string, beta double")
     s = allocate.suitability_long(layers, table)
     assert "SortMergeJoin" not in plan_of(s) and {(r["r"], r["s"]) for r in s.collect()} == {(i, float(i)) for i in range(50)}
+
+
+def test_no_class_goes_to_one_task(spark):
+    scored = spark.range(400).selectExpr("int(id) AS r", "0 AS c", "int(id % 2) AS class_id", "double(id) AS s", "1 AS ha")
+    goals = spark.createDataFrame([(0, 3.0), (1, -1.0)], "class_id int, goal double")
+    plans = []
+    real = allocate.stored
+    allocate.stored = lambda df: plans.append(plan_of(df)) or real(df)
+    try:
+        taken = {r["r"] for r in allocate.claims_by_range(scored, goals).collect()}
+    finally:
+        allocate.stored = real
+    assert taken == {398, 396, 394} and "hashpartitioning(class_id" not in plans[0] and "BroadcastHashJoin" in plans[0]
