@@ -1,6 +1,7 @@
 """Files along a curve, pyramids, commits of zones and maps of many scenarios, against plain forms of them."""
 
 import glob
+import re
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -115,6 +116,32 @@ def test_product_of_scenarios_equals_separate_runs(spark):
         assert rows[s, y] == want
 
 
+def test_keyed_cells_are_dealt_by_size_and_scored_once(spark, monkeypatch):
+    """As many tasks as rows call for, sums that no filter writes out again, and the same maps by either way of adding up, with a NaN goal, and with keys that cells hold."""
+    monkeypatch.setattr(allocate, "TASK_ROWS", 50)
+    x = made(spark)
+    table = spark.createDataFrame([(z, s, n, k, 1.0 + z + k * (s == "p")) for z in (0, 1) for s in ("p", "q", "r") for n in LAYERS for k in (1, 2, 3)], "zone int, scenario string, layer string, class_id int, beta double")
+    net = coarse.goals(x, "lulc", "seen", "ha", (1, 2, 3))
+    goals = net.crossJoin(spark.createDataFrame([("p",), ("q",), ("r",)], "scenario string"))
+    goals = goals.withColumn("goal", F.when((F.col("scenario") == "q") & (F.col("cr") == 1) & (F.col("class_id") == 2), float("nan")).otherwise(F.col("goal").cast("double")))
+    rows = lambda df: {(r["scenario"], r["r"], r["c"]): r["lulc"] for r in df.collect()}
+    made_by = lambda: allocate.allocate_keyed(x, table, goals, ["scenario"], ["zone"], LAYERS)
+    got = made_by()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 18), REPARTITION_BY_NUM") == 4   # 300 cells of 3 keys
+    assert len(re.findall(r"__b#\d+\[0\] = 0", plan)) == 1 and "zip_with" not in plan
+    first, start = rows(got), {(r["r"], r["c"]): r["lulc"] for r in x.collect()}
+    assert len(first) == 900 and all(v == start[r, c] for (s, r, c), v in first.items() if s == "q" and r // 5 == 1) and any(v != start[r, c] for (s, r, c), v in first.items() if s == "q")
+    for z in (0, 1):
+        own = {k: [(n, LAYERS[n], 1.0 + z + k) for n in LAYERS] for k in (1, 2, 3)}
+        part = allocate.allocate_gridded(x.where(F.col("zone") == z), own, goals.where("scenario = 'p'").drop("scenario"))
+        assert all(first["p", r["r"], r["c"]] == r["lulc"] for r in part.collect())
+    monkeypatch.setattr(allocate, "WRITTEN_OUT", 0)
+    assert rows(made_by()) == first
+    held = x.crossJoin(spark.createDataFrame([("p",), ("q",), ("r",)], "scenario string"))
+    assert rows(allocate.allocate_keyed(held, table, goals, ["scenario"], ["zone", "scenario"], LAYERS)) == first
+
+
 @pytest.mark.parametrize("method", ["gridded", "exclusive", "matrix"])
 def test_every_method_through_the_plan(spark, method):
     x = made(spark)
