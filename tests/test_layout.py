@@ -142,6 +142,26 @@ def test_keyed_cells_are_dealt_by_size_and_scored_once(spark, monkeypatch):
     assert rows(allocate.allocate_keyed(held, table, goals, ["scenario"], ["zone", "scenario"], LAYERS)) == first
 
 
+def test_diagnostics_are_dealt_by_size(spark, monkeypatch):
+    """Tasks by the number of cells and classes, none of which sorts every class's cells twice, and the outputs of the plain steps."""
+    monkeypatch.setattr(allocate, "TASK_ROWS", 50)
+    x = made(spark)
+    own = {k: [("a", allocate.ADDITIVE, 1.0 + k), ("m", allocate.MULTIPLICATIVE, 0.5), ("none", allocate.ADDITIVE, 0.0)] for k in (1, 2, 3)}
+    goals = coarse.goals(x, "lulc", "seen", "ha", (1, 2, 3))
+    goals = goals.withColumn("goal", F.when((F.col("cr") == 1) & (F.col("class_id") == 2), float("nan")).otherwise(F.col("goal").cast("double")))
+    found = allocate.diagnostics(x, own, goals, level=11)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found["projected"], found["rank"], allocate.allocate_gridded(x, own, goals))]
+    assert [p.count(", 18), REPARTITION_BY_NUM") for p in plans] == [2, 1, 4]  # 300 cells of 3 classes
+    assert not any(re.search(r"hashpartitioning\([^)]*class_id", p) for p in plans[:2])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    scored = allocate.suitability(x, own)
+    taken = allocate.claims(scored, goals)
+    assert rows(found["projected"]) == rows(allocate.apply(x, allocate.winners(taken))) == rows(allocate.allocate_gridded(x, own, goals))
+    assert rows(found["allocation"]) == rows(taken.select("r", "c", "class_id")) != []
+    assert rows(found["suitability"]) == rows(scored) and rows(found["rank"]) == rows(allocate.rank_output(scored))
+    assert list(allocate.diagnostics(x, own, goals, level=4)) == ["projected"] and not allocate.diagnostics(x, own, goals, level=3)
+
+
 @pytest.mark.parametrize("method", ["gridded", "exclusive", "matrix"])
 def test_every_method_through_the_plan(spark, method):
     x = made(spark)
