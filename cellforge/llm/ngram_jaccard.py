@@ -9,8 +9,10 @@
    most frequent: the least frequent shared one always stays on both sides. Sets with fewer than
    ``need`` shared shingles have no partner, so common passages fall away without any cap. A task sends
    the shingles of a class once, not for each copy that it meets.
-3. Classes that remain and share a shingle are joined into clusters, and clusters are cut into tiles
-   by bands of set size. Two tiles are compared only if their bands touch. Within a pair of tiles,
+3. Classes that remain and share a shingle are joined into clusters. Short sets have few shingles in
+   the low range, so common passages chain them into clusters that grow with the corpus; classes of
+   clusters larger than a tile do step 2 again among themselves, over all their shingles, of which a
+   set needs three quarters. What is left is cut into tiles by bands of set size. Two tiles are compared only if their bands touch. Within a pair of tiles,
    bit counts of hashed bitmaps bound the overlap from above, and pairs that pass are intersected
    exactly. A task returns, per class, its number of links and one link of a spanning forest, never
    pairs.
@@ -37,13 +39,15 @@ from .components import components
 WORDS = 5
 SIMILARITY = 75  # of 100
 SHARE = 1 / 3
-TILE, TILE_SHINGLES, BAG_SHINGLES = 256, 2_000_000, 250_000
+TILE, TILE_SHINGLES, BAG_SHINGLES = 1024, 2_000_000, 250_000
 #: Classes that a task remembers having sent.
 MET = 200_000
 KEPT = "__kept_id"
 BITS = 2048
 #: Groups up to this are told apart by size when the most frequent shingles are left out.
 FREQUENT = 1 << 16
+#: Places of the marks by which documents are picked out before they move.
+MARKS = 1 << 24
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,6 +211,31 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), _lists(sets)], [*(batch.schema.names[i] for i in keep), "tokens"]).filter(same)
 
 
+def _clusters(tokens: DataFrame) -> DataFrame:
+    """(node, label): classes that share one of the shingles (token, rid, need) which they may not leave out, joined; label is the smallest of a cluster."""
+    shared = tokens.repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_shared, "token bigint, rid bigint, need int, df int")
+    own = shared.groupBy("rid").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    kept = stored(own.where(F.size("t") >= F.col("need")).select("rid", F.explode(F.expr("slice(t, 1, size(t) - need + 1).token")).alias("token")))
+    least = stored(kept.groupBy("token").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    return components(kept.join(least, "token").select(F.col("rid").alias("u"), "v"))
+
+
+def _cuts(member: DataFrame) -> DataFrame:
+    """(cluster, mass, big, cut): whether a cluster is more than one tile, and as JSON how many tiles each band has. A tile holds TILE classes and about TILE_SHINGLES shingles at most, or one class."""
+    sizes = member.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"), F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.max("n"))))).cast("int").alias("k"))
+    cut = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("band").cast("string"), "k")))).alias("cut")
+    return sizes.groupBy("cluster").agg(F.sum("mass").alias("mass"), ((F.sum("m") > TILE) | (F.sum("mass") > TILE_SHINGLES)).alias("big"), cut)
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most of the documents that ``ids`` (doc_id) doesn't have, told by a bit for each hash: MARKS bits at any size, so nothing that grows is broadcast. All that it has are kept."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    marks = ids.select(F.bitmap_bucket_number(place).alias("__at"), F.bitmap_bit_position(place).alias("__bit")).groupBy("__at").agg(F.bitmap_construct_agg("__bit").alias("__marks"))
+    byte = F.conv(F.hex(F.expr("substring(__marks, CAST(__bit div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    x = docs.withColumns({"__at": F.bitmap_bucket_number(place), "__bit": F.bitmap_bit_position(place)}).join(F.broadcast(stored(marks)), "__at")
+    return x.where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).select(docs.columns)
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -219,27 +248,23 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     classes = sets.where("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
     classes = stored(classes)
 
-    tokens = source.select("text").mapInArrow(_low, "token bigint, rid bigint, need int").repartition("token").sortWithinPartitions("token", "rid")
-    shared = tokens.mapInArrow(_shared, "token bigint, rid bigint, need int, df int")
-    own = shared.groupBy("rid").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    kept = own.where(F.size("t") >= F.col("need")).select("rid", F.explode(F.expr("slice(t, 1, size(t) - need + 1).token")).alias("token"))
-    kept = stored(kept)
-    least = stored(kept.groupBy("token").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1"))
-    cluster = components(kept.join(least, "token").select(F.col("rid").alias("u"), "v"))
-
-    member = cluster.join(classes, cluster["node"] == classes["rid"]).select("rid", F.col("label").alias("cluster"), F.col("rep").alias("doc_id"), "copies", "n")
+    chained = _clusters(source.select("text").mapInArrow(_low, "token bigint, rid bigint, need int"))
+    member = chained.join(classes, chained["node"] == classes["rid"]).select("rid", F.col("label").alias("cluster"), F.col("rep").alias("doc_id"), "copies", "n")
     member = stored(member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / SIMILARITY)) + 1e-9).cast("int")))
-    # A tile holds TILE classes and about TILE_SHINGLES shingles at most, or one class.
-    sizes = member.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"), F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.max("n"))))).cast("int").alias("k"))
-    whole = sizes.groupBy("cluster").agg(((F.sum("m") > TILE) | (F.sum("mass") > TILE_SHINGLES)).alias("big"), F.map_from_entries(F.collect_list(F.struct(F.col("band").cast("string"), "k"))).alias("cut"))
-    member = stored(member.join(stored(whole), "cluster"))
-    few = member.where("NOT big").agg(F.sum("n").alias("n")).first()["n"] or 0
+    wanted = member.join(stored(_cuts(member).select("cluster", "big")), "cluster")
+    # Kept, as arrays are looked at twice and texts are not to move again; by a merge at every size, as they grow with the documents.
+    arrays = stored(_picked(source, member.select("doc_id")).join(wanted.hint("merge"), "doc_id").mapInArrow(_tokens, "cluster bigint, rid bigint, copies bigint, n bigint, band int, big boolean, tokens array<bigint>"))
+
+    # Of large clusters, most hold together by common passages alone; their classes look at all their shingles.
+    whole = arrays.where("big").select(F.explode("tokens").alias("token"), "rid", (F.col("n") - F.expr(f"n * {100 - SIMILARITY} div 100")).cast("int").alias("need"))
+    close = _clusters(whole).withColumnRenamed("node", "rid").withColumnRenamed("label", "cluster")
+    again = stored(member.drop("cluster").join(close, "rid"))
+    cuts = stored(_cuts(again))
+    columns = ["rid", "cluster", "copies", "band", "big", "cut", "tokens"]
+    large = arrays.where("big").drop("cluster", "big").join(again.select("rid", "cluster").join(cuts, "cluster").hint("merge"), "rid")
+    texts = arrays.where("NOT big").withColumn("cut", F.lit(None).cast("string")).select(columns).unionByName(large.select(columns))
+    few = (arrays.where("NOT big").agg(F.sum("n").alias("n")).first()["n"] or 0) + (cuts.where("NOT big").agg(F.sum("mass").alias("n")).first()["n"] or 0)
     bags = max(1, few // BAG_SHINGLES)
-
-    wanted = member.select("doc_id", "rid", "cluster", "copies", "band", "big", F.to_json("cut").alias("cut")).hint("merge")  # at every size, as it grows with the documents
-    texts = source.join(wanted, "doc_id").mapInArrow(
-        _tokens, "rid bigint, cluster bigint, copies bigint, band int, big boolean, cut string, tokens array<bigint>"
-    )
     cut = F.from_json("cut", "map<string,int>")
     small = texts.where("NOT big").select("rid", "cluster", "copies", "tokens", F.lit(0).alias("side"), F.concat(F.lit("bag:"), F.pmod(F.xxhash64("cluster"), F.lit(bags))).alias("tile"))
     # A row of tile i of a band meets the tiles j > i of its band, those of the band above, and its own tile.

@@ -261,6 +261,26 @@ def test_jaccard(spark, tile, monkeypatch):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["n_links"]) == (len(s[i]), want[i], sum(i in p for p in linked))
 
 
+def test_common_passages_chain_no_tiles(spark, monkeypatch):
+    passage = prose(77, 14)
+    texts = [prose(3000 + k, 12) + " " + passage + " " + prose(6000 + k, 12) for k in range(100)]
+    same = prose(9000, 60)
+    texts += [f"{same} end{k}" for k in range(40)]
+    monkeypatch.setattr(ngram_jaccard, "TILE", 8)
+    assert sorted(r["n_links"] for r in ngram_jaccard.op3_ngram_jaccard(base(spark, texts)).collect()) == [0] * 100 + [39] * 40
+    # What a class is sent to tiles: nothing for those with a passage alone.
+    monkeypatch.setattr(ngram_jaccard, "_tile", lambda rows: rows[["rid"]].assign(links=1, root=rows["rid"].min()))
+    sent = {r["doc_id"]: r["n_links"] for r in ngram_jaccard.op3_ngram_jaccard(base(spark, texts)).collect()}
+    assert all((sent[k] == 0) == (k < 100) for k in sent)
+
+
+def test_documents_are_picked_out_whole(spark):
+    docs = spark.range(3000).selectExpr("id * 7919 - 500000 AS doc_id", "'x' AS text")
+    some = docs.where("doc_id % 5 = 0").select("doc_id")
+    got = ngram_jaccard._picked(docs, some)
+    assert got.columns == docs.columns and some.exceptAll(got.select("doc_id")).isEmpty() and got.count() < some.count() + 20
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 460)]
