@@ -166,6 +166,17 @@ def test_sparse_distances_equal_brute_force(spark, by):
     assert kernels.nearest_sq(one, two.where("r > 900"), by).count() == 0
 
 
+def test_distances_of_tall_grids_make_no_frame_anew(spark):
+    from cellforge.operators import kernels
+
+    sites = spark.range(40).selectExpr("CAST(id * id * 7 AS int) AS r", "CAST(id % 3 AS int) AS c")
+    d = kernels.nearest_sq(sites, spark.range(12000).selectExpr("CAST(id AS int) AS r", "1 AS c"))
+    plan = d._jdf.queryExecution().analyzed().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    at = [(k * k * 7, k % 3) for k in range(40)]
+    assert {r["r"]: r["d2"] for r in d.collect()} == {r: float(min((r - i) ** 2 + (1 - c) ** 2 for i, c in at)) for r in range(12000)}
+
+
 def test_many_coarse_cells_are_ranked_in_few_arrays(spark, monkeypatch):
     """Tries of many coarse cells at once, whatever is held at a time, and no array as large as all of them together."""
     df, _ = made(spark)
