@@ -177,6 +177,19 @@ def test_distances_of_tall_grids_make_no_frame_anew(spark):
     assert {r["r"]: r["d2"] for r in d.collect()} == {r: float(min((r - i) ** 2 + (1 - c) ** 2 for i, c in at)) for r in range(12000)}
 
 
+def test_a_block_of_many_tries_is_read_once(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    blur = search.Blur(256, search.blur_weights(SIGMA), search.Layers.of(START))
+    rows = pd.concat([pd.DataFrame({"try": t, "r": at // 30, "c": at % 30, "was": rng.integers(1, 5, 60), "old": rng.integers(1, 5, 60), "new": rng.integers(1, 5, 60)}) for t in range(-1, 25) for at in [rng.permutation(600)[:60]]], ignore_index=True)
+    alone = {t: blur.losses(rows[rows["try"].isin([-1, t])], 0, 0, 20, 30)[t] for t in range(-1, 25)}
+    read, get = [], pd.DataFrame.__getitem__
+    monkeypatch.setattr(pd.DataFrame, "__getitem__", lambda self, key: read.append(key) or get(self, key))
+    assert blur.losses(rows.sample(frac=1, random_state=1), 0, 0, 20, 30) == pytest.approx(alone)
+    assert len(read) < 25
+
+
 def test_many_coarse_cells_are_ranked_in_few_arrays(spark, monkeypatch):
     """Tries of many coarse cells at once, whatever is held at a time, and no array as large as all of them together."""
     df, _ = made(spark)
